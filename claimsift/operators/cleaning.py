@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import CLEANING_PATTERNS, CLEANING_STEPS, NOISE_WORDS
 from claimsift.functions.patterns import strip, unicode_pattern, whole_words
+from claimsift.functions.plan_shape import settled
 
 
 def clean_step(text: Column, step: int) -> Column:
@@ -30,7 +31,9 @@ def clean_text(text: Column, last_step: int = CLEANING_STEPS) -> Column:
 
 
 def clean_documents(docs: DataFrame, last_step: int = CLEANING_STEPS) -> DataFrame:
-    return docs.withColumn("cleaned_text", clean_text(F.col("raw_text"), last_step))
+    """Add ``cleaned_text``."""
+    cleaned = clean_text(F.col("raw_text"), last_step).alias("cleaned_text")
+    return settled(docs, docs.columns, cleaned)
 
 
 def clean_effect(docs: DataFrame, label: str = "ground_truth") -> DataFrame:

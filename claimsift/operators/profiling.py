@@ -4,6 +4,9 @@ Everything is counted per document in one projection and then summed per label
 with partial aggregation, so a label holding most of the corpus costs no more
 than any other. Matches that would span two documents are not counted.
 
+Lists are exploded with the outer variant and filtered afterwards: for the inner one
+the optimizer adds a size test below, which would run the regexes a second time.
+
 Input: documents with ``id``, ``label`` and ``text``.
 """
 
@@ -83,7 +86,11 @@ def keyword_frequency(
     """(label, keyword, occurrences): exact tokens; absent keywords count 0."""
     wanted = sorted({k for ks in keywords.values() for k in ks})
     found = (
-        docs.select("label", F.explode(F.filter(tokens(F.lower("text")), lambda t: t.isin(wanted))).alias("keyword"))
+        docs.select(
+            "label",
+            F.explode_outer(F.filter(tokens(F.lower("text")), lambda t: t.isin(wanted))).alias("keyword"),
+        )
+        .filter("keyword IS NOT NULL")
         .groupBy("label", "keyword")
         .agg(F.count("*").alias("n"))
     )
@@ -110,7 +117,7 @@ def _first_rows(rows: DataFrame, order: Sequence[str], k: int, name: str) -> Dat
 def first_lines(docs: DataFrame, k: int = 3) -> DataFrame:
     """(label, line_no, line): first k lines of the label, blank ones left out."""
     lines = docs.select(
-        "label", "id", F.posexplode(F.slice(F.split("text", "\n", k + 1), 1, k)).alias("pos", "raw")
+        "label", "id", F.posexplode_outer(F.slice(F.split("text", "\n", k + 1), 1, k)).alias("pos", "raw")
     )
     top = _first_rows(lines, ["id", "pos"], k, "line_no")
     return top.select("label", "line_no", strip(F.col("raw")).alias("line")).filter("line <> ''")
@@ -128,8 +135,10 @@ def pattern_samples(docs: DataFrame, family: str, k: int = 2) -> DataFrame:
     found = F.array(
         *[F.slice(all_matches(F.col("text"), p, ignore_case), 1, k) for p in patterns]
     )
-    matches = docs.select("label", "id", F.posexplode(found).alias("pattern_no", "m")).select(
-        "label", "pattern_no", "id", F.posexplode("m").alias("pos", "sample")
+    matches = (
+        docs.select("label", "id", F.posexplode(found).alias("pattern_no", "m"))
+        .select("label", "pattern_no", "id", F.posexplode_outer("m").alias("pos", "sample"))
+        .filter("sample IS NOT NULL")
     )
     return _first_rows(matches, ["pattern_no", "id", "pos"], k, "sample_no").select(
         "label", "sample_no", "sample"
@@ -212,7 +221,8 @@ def top_terms(
         ~w.isin(list(stop_words)) if stop_words else F.lit(True)
     )
     counts = (
-        docs.select("label", F.explode(F.filter(tokens(F.lower("text")), keep)).alias("term"))
+        docs.select("label", F.explode_outer(F.filter(tokens(F.lower("text")), keep)).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("label", "term")
         .agg(F.count("*").alias("occurrences"))
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import PROTOTYPE_THRESHOLD, UNKNOWN
+from claimsift.functions.plan_shape import settled
 
 MAX_PROTOTYPES = 10_000
 
@@ -126,4 +127,4 @@ def classify_by_prototypes(
     best = F.element_at(names, F.array_position("c", F.col("confidence")).cast("int"))
     if threshold is not None:
         best = F.when(F.col("confidence") < threshold, UNKNOWN).otherwise(best)
-    return scored.select(*keep, best.alias("predicted_class"), "confidence")
+    return settled(scored, keep, best.alias("predicted_class"), F.col("confidence"))

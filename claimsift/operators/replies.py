@@ -226,7 +226,7 @@ def batch_reply_rows(replies: DataFrame) -> DataFrame:
     document wins. A line with a missing part gives NULLs.
     """
     lines = replies.select(
-        "batch_no", F.posexplode(split_lines(F.col("response"))).alias("pos", "line")
+        "batch_no", F.posexplode_outer(split_lines(F.col("response"))).alias("pos", "line")
     ).filter(F.col("line").contains("Document"))
     parts = F.split("line", " - ")
     head = F.split(strip(F.get(parts, F.lit(0))), f"[{SPACE}]+")

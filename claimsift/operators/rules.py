@@ -27,6 +27,7 @@ from claimsift.functions.patterns import (
     fold_case,
     known_words,
 )
+from claimsift.functions.plan_shape import settled
 
 Rules = dict[str, dict[str, list[str]]]
 FAMILIES = [*FAMILY_WEIGHTS, "semantic_patterns"]
@@ -277,8 +278,10 @@ def classify_by_rules(
 ) -> DataFrame:
     """Replace the text by ``predicted_class`` and ``confidence``. No shuffle."""
     keep = [c for c in docs.columns if c != text]
-    best = score_documents(docs, text, rules).select(
-        *keep, best_class(_scores(rules, _score_columns(rules))).alias("best")
+    best = settled(
+        score_documents(docs, text, rules),
+        keep,
+        best_class(_scores(rules, _score_columns(rules))).alias("best"),
     )
     return best.select(
         *keep,
@@ -314,8 +317,10 @@ def classify_by_simple_rules(
         points = points + F.col(f"_start{c}").cast("int")
         criteria = len(words) + (1 if r["structure_starts"] else 0)
         confidences.append(points / F.lit(criteria) * 100 if criteria else F.lit(0.0))
-    best = scored.select(*keep, *[c.alias(f"c{i}") for i, c in enumerate(confidences)]).select(
-        *keep, best_class(_scores(rules, _score_columns(rules))).alias("best")
+    best = settled(
+        scored.select(*keep, *[c.alias(f"c{i}") for i, c in enumerate(confidences)]),
+        keep,
+        best_class(_scores(rules, _score_columns(rules))).alias("best"),
     )
     return best.select(
         *keep,

@@ -151,7 +151,7 @@ def corpus_profile(v):
 
 @query(f"""
 SELECT label, term, occurrences, row_number() OVER (PARTITION BY label ORDER BY occurrences DESC, term) AS place
-FROM (SELECT label, unnest({_TOKENS}) AS term, count(*) AS occurrences FROM corpus GROUP BY ALL)
+FROM (SELECT label, term, count(*) AS occurrences FROM (SELECT label, unnest({_TOKENS}) AS term FROM corpus) GROUP BY ALL)
 WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}_]') AND length(term) >= 2
 QUALIFY place <= 200""")
 def top_terms_by_label(v):

@@ -219,11 +219,9 @@ def classification_cost(v):
 
 
 @query("""
-WITH asked AS (SELECT sha256(text) AS text_hash, l.label, count(*) AS documents, min(d.doc_id) AS first_id
-               FROM doc_class d CROSS JOIN label_dim l GROUP BY ALL)
-SELECT text_hash, label, documents, first_id FROM asked
-WHERE (text_hash, label) NOT IN (SELECT (sha256(text), l.label) FROM doc_class d JOIN label_dim l ON l.label_ord = d.truth_ord)""".replace("WITH asked AS (", "SELECT * FROM (").replace("""GROUP BY ALL)
-SELECT text_hash, label, documents, first_id FROM asked""", """GROUP BY ALL)"""))
+SELECT text_hash, label, documents, first_id FROM (
+  SELECT sha256(text) AS text_hash, l.label, count(*) AS documents, min(d.doc_id) AS first_id FROM doc_class d CROSS JOIN label_dim l GROUP BY ALL)
+WHERE (text_hash, label) NOT IN (SELECT (sha256(text), l.label) FROM doc_class d JOIN label_dim l ON l.label_ord = d.truth_ord)""")
 def uncached_requests(v):
     """Every text was asked about its own class before; the other classes are new."""
     texts = v.doc_class.select("doc_id", "text", "truth_ord")

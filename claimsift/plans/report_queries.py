@@ -274,8 +274,8 @@ def cost_histogram(v):
     return rounded(rp.cost_histogram(rp.document_costs(_evaluable(v))), "low", "high")
 
 
-@query("""SELECT id, round(sum(ocr) OVER w::DOUBLE, 6) AS ocr_total, round(sum(text_cleaning) OVER w::DOUBLE, 6) AS text_cleaning_total,
-       round(sum(classification) OVER w::DOUBLE, 6) AS classification_total FROM times WINDOW w AS (ORDER BY id)""".replace(" OVER w::DOUBLE", " OVER w"), **COST)
+@query("""SELECT id, round(CAST(sum(ocr) OVER w AS DOUBLE), 6) AS ocr_total, round(CAST(sum(text_cleaning) OVER w AS DOUBLE), 6) AS text_cleaning_total,
+       round(CAST(sum(classification) OVER w AS DOUBLE), 6) AS classification_total FROM times WINDOW w AS (ORDER BY id)""", **COST)
 def cumulative_stage_time(v):
     totals = rp.cumulative_stage_times(rp.stage_times(_evaluable(v)))
     return rounded(totals, *[f"{c}_total" for c in rp.STAGE_COLUMNS.values()])

@@ -16,47 +16,47 @@ def _edge(feature: str) -> str:
     return left + escape_literal(feature) + right
 
 
-def _feature_rows(rule_set, families) -> str:
-    return ", ".join(
-        f"({o}, {quoted(c)}, {quoted(f)}, {quoted(x)}, {quoted(_edge(x))})"
+def _flags(rule_set, families) -> str:
+    """A list of structs with one constant-pattern test per feature; an empty family keeps a row."""
+    rows = [
+        (o, c, f, x)
         for o, (c, r) in enumerate(rule_set.items())
         for f in families
-        for x in r[f]
+        for x in (r[f] or [None])
+    ]
+    return ", ".join(
+        f"{{'class_ord': {o}, 'class': {quoted(c)}, 'family': {quoted(f)}, "
+        + (
+            f"'feature': {quoted(x)}, 'hit': regexp_matches(cleaned_text, {quoted(_edge(x))}, 'i')}}"
+            if x
+            else "'feature': NULL, 'hit': false}"
+        )
+        for o, c, f, x in rows
     )
 
 
 _WEIGHTED = ["keywords", "structure_starts", "measurements", "required_fields"]
-_PATTERN_ROWS = ", ".join(
-    f"({o}, {quoted(c)}, {quoted(unicode_pattern(p).replace(SPACE_CLASS, f'[{SPACE}]'))})"
+_PATTERN_FLAGS = ", ".join(
+    f"{{'class_ord': {o}, 'class': {quoted(c)}, "
+    f"'hit': regexp_matches(cleaned_text, {quoted(unicode_pattern(p).replace(SPACE_CLASS, f'[{SPACE}]'))}, 'i')}}"
     for o, (c, r) in enumerate(DEFAULT_RULES.items())
     for p in r["semantic_patterns"]
 )
-_FAMILY_ROWS = ", ".join(
-    f"({o}, {quoted(c)}, {quoted(f)}, {len(r[f])})"
-    for o, (c, r) in enumerate(DEFAULT_RULES.items())
-    for f in _WEIGHTED
-)
 _WEIGH = "CASE family WHEN 'structure_starts' THEN {0} * 3 // 2 WHEN 'measurements' THEN {0} * 4 // 5 WHEN 'required_fields' THEN {0} * 2 ELSE {0} END"
 
 CTES = {
-    "rule_features": f"SELECT * FROM (VALUES {_feature_rows(DEFAULT_RULES, _WEIGHTED)}) r(class_ord, class, family, feature, rx)",
-    "rule_patterns": f"SELECT * FROM (VALUES {_PATTERN_ROWS}) r(class_ord, class, rx)",
-    "rule_families": f"SELECT * FROM (VALUES {_FAMILY_ROWS}) r(class_ord, class, family, n)",
-    "hits": "SELECT c.id, r.class, r.family, r.feature FROM cleaned c CROSS JOIN rule_features r WHERE regexp_matches(c.cleaned_text, r.rx, 'i')",
-    "family_scores": f"""
-SELECT c.id, f.class_ord, f.class, f.family, count(h.feature) AS matches, {_WEIGH.format('count(h.feature)')} AS score, {_WEIGH.format('any_value(f.n)')} AS total
-FROM cleaned c CROSS JOIN rule_families f LEFT JOIN hits h ON h.id = c.id AND h.class = f.class AND h.family = f.family
-GROUP BY c.id, f.class_ord, f.class, f.family""".replace("CASE family", "CASE f.family"),
-    "pattern_scores": """
-SELECT c.id, p.class_ord, p.class, count(*) FILTER (regexp_matches(c.cleaned_text, p.rx, 'i')) AS pattern_hits, count(*) AS n
-FROM cleaned c CROSS JOIN rule_patterns p GROUP BY c.id, p.class_ord, p.class""",
+    "flags": f"SELECT id, unnest([{_flags(DEFAULT_RULES, _WEIGHTED)}], recursive := true) FROM cleaned",
+    "family_counts": "SELECT id, class_ord, class, family, count(*) FILTER (hit) AS matches, count(feature) AS n FROM flags GROUP BY ALL",
+    "family_scores": f"SELECT id, class_ord, class, family, matches, {_WEIGH.format('matches')} AS score, {_WEIGH.format('n')} AS total FROM family_counts",
+    "pattern_flags": f"SELECT id, unnest([{_PATTERN_FLAGS}], recursive := true) FROM cleaned",
+    "pattern_scores": "SELECT id, class_ord, class, count(*) FILTER (hit) AS pattern_hits, count(*) AS n FROM pattern_flags GROUP BY ALL",
     "confidences": """
 SELECT f.id, f.class_ord, f.class, (sum(f.score) + any_value(p.pattern_hits) * 1.5) / (sum(f.total) + any_value(p.n) * 1.5) * 100 AS confidence
 FROM family_scores f JOIN pattern_scores p ON p.id = f.id AND p.class_ord = f.class_ord GROUP BY f.id, f.class_ord, f.class""",
     "best": "SELECT * FROM confidences QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, class_ord) = 1",
     "rule_predictions": """
 SELECT c.id, c.file_name, c.ground_truth, CASE WHEN b.confidence < 0.4 THEN 'Unknown' ELSE b.class END AS predicted_class, b.confidence::DOUBLE AS confidence
-FROM cleaned c JOIN best b ON b.id = c.id""",
+FROM claims c JOIN best b ON b.id = c.id""",
 }
 
 
@@ -67,7 +67,7 @@ def rule_predictions(v):
     )
 
 
-@query("SELECT id, class, family, feature FROM hits", **CTES)
+@query("SELECT id, class, family, feature FROM flags WHERE hit", **CTES)
 def rule_feature_hits(v):
     return rules.feature_hits(v.cleaned)
 
@@ -108,15 +108,14 @@ _SIMPLE_SIZES = ", ".join(
 
 
 @query("SELECT id, class AS predicted_class, round(confidence::DOUBLE, 6) AS confidence FROM simple_scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, class_ord) = 1",
-       simple_features=f"SELECT * FROM (VALUES {_feature_rows(SIMPLE_RULES, ['keywords', 'measurements', 'required_fields'])}) r(class_ord, class, family, feature, rx)",
-       simple_points="""
-SELECT c.id, r.class_ord, count(*) AS points FROM cleaned c CROSS JOIN simple_features r WHERE regexp_matches(c.cleaned_text, r.rx, 'i') GROUP BY ALL""",
+       simple_flags=f"SELECT id, unnest([{_flags(SIMPLE_RULES, ['keywords', 'measurements', 'required_fields'])}], recursive := true) FROM cleaned",
+       simple_points="SELECT id, class_ord, count(*) FILTER (hit) AS points FROM simple_flags GROUP BY ALL",
        simple_starts=f"""
 SELECT DISTINCT c.id, s.class_ord FROM cleaned c CROSS JOIN (VALUES {_SIMPLE_STARTS}) s(class_ord, start) WHERE starts_with(c.cleaned_text, s.start)""",
        simple_scores=f"""
-SELECT c.id, z.class_ord, z.class, (coalesce(p.points, 0) + CASE WHEN s.id IS NULL THEN 0 ELSE 1 END) / z.n * 100 AS confidence
-FROM cleaned c CROSS JOIN (VALUES {_SIMPLE_SIZES}) z(class_ord, class, n)
-LEFT JOIN simple_points p ON p.id = c.id AND p.class_ord = z.class_ord LEFT JOIN simple_starts s ON s.id = c.id AND s.class_ord = z.class_ord""")
+SELECT p.id, z.class_ord, z.class, (p.points + CASE WHEN s.id IS NULL THEN 0 ELSE 1 END) / z.n * 100 AS confidence
+FROM simple_points p JOIN (VALUES {_SIMPLE_SIZES}) z(class_ord, class, n) ON z.class_ord = p.class_ord
+LEFT JOIN simple_starts s ON s.id = p.id AND s.class_ord = p.class_ord""")
 def classify_rules_simple(v):
     return rounded(rules.classify_by_simple_rules(v.cleaned.select("id", "cleaned_text")), "confidence")
 

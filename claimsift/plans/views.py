@@ -190,10 +190,17 @@ def _closure(views: dict[str, str], sql: str) -> list[str]:
     return [name for name in views if name in needed]
 
 
+# dear to compute and used more than once
+_COMPUTE_ONCE = {"cleaned", "flags", "simple_flags", "confidences", "cosines", "reply_scores", "rule_predictions"}
+
+
 def oracle(sql: str, **ctes: str) -> str:
     """Complete oracle SQL: the needed views as CTEs, then ``ctes``, then ``sql``."""
     views = {**view_sql("duckdb"), **ctes}
-    parts = [f"{n} AS ({views[n].strip()})" for n in _closure(views, sql)]
+    parts = [
+        f"{n} AS {'MATERIALIZED ' if n in _COMPUTE_ONCE else ''}({views[n].strip()})"
+        for n in _closure(views, sql)
+    ]
     return (f"WITH {', '.join(parts)}\n" if parts else "") + sql.strip()
 
 

@@ -151,7 +151,8 @@ class DocumentStore:
             *[f"{self.path}/delta/batch={b}" for b in pending]
         )
         # later batches win; one ordered number per row across batches
-        seq = F.col("batch").cast("decimal(18,0)") * F.lit(2**63).cast("decimal(19,0)") + F.col("seq")
+        span = F.lit(str(2**63)).cast("decimal(20,0)")
+        seq = F.col("batch").cast("decimal(18,0)") * span + F.col("seq")
         return upsert_documents(base, rows.withColumn("seq", seq))
 
     def compact(self) -> None:

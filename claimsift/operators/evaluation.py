@@ -39,35 +39,47 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def _label_counts(confusion: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., label, tp, support, predicted_n) over true and predicted labels."""
-    hit = F.col("truth") == F.col("predicted")
+    """(by..., label, tp, support, predicted_n, confidence_sum, confidence_n).
+
+    Over true and predicted labels; confidences belong to the true label.
+    """
+    with_confidence = "confidence_sum" in confusion.columns
+    hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    mass = F.col("confidence_sum") if with_confidence else F.lit(None).cast("double")
+    mass_n = F.col("confidence_n") if with_confidence else zero
+
+    def side(label: str, *values: Column) -> Column:
+        names = ["tp", "support", "predicted_n", "confidence_sum", "confidence_n"]
+        return F.struct(F.col(label).alias("label"), *[v.alias(n) for v, n in zip(values, names)])
+
     sides = F.array(
-        F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).alias("p")),
-        F.struct(F.col("predicted").alias("label"), F.lit(0).alias("t"), F.col("n").alias("p")),
+        side("truth", hit, F.col("n"), zero, mass, mass_n),
+        side("predicted", zero, zero, F.col("n"), F.lit(None).cast("double"), zero),
     )
-    return (
-        confusion.select(*by, hit.alias("hit"), F.explode(sides).alias("s"))
-        .groupBy(*by, "s.label")
-        .agg(
-            F.sum(F.when(F.col("hit"), F.col("s.t")).otherwise(0)).alias("tp"),
-            F.sum("s.t").alias("support"),
-            F.sum("s.p").alias("predicted_n"),
-        )
+    rows = confusion.select(*by, F.explode(sides).alias("s")).select(*by, "s.*")
+    return rows.groupBy(*by, "label").agg(
+        *[
+            F.sum(c).alias(c)
+            for c in ["tp", "support", "predicted_n", "confidence_sum", "confidence_n"]
+        ]
+    )
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
+        {
+            "precision": _share(F.col("tp"), F.col("predicted_n")),
+            "recall": _share(F.col("tp"), F.col("support")),
+            "f1": _share(2 * F.col("tp"), F.col("predicted_n") + F.col("support")),
+        }
     )
 
 
 def class_report(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., label, precision, recall, f1, support)."""
-    precision = _share(F.col("tp"), F.col("predicted_n"))
-    recall = _share(F.col("tp"), F.col("support"))
-    f1 = _share(2 * F.col("tp"), F.col("predicted_n") + F.col("support"))
-    return _label_counts(confusion, by).select(
-        *by,
-        "label",
-        precision.alias("precision"),
-        recall.alias("recall"),
-        f1.alias("f1"),
-        F.col("support").cast("bigint").alias("support"),
+    return _ratios(_label_counts(confusion, by)).select(
+        *by, "label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support")
     )
 
 
@@ -79,28 +91,54 @@ def accuracy(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def report_averages(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows ``accuracy``, ``macro avg`` and ``weighted avg`` of the report."""
-    report = class_report(confusion, by)
-    metrics = ["precision", "recall", "f1"]
-    total = F.sum("support").alias("support")
-    macro = report.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], total)
-    weighted = report.groupBy(*by).agg(
+_METRICS = ["precision", "recall", "f1"]
+
+
+def _full_report(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Class rows and average rows in one chain from per-label counts.
+
+    Grouping sets give every label and the overall row of each ``by`` group; the
+    overall row then becomes the three average rows. No part is computed twice.
+    ``counts`` may carry ``confidence_sum`` and ``confidence_n``.
+    """
+    weight = F.sum("support")
+    labels = [F.col(c) for c in [*by, "label"]]
+    rolled = _ratios(counts).groupingSets([labels, labels[:-1]], *labels).agg(
+        F.grouping("label").alias("_overall"),
+        *[F.avg(m).alias(m) for m in _METRICS],
         *[
-            F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
-            for m in metrics
+            F.try_divide(F.sum(F.col(m) * F.col("support")), weight).alias(f"_w_{m}")
+            for m in _METRICS
         ],
-        total,
+        F.try_divide(F.sum("tp"), weight).alias("_accuracy"),
+        weight.cast("bigint").alias("support"),
+        F.try_divide(F.sum("confidence_sum"), F.sum("confidence_n")).alias("avg_confidence"),
+    )
+
+    def row(label: Column, values: list[Column], confidence: Column) -> Column:
+        named = [v.alias(m) for v, m in zip(values, _METRICS)]
+        return F.struct(
+            label.alias("label"), *named, F.col("support"), confidence.alias("avg_confidence")
+        )
+
+    plain = [F.col(m) for m in _METRICS]
+    none = F.lit(None).cast("double")
+    overall = F.array(
+        row(F.lit("accuracy"), [F.col("_accuracy")] * 3, none),
+        row(F.lit("macro avg"), plain, none),
+        row(F.lit("weighted avg"), [F.col(f"_w_{m}") for m in _METRICS], none),
     )
-    overall = accuracy(confusion, by).select(
-        *by,
-        *[F.col("accuracy").alias(m) for m in metrics],
-        F.col("documents").alias("support"),
+    single = F.array(row(F.col("label"), plain, F.col("avg_confidence")))
+    rows = F.when(F.col("_overall") == 1, overall).otherwise(single)
+    return rolled.select(*by, "_overall", F.explode_outer(rows).alias("r")).select(
+        *by, "_overall", "r.*"
     )
-    columns = [*by, "label", *metrics, "support"]
-    parts = [("accuracy", overall), ("macro avg", macro), ("weighted avg", weighted)]
-    named = [d.withColumn("label", F.lit(n)).select(columns) for n, d in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def report_averages(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``accuracy``, ``macro avg`` and ``weighted avg`` of the report."""
+    report = _full_report(_label_counts(confusion, by), by)
+    return report.filter("_overall = 1").select(*by, "label", *_METRICS, "support")
 
 
 def weighted_f1(confusion: DataFrame) -> DataFrame:
@@ -129,11 +167,9 @@ def report_with_confidence(
             F.count(confidence).alias("confidence_n"),
         )
     )
-    mean = cells.groupBy(F.col("truth").alias("label")).agg(
-        F.try_divide(F.sum("confidence_sum"), F.sum("confidence_n")).alias("avg_confidence")
+    return _full_report(_label_counts(cells, ()), ()).select(
+        "label", *_METRICS, "support", "avg_confidence"
     )
-    rows = class_report(cells).unionByName(report_averages(cells))
-    return rows.join(mean, "label", "left")
 
 
 def confusion_matrix(confusion: DataFrame, labels: Sequence[str] = (*LABELS, UNKNOWN)) -> DataFrame:
@@ -159,9 +195,10 @@ def _rates(pairs: DataFrame) -> DataFrame:
 
 def class_rates(confusion: DataFrame) -> DataFrame:
     """One-vs-rest rates of hard predictions for every true label, aligned by name."""
-    total = confusion.agg(F.sum("n")).scalar()
+    # a row per label: small enough for a window over all of them
+    total = F.sum("support").over(Window.partitionBy())
     return _rates(
-        _label_counts(confusion, ()).filter("support > 0").withColumn("total", total)
+        _label_counts(confusion, ()).withColumn("total", total).filter("support > 0")
     )
 
 
@@ -186,26 +223,28 @@ def auc_weighted_positional(confusion: DataFrame) -> DataFrame:
     The i-th true label in alphabetical order meets the i-th predicted label. NULL
     when the sets differ in size or a class has no negatives.
     """
-    truths = confusion.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"))
-    guesses = confusion.groupBy(F.col("predicted").alias("label")).agg(
-        F.sum("n").alias("predicted_n")
-    )
-    # label sets: a handful of rows
-    place = F.row_number().over(Window.orderBy("label"))
-    truths = truths.withColumn("place", place)
-    guesses = guesses.withColumn("place", place)
-    pairs = truths.join(
-        guesses.withColumnRenamed("label", "partner"), "place", "full_outer"
-    )
-    hits = confusion.select(
-        F.col("truth").alias("label"), F.col("predicted").alias("partner"), F.col("n").alias("tp")
-    )
-    total = confusion.agg(F.sum("n")).scalar()
-    matched = pairs.join(hits, ["label", "partner"], "left").withColumn("total", total)
-    aligned = F.col("support").isNotNull() & F.col("predicted_n").isNotNull()
-    rates = _rates(
-        matched.withColumn("tp", F.when(aligned, F.coalesce("tp", F.lit(0))))
-    ).withColumn("area", _area(F.col("tpr"), F.col("fpr")))
+    # the confusion counts are labels x labels rows: windows over all of them are small
+    everything = Window.partitionBy()
+    placed = confusion.select(
+        F.dense_rank().over(everything.orderBy("truth")).alias("row"),
+        F.dense_rank().over(everything.orderBy("predicted")).alias("col"),
+        "n",
+    )
+    hit = F.when(F.col("row") == F.col("col"), F.col("n")).otherwise(0)
+    sides = F.array(
+        F.struct(F.col("row").alias("label"), F.col("n").alias("s"), F.lit(0).alias("p"), hit.alias("h")),
+        F.struct(F.col("col").alias("label"), F.lit(0).alias("s"), F.col("n").alias("p"), F.lit(0).alias("h")),
+    )
+    places = (
+        placed.select(F.explode(sides).alias("x"))
+        .groupBy("x.label")
+        .agg(F.sum("x.s").alias("support"), F.sum("x.p").alias("predicted_n"), F.sum("x.h").alias("tp"))
+        .withColumn("total", F.sum("support").over(everything))
+    )
+    aligned = (F.col("support") > 0) & (F.col("predicted_n") > 0)
+    rates = _rates(places.withColumn("tp", F.when(aligned, F.col("tp")))).withColumn(
+        "area", _area(F.col("tpr"), F.col("fpr"))
+    )
     return rates.agg(
         F.when(
             F.count("*") == F.count("area"),

@@ -65,12 +65,15 @@ def high_confidence_map(scores: DataFrame, threshold: float = REPLY_THRESHOLD) -
     )
 
 
-def decide(scores: DataFrame, threshold: float = REPLY_THRESHOLD) -> DataFrame:
-    """(id, unreadable, high, branch, candidates), one row per document.
+def decide(
+    scores: DataFrame, threshold: float = REPLY_THRESHOLD, **measures: Column
+) -> DataFrame:
+    """(id, unreadable, high, branch, candidates, measures...), one row per document.
 
     ``branch`` is ``unique`` for exactly one class at or above the threshold, else
     ``none`` or ``several``; ``candidates`` are the classes a second round may
-    choose from. Only scores are shuffled, a few numbers per document.
+    choose from. ``measures`` are further aggregates to take in the same shuffle,
+    which moves scores only, a few numbers per document.
     """
     kept = F.when(
         F.col("score") >= threshold, F.struct("label_ord", "label", "score")
@@ -78,6 +81,7 @@ def decide(scores: DataFrame, threshold: float = REPLY_THRESHOLD) -> DataFrame:
     per_doc = scores.groupBy("id").agg(
         F.count_if(F.col("score").isNull()).alias("unreadable"),
         F.array_sort(F.collect_list(kept)).alias("high"),
+        *[m.alias(name) for name, m in measures.items()],
     )
     n = F.size("high")
     return per_doc.select(
@@ -88,6 +92,7 @@ def decide(scores: DataFrame, threshold: float = REPLY_THRESHOLD) -> DataFrame:
         F.when(n == 0, F.array(*[F.lit(x) for x in LABELS]))
         .otherwise(F.col("high.label"))
         .alias("candidates"),
+        *measures,
     )
 
 
@@ -102,28 +107,38 @@ def classify_by_replies(decisions: DataFrame, second_round: DataFrame) -> DataFr
     ``second_round`` has (id, response). Documents with an unreadable reply are
     not in the result (see :func:`dead_letters`).
     """
-    high = F.map_from_entries(F.transform("high", lambda e: F.struct(e.label, e.score)))
-    readable = decisions.filter("unreadable = 0")
-    unique = readable.filter("branch = 'unique'").select(
+    answered = settle(decisions, second_round)
+    return answered.select(
         "id",
         "branch",
-        canonical_label(F.col("high")[0]["label"]).alias("predicted_class"),
-        F.col("high")[0]["score"].alias("confidence"),
-        high.alias("high_confidence_classes"),
+        "predicted_class",
+        "confidence",
+        F.map_from_entries(
+            F.transform("high", lambda e: F.struct(e.label, e.score))
+        ).alias("high_confidence_classes"),
     )
-    fallback = (
-        undecided(decisions)
-        .join(second_round.select("id", "response"), "id")
-        .select(
-            "id",
-            "branch",
-            canonical_label(F.col("response")).alias("predicted_class"),
-            F.lit(FEW_SHOT_CONFIDENCE).alias("confidence"),
-            high.alias("high_confidence_classes"),
-        )
+
+
+def settle(decisions: DataFrame, second_round: DataFrame) -> DataFrame:
+    """Decisions with predicted_class, confidence and second_response; unreadable ones drop out.
+
+    Both branches of the decision are one expression over one join by id, so the
+    decisions are computed once.
+    """
+    second = second_round.select("id", F.col("response").alias("second_response"))
+    only = F.col("branch") == "unique"
+    first_label = F.get("high", F.lit(0))["label"]
+    source = F.when(only, first_label).otherwise(F.col("second_response"))
+    confidence = F.when(only, F.get("high", F.lit(0))["score"]).otherwise(
+        F.lit(FEW_SHOT_CONFIDENCE)
+    )
+    return (
+        decisions.filter("unreadable = 0")
+        .join(second, "id", "left")
+        .withColumn("predicted_class", canonical_label(source))
+        .withColumn("confidence", confidence)
         .filter(F.col("predicted_class").isNotNull())
     )
-    return unique.unionByName(fallback)
 
 
 def dead_letters(scores: DataFrame, decisions: DataFrame, second_round: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import LABELS, OVR_INSTRUCTION
 from claimsift.functions.patterns import token_count
+from claimsift.operators.replies import decide, score_replies, settle
 
 Responder = Callable[[DataFrame], DataFrame]
 
@@ -185,8 +186,8 @@ def request_cost(n_tokens: Column, price: Decimal) -> Column:
 
 
 def classification_cost(
-    scores: DataFrame,
-    fallback: DataFrame,
+    answers: DataFrame,
+    second_round: DataFrame,
     docs: DataFrame,
     text: str = "cleaned_text",
     prompts: dict[str, str] = DEFAULT_PROMPTS,
@@ -195,34 +196,33 @@ def classification_cost(
     output_price: Decimal = OUTPUT_PRICE,
     include_document: bool = False,
 ) -> DataFrame:
-    """(id, ovr_cost, few_shot_cost, total_cost) as decimals.
+    """(id, ovr_cost, few_shot_cost, total_cost) as decimals, per classified document.
 
-    ``scores`` has (id, label, response) of the one-vs-rest round, ``fallback`` has
-    (id, candidates, response) of the few-shot round. A one-vs-rest request counts
-    its class description only, unless ``include_document``. Token counts are taken
-    before any join, so text is never shuffled.
+    ``answers`` has (id, label_ord, label, response) of the one-vs-rest round,
+    ``second_round`` has (id, response) of the few-shot round. A one-vs-rest request
+    counts its class description only, unless ``include_document``. Token counts are
+    taken before any join, so text is never shuffled.
     """
     described = F.create_map(*[F.lit(x) for pair in prompts.items() for x in pair])
     sized = docs.select("id", token_count(F.col(text)).alias("text_tokens"))
-    first = scores.groupBy("id").agg(
-        F.sum(token_count(described[F.col("label")])).alias("asked"),
-        F.sum(token_count(F.lower(F.coalesce("response", F.lit(""))))).alias("said"),
-        F.count("*").alias("rounds"),
+    counted = score_replies(answers).select(
+        "id", "label_ord", "label", "score",
+        token_count(described[F.col("label")]).alias("asked"),
+        token_count(F.lower(F.coalesce("response", F.lit("")))).alias("said"),
     )
-    second = fallback.select(
-        "id",
-        token_count(F.concat(few_shot_head(F.col("candidates"), examples), F.lit('""'))).alias("head"),
-        token_count(F.coalesce("response", F.lit(""))).alias("reply"),
+    decisions = decide(
+        counted, asked=F.sum("asked"), said=F.sum("said"), rounds=F.count("*")
     )
-    joined = first.join(sized, "id").join(second, "id", "left")
+    joined = settle(decisions, second_round).join(sized, "id")
     asked = F.col("asked")
     if include_document:
         asked = asked + F.col("rounds") * F.col("text_tokens")
-    few_shot = F.when(
-        F.col("head").isNotNull(),
-        request_cost(F.col("head") + F.col("text_tokens"), input_price)
-        + request_cost(F.col("reply"), output_price),
-    ).otherwise(F.lit(0))
+    head = token_count(F.concat(few_shot_head(F.col("candidates"), examples), F.lit('""')))
+    reply = token_count(F.coalesce("second_response", F.lit("")))
+    few_shot = F.when(F.col("branch") == "unique", F.lit(0)).otherwise(
+        request_cost(head + F.col("text_tokens"), input_price)
+        + request_cost(reply, output_price)
+    )
     ovr = request_cost(asked, input_price) + request_cost(F.col("said"), output_price)
     money = "decimal(28,8)"
     return joined.select(

@@ -194,15 +194,6 @@ def direct_requests(v):
     return requests.direct_requests(v.cleaned)
 
 
-def _cost_parts(v):
-    decisions = _decisions(v)
-    # a document whose second reply names no class has no result and no cost row
-    fallback = replies.undecided(decisions).select("id", "candidates").join(v.few_shot_responses, "id")
-    done = reply_predictions(v).select("id")
-    scores = v.llm_responses.join(done, "id", "left_semi")
-    return scores, fallback.join(done, "id", "left_semi")
-
-
 @query(f"""
 SELECT id, round(ovr::DOUBLE, 6) AS ovr_cost, round(few::DOUBLE, 6) AS few_shot_cost, round((ovr + few)::DOUBLE, 6) AS total_cost FROM (
   SELECT r.id, (o.asked * {requests.INPUT_PRICE} + o.said * {requests.OUTPUT_PRICE:f})::DECIMAL(28,8) AS ovr,
@@ -213,8 +204,7 @@ SELECT id, round(ovr::DOUBLE, 6) AS ovr_cost, round(few::DOUBLE, 6) AS few_shot_
         FROM llm_responses s JOIN prompts p ON p.label_ord = s.label_ord GROUP BY s.id) o ON o.id = r.id
   LEFT JOIN few_shot_heads h ON h.id = r.id LEFT JOIN few_shot_responses f ON f.id = r.id)""".replace(str(requests.INPUT_PRICE), f"{requests.INPUT_PRICE:f}"), **CTES)
 def classification_cost(v):
-    scores, fallback = _cost_parts(v)
-    costs = requests.classification_cost(scores, fallback, v.cleaned)
+    costs = requests.classification_cost(v.llm_responses, v.few_shot_responses, v.cleaned)
     return rounded(costs, "ovr_cost", "few_shot_cost", "total_cost")
 
 

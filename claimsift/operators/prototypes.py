@@ -125,6 +125,7 @@ def classify_by_prototypes(
     names = F.array(*[F.lit(n) for n in model.classes])
     # the first position of the maximum: ties go to the first label
     best = F.element_at(names, F.array_position("c", F.col("confidence")).cast("int"))
+    best = F.when(F.col("confidence").isNotNull(), best)
     if threshold is not None:
         best = F.when(F.col("confidence") < threshold, UNKNOWN).otherwise(best)
     return settled(scored, keep, best.alias("predicted_class"), F.col("confidence"))

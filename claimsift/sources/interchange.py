@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
 
     Only a local session without the setting gets a folder of its own.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        conf = tempfile.mkdtemp(prefix="claimsift-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return f"{conf.rstrip('/')}/claimsift-{uuid.uuid4().hex}"
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="claimsift-")
+        root = _own_folders[context.applicationId]
+    return f"{root.rstrip('/')}/claimsift-{uuid.uuid4().hex}"
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -104,7 +104,7 @@ _FOLD_FROM, _FOLD_TO = "İıſµ", "iisμ"
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case that keeps equal what ``(?iu)`` calls equal, for :func:`contains_feature`."""
+    """Lower case that keeps equal what ``(?iu)`` calls equal, for :func:`feature_sql`."""
     rare = reduce(lambda a, b: a | b, [text.contains(c) for c in _FOLD_FROM])
     return F.lower(F.when(rare, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
 
@@ -123,16 +123,24 @@ def known_words(folded: Column, features: Iterable[str]) -> Column:
     """Distinct words of the text that occur in any of the features."""
     vocabulary = sorted({w for f in features for w in feature_words(f)})
     words = F.split(folded, f"[^{WORD}]+")
-    return F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))
+    return F.array_intersect(words, F.split(F.lit(" ".join(vocabulary)), " "))
 
 
-def contains_pattern(text: Column, pattern: str) -> Column:
-    """``re.search(pattern, text, IGNORECASE)``."""
-    return text.rlike(IGNORE_CASE + unicode_pattern(pattern))
+def sql_literal(text: str) -> str:
+    """A string as Spark SQL text; raw where possible, so patterns stay readable."""
+    for quote in "'\"":
+        if quote not in text and not text.endswith("\\"):
+            return f"r{quote}{text}{quote}"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def contains_feature(text: Column, folded: Column, words: Column, feature: str) -> Column:
-    """Whole-feature hit, ignoring case.
+def pattern_sql(text: str, pattern: str) -> str:
+    """``re.search(pattern, text, IGNORECASE)`` as SQL text."""
+    return f"{text} RLIKE {sql_literal(IGNORE_CASE + unicode_pattern(pattern))}"
+
+
+def feature_sql(text: str, folded: str, words: str, feature: str) -> str:
+    """Whole-feature hit, ignoring case, as SQL text over three column names.
 
     ``words`` are the text's :func:`known_words`. A one-word feature is a lookup in
     that short list; any other feature is searched for only if all its words are in
@@ -140,15 +148,14 @@ def contains_feature(text: Column, folded: Column, words: Column, feature: str)
     """
     needle = fold_literal(feature)
     if needle is None:
-        return text.rlike("(?iu)" + whole_feature(feature))
+        return f"{text} RLIKE {sql_literal('(?iu)' + whole_feature(feature))}"
     parts = feature_words(feature)
     if parts == [needle]:
-        return F.array_contains(words, needle)
-    present = [F.array_contains(words, w) for w in dict.fromkeys(parts)]
-    return reduce(
-        lambda a, b: a & b,
-        [*present, folded.contains(needle), folded.rlike(whole_feature(needle))],
-    )
+        return f"array_contains({words}, {sql_literal(needle)})"
+    tests = [f"array_contains({words}, {sql_literal(w)})" for w in dict.fromkeys(parts)]
+    tests.append(f"contains({folded}, {sql_literal(needle)})")
+    tests.append(f"{folded} RLIKE {sql_literal(whole_feature(needle))}")
+    return " AND ".join(tests)
 
 
 def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -8,9 +8,8 @@ read once and never shuffled; documents are never joined with features.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import (
@@ -22,10 +21,11 @@ from claimsift.fixed_values import (
     UNKNOWN,
 )
 from claimsift.functions.patterns import (
-    contains_feature,
-    contains_pattern,
+    feature_sql,
     fold_case,
     known_words,
+    pattern_sql,
+    sql_literal,
 )
 from claimsift.functions.plan_shape import settled
 
@@ -90,6 +90,9 @@ def default_rules_rows(spark: SparkSession) -> DataFrame:
 
 
 # -- scoring -------------------------------------------------------------------
+#
+# Hundreds of similar expressions are written as SQL text: one call per DataFrame
+# instead of several per feature.
 
 
 def _column_names(rules: Rules) -> dict[str, str]:
@@ -102,6 +105,17 @@ def _column_names(rules: Rules) -> dict[str, str]:
     return names
 
 
+def _quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
+def _hit_columns(names: dict[str, str], text: str) -> list[str]:
+    return [
+        f"{feature_sql(f'`{text}`', '_folded', '_words', feature)} AS {name}"
+        for feature, name in names.items()
+    ]
+
+
 def _with_words(docs: DataFrame, features, text: str) -> DataFrame:
     """Add the folded text and its known words, each computed once per document."""
     folded = docs.withColumn("_folded", fold_case(F.col(text)))
@@ -112,38 +126,33 @@ def with_hits(docs: DataFrame, rules: Rules, text: str) -> DataFrame:
     """Add one boolean column per distinct feature and semantic pattern; drop the text."""
     names = _column_names(rules)
     keep = [c for c in docs.columns if c != text]
-    hits = [
-        contains_feature(F.col(text), F.col("_folded"), F.col("_words"), feature).alias(name)
-        for feature, name in names.items()
-    ]
     patterns = [
-        contains_pattern(F.col(text), p).alias(f"_pat{c}_{i}")
+        f"{pattern_sql(f'`{text}`', p)} AS _pat{c}_{i}"
         for c, families in enumerate(rules.values())
         for i, p in enumerate(families.get("semantic_patterns", []))
     ]
-    return _with_words(docs, names, text).select(*keep, *hits, *patterns)
+    return _with_words(docs, names, text).selectExpr(
+        *_quoted(keep), *_hit_columns(names, text), *patterns
+    )
 
 
-def _total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts, F.lit(0))
+def _total(flags: list[str]) -> str:
+    return " + ".join(f"CAST({f} AS INT)" for f in flags) or "0"
 
 
-def _family_matches(rules: Rules, label: str, family: str) -> Column:
-    names = _column_names(rules)
-    return _total([F.col(names[f.lower()]).cast("int") for f in rules[label][family]])
+def _matches(rules: Rules, label: str, family: str, names: dict[str, str]) -> str:
+    return _total([names[f.lower()] for f in rules[label][family]])
 
 
-def _pattern_matches(rules: Rules, label: str) -> Column:
+def _pattern_matches(rules: Rules, label: str) -> str:
     c = list(rules).index(label)
-    found = rules[label].get("semantic_patterns", [])
-    return _total([F.col(f"_pat{c}_{i}").cast("int") for i in range(len(found))])
+    return _total([f"_pat{c}_{i}" for i in range(len(rules[label].get("semantic_patterns", [])))])
 
 
-def _truncated(matches: Column, family: str) -> Column:
+def _truncated(matches: str, family: str) -> str:
     """Weighted matches, cut to an integer as the scores are defined."""
     top, bottom = FAMILY_WEIGHTS[family]
-    weighted = matches * top
-    return weighted if bottom == 1 else F.floor(weighted / F.lit(bottom)).cast("int")
+    return f"(({matches}) * {top}) DIV {bottom}"
 
 
 def maximum_score(rules: Rules, label: str) -> float:
@@ -157,21 +166,15 @@ def feature_hits(docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEF
     """One row per document and feature found: (id, class, family, feature)."""
     names = _column_names(rules)
     found = [
-        F.when(
-            F.col(names[f.lower()]),
-            F.struct(
-                F.lit(label).alias("class"),
-                F.lit(family).alias("family"),
-                F.lit(f).alias("feature"),
-            ),
-        )
+        f"CASE WHEN {names[f.lower()]} THEN named_struct('class', {sql_literal(label)}, "
+        f"'family', '{family}', 'feature', {sql_literal(f)}) END"
         for label in rules
         for family in FAMILY_WEIGHTS
         for f in rules[label][family]
     ]
     scored = with_hits(docs.select("id", text), rules, text)
     return (
-        scored.select("id", F.explode(F.array(*found)).alias("h"))
+        scored.selectExpr("id", f"explode(array({', '.join(found)})) AS h")
         .filter(F.col("h").isNotNull())
         .select("id", "h.*")
     )
@@ -179,95 +182,73 @@ def feature_hits(docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEF
 
 def family_scores(docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEFAULT_RULES):
     """(id, class, family, matches, score, total) with truncated weighted scores."""
+    names = _column_names(rules)
     cells = [(label, family) for label in rules for family in FAMILY_WEIGHTS]
-    counts = [
-        _family_matches(rules, label, family).alias(f"m{i}")
-        for i, (label, family) in enumerate(cells)
-    ]
+    counts = [f"{_matches(rules, *cell, names)} AS m{i}" for i, cell in enumerate(cells)]
     rows = []
     for i, (label, family) in enumerate(cells):
         top, bottom = FAMILY_WEIGHTS[family]
         rows.append(
-            F.struct(
-                F.lit(label).alias("class"),
-                F.lit(family).alias("family"),
-                F.col(f"m{i}").cast("bigint").alias("matches"),
-                _truncated(F.col(f"m{i}"), family).cast("bigint").alias("score"),
-                F.lit(len(rules[label][family]) * top // bottom).cast("bigint").alias("total"),
-            )
+            f"named_struct('class', {sql_literal(label)}, 'family', '{family}', "
+            f"'matches', CAST(m{i} AS BIGINT), 'score', {_truncated(f'm{i}', family)}, "
+            f"'total', {len(rules[label][family]) * top // bottom}L)"
         )
-    scored = with_hits(docs.select("id", text), rules, text).select("id", *counts)
-    return scored.select("id", F.explode(F.array(*rows)).alias("s")).select("id", "s.*")
+    scored = with_hits(docs.select("id", text), rules, text).selectExpr("id", *counts)
+    return scored.selectExpr("id", f"explode(array({', '.join(rows)})) AS s").select("id", "s.*")
 
 
 def pattern_scores(docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEFAULT_RULES):
     """(id, class, pattern_hits, pattern_score); this score is not truncated."""
-    counts = [_pattern_matches(rules, label).alias(f"m{i}") for i, label in enumerate(rules)]
+    counts = [f"{_pattern_matches(rules, label)} AS m{i}" for i, label in enumerate(rules)]
     rows = [
-        F.struct(
-            F.lit(label).alias("class"),
-            F.col(f"m{i}").cast("bigint").alias("pattern_hits"),
-            (F.col(f"m{i}") * F.lit(PATTERN_WEIGHT)).alias("pattern_score"),
-        )
+        f"named_struct('class', {sql_literal(label)}, 'pattern_hits', CAST(m{i} AS BIGINT), "
+        f"'pattern_score', m{i} * {PATTERN_WEIGHT}D)"
         for i, label in enumerate(rules)
     ]
-    scored = with_hits(docs.select("id", text), rules, text).select("id", *counts)
-    return scored.select("id", F.explode(F.array(*rows)).alias("s")).select("id", "s.*")
+    scored = with_hits(docs.select("id", text), rules, text).selectExpr("id", *counts)
+    return scored.selectExpr("id", f"explode(array({', '.join(rows)})) AS s").select("id", "s.*")
 
 
-def _confidence(rules: Rules, label: str) -> Column:
-    families = _total(
-        [_truncated(_family_matches(rules, label, f), f) for f in FAMILY_WEIGHTS]
-    )
-    score = families + _pattern_matches(rules, label) * F.lit(PATTERN_WEIGHT)
+def _confidence(rules: Rules, label: str, names: dict[str, str]) -> str:
     limit = maximum_score(rules, label)
-    return score / F.lit(limit) * 100 if limit > 0 else F.lit(0.0)
+    if limit == 0:
+        return "0.0D"
+    parts = [_truncated(_matches(rules, label, f, names), f) for f in FAMILY_WEIGHTS]
+    patterns = f"({_pattern_matches(rules, label)}) * {PATTERN_WEIGHT}D"
+    return f"({' + '.join(parts)} + {patterns}) / {limit}D * 100"
 
 
-def _scores(labels, columns: list[Column]) -> Column:
+def _scores(labels) -> str:
     """One struct per class; the negative position makes the first class win a tie."""
-    return F.array(
-        *[
-            F.struct(
-                c.alias("confidence"), F.lit(-i).alias("rank"), F.lit(label).alias("class")
-            )
-            for i, (label, c) in enumerate(zip(labels, columns))
-        ]
-    )
+    rows = [
+        f"named_struct('confidence', c{i}, 'rank', {-i}, 'class', {sql_literal(label)})"
+        for i, label in enumerate(labels)
+    ]
+    return f"array({', '.join(rows)})"
 
 
 def score_documents(
     docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
     """Replace the text by one confidence column per class, ``c0``, ``c1``, ..."""
+    names = _column_names(rules)
     keep = [c for c in docs.columns if c != text]
-    scores = [
-        _confidence(rules, label).cast("double").alias(f"c{i}") for i, label in enumerate(rules)
-    ]
-    return with_hits(docs, rules, text).select(*keep, *scores)
-
-
-def _score_columns(rules: Rules) -> list[Column]:
-    return [F.col(f"c{i}") for i in range(len(rules))]
+    scores = [f"{_confidence(rules, label, names)} AS c{i}" for i, label in enumerate(rules)]
+    return with_hits(docs, rules, text).selectExpr(*_quoted(keep), *scores)
 
 
 def class_confidence(docs: DataFrame, text: str = "cleaned_text", rules: Rules = DEFAULT_RULES):
     """(id, class, class_ord, confidence), confidence on the 0-100 scale."""
     return (
         score_documents(docs.select("id", text), text, rules)
-        .select("id", F.explode(_scores(rules, _score_columns(rules))).alias("s"))
-        .select(
-            "id",
-            "s.class",
-            (-F.col("s.rank")).cast("bigint").alias("class_ord"),
-            "s.confidence",
-        )
+        .selectExpr("id", f"explode({_scores(rules)}) AS s")
+        .selectExpr("id", "s.class", "CAST(-s.rank AS BIGINT) AS class_ord", "s.confidence")
     )
 
 
-def best_class(scores: Column) -> Column:
-    """Highest confidence; a tie goes to the first class in rule order."""
-    return F.array_max(scores)
+def _best(scored: DataFrame, keep: list[str], labels) -> DataFrame:
+    """Add ``best``: the highest confidence, a tie going to the first class in rule order."""
+    return settled(scored, keep, F.expr(f"array_max({_scores(labels)})").alias("best"))
 
 
 def classify_by_rules(
@@ -278,11 +259,7 @@ def classify_by_rules(
 ) -> DataFrame:
     """Replace the text by ``predicted_class`` and ``confidence``. No shuffle."""
     keep = [c for c in docs.columns if c != text]
-    best = settled(
-        score_documents(docs, text, rules),
-        keep,
-        best_class(_scores(rules, _score_columns(rules))).alias("best"),
-    )
+    best = _best(score_documents(docs, text, rules), keep, rules)
     return best.select(
         *keep,
         F.when(F.col("best.confidence") < threshold, UNKNOWN)
@@ -297,31 +274,24 @@ def classify_by_simple_rules(
 ) -> DataFrame:
     """Unweighted scorer: structure counts once, by the start of the text; no threshold."""
     keep = [c for c in docs.columns if c != text]
-    names = _column_names({k: {**v, "structure_starts": []} for k, v in rules.items()})
-    body = F.col(text)
-    hits = [
-        contains_feature(body, F.col("_folded"), F.col("_words"), f).alias(n)
-        for f, n in names.items()
-    ]
+    names = _column_names({k: {**r, "structure_starts": []} for k, r in rules.items()})
     starts = [
-        reduce(
-            lambda a, b: a | b, [body.startswith(s) for s in r["structure_starts"]], F.lit(False)
-        ).alias(f"_start{c}")
-        for c, r in enumerate(rules.values())
+        " OR ".join(f"startswith(`{text}`, {sql_literal(s)})" for s in r["structure_starts"])
+        for r in rules.values()
     ]
-    scored = _with_words(docs, names, text).select(*keep, *hits, *starts)
+    scored = _with_words(docs, names, text).selectExpr(
+        *_quoted(keep),
+        *_hit_columns(names, text),
+        *[f"{s or 'false'} AS _start{c}" for c, s in enumerate(starts)],
+    )
     confidences = []
-    for c, (label, r) in enumerate(rules.items()):
+    for c, r in enumerate(rules.values()):
         words = [f for g in ("keywords", "required_fields", "measurements") for f in r[g]]
-        points = _total([F.col(names[f.lower()]).cast("int") for f in words])
-        points = points + F.col(f"_start{c}").cast("int")
-        criteria = len(words) + (1 if r["structure_starts"] else 0)
-        confidences.append(points / F.lit(criteria) * 100 if criteria else F.lit(0.0))
-    best = settled(
-        scored.select(*keep, *[c.alias(f"c{i}") for i, c in enumerate(confidences)]),
-        keep,
-        best_class(_scores(rules, _score_columns(rules))).alias("best"),
-    )
+        points = _total([*[names[f.lower()] for f in words], f"_start{c}"])
+        criteria = len(words) + bool(r["structure_starts"])
+        share = f"({points}) / {criteria}D * 100" if criteria else "0.0D"
+        confidences.append(f"{share} AS c{c}")
+    best = _best(scored.selectExpr(*_quoted(keep), *confidences), keep, rules)
     return best.select(
         *keep,
         F.col("best.class").alias("predicted_class"),

@@ -24,7 +24,7 @@ def model_and_vectors(v, per_label: int = 4):
     """The prototype model and the vectors outside the (at most 4 per label) prototypes."""
     chosen = v.prototypes if per_label == 4 else p.first_vectors_per_label(v.embeddings, per_label=per_label)
     model = p.PrototypeModel.fit(chosen.select("vec_id", "label", "embedding"))
-    held_out = p.PrototypeModel.fit(v.prototypes).ids
+    held_out = model.ids if per_label == 4 else p.PrototypeModel.fit(v.prototypes).ids
     rest = v.embeddings.filter(~F.col("vec_id").isin(held_out))
     return model, rest.select("vec_id", F.col("label").cast("string").alias("ground_truth"), "embedding")
 

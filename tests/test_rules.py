@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import DEFAULT_RULES, SIMPLE_RULES
-from claimsift.functions.patterns import contains_feature, contains_pattern, fold_case, known_words
+from claimsift.functions.patterns import feature_sql, fold_case, known_words, pattern_sql
 from claimsift.operators import rules
 
 EDGES = [
@@ -24,9 +24,9 @@ def texts(spark, extra=()):
 
 def check(df):
     folded = df.withColumn("f", fold_case(F.col("t"))).withColumn("w", known_words(F.col("f"), FEATURES))
-    hits = [contains_feature(F.col("t"), F.col("f"), F.col("w"), x).alias(f"h{i}") for i, x in enumerate(FEATURES)]
-    pats = [contains_pattern(F.col("t"), p).alias(f"p{i}") for i, p in enumerate(PATTERNS)]
-    for row in folded.select("t", *hits, *pats).collect():
+    hits = [f"{feature_sql('t', 'f', 'w', x)} AS h{i}" for i, x in enumerate(FEATURES)]
+    pats = [f"{pattern_sql('t', p)} AS p{i}" for i, p in enumerate(PATTERNS)]
+    for row in folded.selectExpr("t", *hits, *pats).collect():
         for i, x in enumerate(FEATURES):
             want = bool(re.search(rf"\b{re.escape(x)}\b", row.t, re.IGNORECASE))
             assert row[f"h{i}"] == want, (x, row.t)
@@ -45,7 +45,7 @@ def test_every_document_matches_python(views):
 def test_custom_feature_outside_the_folding(spark):
     df = spark.createDataFrame([("straße ÉTÉ",)], "t string")
     df = df.withColumn("f", fold_case(F.col("t"))).withColumn("w", known_words(F.col("f"), ["été"]))
-    assert df.select(contains_feature(F.col("t"), F.col("f"), F.col("w"), "été")).first()[0]
+    assert df.selectExpr(feature_sql("t", "f", "w", "été")).first()[0]
 
 
 def score(spark, *rows):

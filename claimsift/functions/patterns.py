@@ -134,9 +134,71 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pattern_sql(text: str, pattern: str) -> str:
-    """``re.search(pattern, text, IGNORECASE)`` as SQL text."""
-    return f"{text} RLIKE {sql_literal(IGNORE_CASE + unicode_pattern(pattern))}"
+def required_literals(pattern: str) -> list[list[str]]:
+    """Literals a match must contain: of every inner list at least one.
+
+    Looks at the top level only: literal runs, and groups of plain alternatives
+    joined with the literals next to them. Anything else ends a run, so the answer
+    may be incomplete but never wrong.
+    """
+    runs: list[list[str]] = []
+    run: list[str] | None = None
+    i = 0
+
+    def extend(alternatives: list[str]) -> None:
+        nonlocal run
+        run = [a + b for a in (run or [""]) for b in alternatives]
+
+    def stop() -> None:
+        nonlocal run
+        if run and all(len(x.strip()) > 0 for x in run) and len(run) <= 16:
+            runs.append(run)
+        run = None
+
+    while i < len(pattern):
+        ch, step, found = pattern[i], 1, None
+        if ch == "|":
+            return []
+        if ch == "\\":
+            step = 2
+            found = None if pattern[i + 1].isalnum() else [pattern[i + 1]]
+        elif ch == "[":
+            step = pattern.index("]", i) + 1 - i
+        elif ch == "(":
+            depth, j = 1, i + 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(pattern[j], 0) * (pattern[j - 1] != "\\")
+                j += 1
+            step = j - i
+            body = pattern[i + 1 : j - 1].removeprefix("?:")
+            plain = re.fullmatch(r"[A-Za-z ]+(\|[A-Za-z ]+)*", body)
+            found = body.split("|") if plain else None
+        elif ch not in ".^$":
+            found = [ch]
+        i += step
+        quantifier = pattern[i] if i < len(pattern) and pattern[i] in "?*+{" else ""
+        if found and quantifier in ("", "+"):
+            extend(found)
+        if not found or quantifier:
+            stop()
+        if quantifier:
+            i = pattern.index("}", i) + 1 if quantifier == "{" else i + 1
+    stop()
+    return runs
+
+
+def pattern_sql(text: str, folded: str, pattern: str) -> str:
+    """``re.search(pattern, text, IGNORECASE)`` as SQL text over two column names.
+
+    Byte-wise substring tests for the literals a match needs come first.
+    """
+    tests = []
+    for literals in required_literals(pattern):
+        needles = [fold_literal(x) for x in literals]
+        if None not in needles:
+            tests.append("(" + " OR ".join(f"contains({folded}, {sql_literal(n)})" for n in needles) + ")")
+    tests.append(f"{text} RLIKE {sql_literal(IGNORE_CASE + unicode_pattern(pattern))}")
+    return " AND ".join(tests)
 
 
 def feature_sql(text: str, folded: str, words: str, feature: str) -> str:
@@ -158,14 +220,31 @@ def feature_sql(text: str, folded: str, words: str, feature: str) -> str:
     return " AND ".join(tests)
 
 
-def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    flags = IGNORE_CASE if ignore_case else "(?d)"
-    return F.regexp_count(text, F.lit(flags + unicode_pattern(pattern)))
+def _worth_a_look(pattern: str, text: Column, folded: Column | None) -> Column:
+    """False only where the pattern cannot match."""
+    where = text if folded is None else folded
+    tests = [F.lit(True)]
+    for literals in required_literals(pattern):
+        needles = literals if folded is None else [fold_literal(x) for x in literals]
+        if None not in needles:
+            tests.append(reduce(lambda a, b: a | b, [where.contains(n) for n in needles]))
+    return reduce(lambda a, b: a & b, tests)
+
+
+def count_matches(text: Column, pattern: str, folded: Column | None = None) -> Column:
+    """Number of matches; ignoring case if the :func:`fold_case` of the text is given."""
+    flags = "(?d)" if folded is None else IGNORE_CASE
+    count = F.regexp_count(text, F.lit(flags + unicode_pattern(pattern)))
+    return F.when(_worth_a_look(pattern, text, folded), count).otherwise(0)
 
 
-def all_matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    flags = IGNORE_CASE if ignore_case else "(?d)"
-    return F.regexp_extract_all(text, F.lit(flags + unicode_pattern(pattern)), F.lit(0))
+def all_matches(text: Column, pattern: str, folded: Column | None = None) -> Column:
+    """All matches in order; ignoring case if the :func:`fold_case` of the text is given."""
+    flags = "(?d)" if folded is None else IGNORE_CASE
+    found = F.regexp_extract_all(text, F.lit(flags + unicode_pattern(pattern)), F.lit(0))
+    return F.when(_worth_a_look(pattern, text, folded), found).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def tokens(text: Column) -> Column:

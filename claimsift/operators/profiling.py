@@ -13,6 +13,7 @@ Input: documents with ``id``, ``label`` and ``text``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from claimsift.functions.patterns import (
     WORD,
     all_matches,
     count_matches,
+    fold_case,
     strip,
     token_count,
     tokens,
@@ -53,12 +55,12 @@ def _sum(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
 
-def _matches(text: Column, family: str) -> Column:
+def _matches(family: str) -> Column:
+    """Matches of a whole family in ``text``, given its folded form ``_folded``."""
     patterns, ignore_case = PATTERN_FAMILIES[family]
-    total = count_matches(text, patterns[0], ignore_case)
-    for pattern in patterns[1:]:
-        total = total + count_matches(text, pattern, ignore_case)
-    return total
+    folded = F.col("_folded") if ignore_case else None
+    counts = [count_matches(F.col("text"), p, folded) for p in patterns]
+    return reduce(lambda a, b: a + b, counts)
 
 
 def _listed(words: Column, terms: Sequence[str]) -> Column:
@@ -125,18 +127,19 @@ def first_lines(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def pattern_counts(docs: DataFrame, family: str) -> DataFrame:
     """(label, matches) over all patterns of a family."""
-    return docs.groupBy("label").agg(_sum(_matches(F.col("text"), family)).alias("matches"))
+    folded = docs.withColumn("_folded", fold_case(F.col("text")))
+    return folded.groupBy("label").agg(_sum(_matches(family)).alias("matches"))
 
 
 def pattern_samples(docs: DataFrame, family: str, k: int = 2) -> DataFrame:
     """(label, sample_no, sample): first k matches in (pattern, document, position) order."""
     patterns, ignore_case = PATTERN_FAMILIES[family]
     # k matches per document and pattern are enough to decide the first k of a label
-    found = F.array(
-        *[F.slice(all_matches(F.col("text"), p, ignore_case), 1, k) for p in patterns]
-    )
+    folded = F.col("_folded") if ignore_case else None
+    found = F.array(*[F.slice(all_matches(F.col("text"), p, folded), 1, k) for p in patterns])
     matches = (
-        docs.select("label", "id", F.posexplode(found).alias("pattern_no", "m"))
+        docs.withColumn("_folded", fold_case(F.col("text")))
+        .select("label", "id", F.posexplode(found).alias("pattern_no", "m"))
         .select("label", "pattern_no", "id", F.posexplode_outer("m").alias("pos", "sample"))
         .filter("sample IS NOT NULL")
     )
@@ -194,14 +197,16 @@ def title_counts(docs: DataFrame, titles: Sequence[str] = PROFESSIONAL_TITLES) -
 def corpus_profile(docs: DataFrame) -> DataFrame:
     """All counting analyses in one scan and one small shuffle: (label, metric, value)."""
     text = F.col("text")
-    prepared = docs.select("label", "text", tokens(F.lower("text")).alias("w"))
+    prepared = docs.select(
+        "label", "text", fold_case(text).alias("_folded"), tokens(F.lower("text")).alias("w")
+    )
     per_doc = prepared.select(
         "label",
         F.lit(1).alias("documents"),
         F.size("w").alias("words"),
         F.regexp_count(text, F.lit(SENTENCE_END)).alias("sentences"),
         F.length(text).alias("characters"),
-        *[_matches(text, family).alias(family) for family in PATTERN_FAMILIES],
+        *[_matches(family).alias(family) for family in PATTERN_FAMILIES],
         count_matches(text, NUMBER_PATTERN).alias("numbers"),
         count_matches(text, PERCENTAGE_PATTERN).alias("percentages"),
         _listed(F.col("w"), MEDICAL_TERMS).alias("medical_terms"),

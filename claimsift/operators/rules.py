@@ -127,7 +127,7 @@ def with_hits(docs: DataFrame, rules: Rules, text: str) -> DataFrame:
     names = _column_names(rules)
     keep = [c for c in docs.columns if c != text]
     patterns = [
-        f"{pattern_sql(f'`{text}`', p)} AS _pat{c}_{i}"
+        f"{pattern_sql(f'`{text}`', '_folded', p)} AS _pat{c}_{i}"
         for c, families in enumerate(rules.values())
         for i, p in enumerate(families.get("semantic_patterns", []))
     ]

@@ -25,7 +25,7 @@ def texts(spark, extra=()):
 def check(df):
     folded = df.withColumn("f", fold_case(F.col("t"))).withColumn("w", known_words(F.col("f"), FEATURES))
     hits = [f"{feature_sql('t', 'f', 'w', x)} AS h{i}" for i, x in enumerate(FEATURES)]
-    pats = [f"{pattern_sql('t', p)} AS p{i}" for i, p in enumerate(PATTERNS)]
+    pats = [f"{pattern_sql('t', 'f', p)} AS p{i}" for i, p in enumerate(PATTERNS)]
     for row in folded.selectExpr("t", *hits, *pats).collect():
         for i, x in enumerate(FEATURES):
             want = bool(re.search(rf"\b{re.escape(x)}\b", row.t, re.IGNORECASE))
@@ -42,6 +42,16 @@ def test_every_document_matches_python(views):
     check(views.cleaned.select("id", F.col("cleaned_text").alias("t")))
 
 
+def test_required_literals():
+    from claimsift.functions.patterns import required_literals as needs
+
+    assert needs(r"\d+(\.\d+)?\s*hours?\s*(per|/)\s*(night|day)") == [["hour"], ["night", "day"]]
+    assert needs(r"Take\s+\d+\s+tablet\(s\)\s+\w+") == [["Take"], ["tablet(s)"]]
+    assert needs(r"(?:Name|ID):\s*\S+") == [["Name:", "ID:"]]
+    assert needs(r"a|b") == [] and needs(r"x*y{0,2}z+\d") == [["z"]]
+    assert needs(r"(a(b|c))?d") == [["d"]]
+
+
 def test_custom_feature_outside_the_folding(spark):
     df = spark.createDataFrame([("straße ÉTÉ",)], "t string")
     df = df.withColumn("f", fold_case(F.col("t"))).withColumn("w", known_words(F.col("f"), ["été"]))

@@ -155,29 +155,54 @@ def uncached_requests(
     return distinct.join(known, ["text_hash", "label"], "left_anti")
 
 
-def answer_requests(requests: DataFrame, cache: DataFrame, responder: Responder) -> DataFrame:
-    """Replies for all requests, asking the responder once per new (text, label).
-
-    ``cache`` has (text_hash, label, response), unique per key. Replies are brought
-    back by a salted join, so the copies of one text spread over many tasks.
+def answer_requests(
+    docs: DataFrame,
+    cache: DataFrame,
+    responder: Responder,
+    text: str = "cleaned_text",
+    prompts: dict[str, str] = DEFAULT_PROMPTS,
+    salts: int = 32,
+) -> DataFrame:
+    """(id, label_ord, label, response) for every document and class.
+
+    The responder is asked once per new (text, class); ``cache`` has
+    (text_hash, label, response), unique per key, and answers the rest. The
+    responder gets text_hash, label_ord, label, system_text, user_text and adds
+    ``response``. Keys are worked out on hashes; only the text of one copy of each
+    unanswered document moves. Replies go back as one row per text through a salted
+    join, so the copies of one text spread over many tasks.
     """
-    salts = 32
-    hashed = requests.withColumn("text_hash", F.sha2("user_text", 256))
-    new_keys = uncached_requests(requests, cache).select("text_hash", "label", "first_id")
-    asked = hashed.join(
-        new_keys.withColumnRenamed("first_id", "id"), ["text_hash", "label", "id"], "left_semi"
-    )
-    replies = cache.select("text_hash", "label", "response").unionByName(
-        responder(asked).select("text_hash", "label", "response")
-    )
-    spread = replies.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    salted = hashed.select("id", "label_ord", "label", "text_hash").withColumn(
-        "_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    )
-    return salted.join(spread, ["text_hash", "label", "_salt"]).select(
-        "id", "label_ord", "label", "response"
+    hashed = docs.select("id", F.sha2(F.col(text), 256).alias("text_hash"))
+    one_copy = hashed.groupBy("text_hash").agg(F.min("id").alias("id"))
+    wanted = one_copy.select("id", "text_hash", _fan_out(prompts).alias("q")).select(
+        "id", "text_hash", "q.*"
+    )
+    key = ["text_hash", "label"]
+    known = wanted.join(cache.select(*key, "response"), key)
+    missing = (
+        wanted.join(cache.select(*key), key, "left_anti")
+        .groupBy("id", "text_hash")
+        .agg(F.collect_list(F.struct("label_ord", "label", "system_text")).alias("q"))
+    )
+    asked = (
+        docs.select("id", F.col(text).alias("user_text"))
+        .join(missing, "id")
+        .select("text_hash", "user_text", F.explode_outer("q").alias("q"))
+        .select("text_hash", "user_text", "q.*")
+    )
+    columns = ["text_hash", "label_ord", "label", "response"]
+    replies = (
+        known.select(columns)
+        .unionByName(responder(asked).select(columns))
+        .groupBy("text_hash")
+        .agg(F.collect_list(F.struct("label_ord", "label", "response")).alias("a"))
+        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    )
+    salted = hashed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return (
+        salted.join(replies, ["text_hash", "_salt"])
+        .select("id", F.explode_outer("a").alias("a"))
+        .select("id", "a.*")
     )
 
 

@@ -214,14 +214,31 @@ SELECT text_hash, label, documents, first_id FROM (
 WHERE (text_hash, label) NOT IN (SELECT (sha256(text), l.label) FROM doc_class d JOIN label_dim l ON l.label_ord = d.truth_ord)""")
 def uncached_requests(v):
     """Every text was asked about its own class before; the other classes are new."""
-    texts = v.doc_class.select("doc_id", "text", "truth_ord")
-    docs = texts.select(F.col("doc_id").alias("id"), "text")
-    cache = texts.join(F.broadcast(v.label_dim), F.col("label_ord") == F.col("truth_ord")).select(
-        F.sha2("text", 256).alias("text_hash"), "label"
-    )
+    docs, cache = _docs_and_cache(v)
     return requests.uncached_requests(requests.one_vs_rest_requests(docs, "text"), cache)
 
 
+def _docs_and_cache(v):
+    texts = v.doc_class.select(F.col("doc_id").alias("id"), "text", "truth_ord")
+    asked = texts.join(F.broadcast(v.label_dim), F.col("label_ord") == F.col("truth_ord"))
+    cache = asked.select(F.sha2("text", 256).alias("text_hash"), "label").distinct()
+    return texts.select("id", "text"), cache.withColumn("response", F.lit("known"))
+
+
+@query("""
+SELECT d.doc_id AS id, CAST(l.label_ord AS BIGINT) AS label_ord, l.label,
+       CASE WHEN k.label IS NULL THEN concat('Yes, ', length(d.text) % 100, '%') ELSE 'known' END AS response
+FROM doc_class d CROSS JOIN label_dim l
+LEFT JOIN (SELECT DISTINCT text, c.label FROM doc_class JOIN label_dim c ON c.label_ord = truth_ord) k ON k.text = d.text AND k.label = l.label""")
+def answer_requests(v):
+    """Known replies from the cache, the others from a responder made of columns."""
+    docs, cache = _docs_and_cache(v)
+    answer = F.concat(F.lit("Yes, "), (F.length("user_text") % 100).cast("string"), F.lit("%"))
+    return requests.answer_requests(
+        docs, cache, lambda asked: asked.withColumn("response", answer), "text"
+    )
+
+
 @query(f"""
 SELECT id, 'one_vs_rest' AS round, label, response, 'no percentage after yes' AS reason FROM reply_scores WHERE score IS NULL
 UNION ALL

@@ -34,12 +34,15 @@ def vector_predictions(v):
     return p.classify_by_prototypes(vectors, model)
 
 
-@query("SELECT vec_id, label::BIGINT AS label, list_aggregate(embedding, 'sum')::DOUBLE > 0 AS positive_sum, len(embedding) AS dims FROM prototypes")
+@query("""SELECT vec_id, label::BIGINT AS label, len(embedding) AS dims,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM prototypes""")
 def prototype_set(v):
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    squares = F.aggregate(
+        "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")
+    )
     return v.prototypes.select(
         "vec_id", F.col("label").cast("bigint").alias("label"),
-        (total > 0).alias("positive_sum"), F.size("embedding").cast("bigint").alias("dims"),
+        F.size("embedding").cast("bigint").alias("dims"), F.round(F.sqrt(squares), 6).alias("norm"),
     )
 
 

@@ -99,10 +99,10 @@ def test_requests_are_asked_once_per_text(spark):
         def run(batches):
             for b in batches:
                 seen.add(len(b))
-                yield b.assign(response="new")[["text_hash", "label", "response"]]
-        return df.mapInPandas(run, "text_hash string, label string, response string")
+                yield b.assign(response="new")[["text_hash", "label_ord", "label", "response"]]
+        return df.mapInPandas(run, "text_hash string, label_ord bigint, label string, response string")
 
-    out = requests.answer_requests(asked, cache, responder)
+    out = requests.answer_requests(docs, cache, responder)
     got = {(r.response, r["count"]) for r in out.groupBy("response").count().collect()}
     assert got == {("cached", 100), ("new", 500)}
     assert seen.value == 11 * 5

@@ -138,21 +138,31 @@ def few_shot_requests(
     )
 
 
+def _distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """(text_hash, documents, first_id); a text with many copies is one row per task before it moves."""
+    return (
+        docs.select("id", F.sha2(F.col(text), 256).alias("text_hash"))
+        .groupBy("text_hash")
+        .agg(F.count("*").alias("documents"), F.min("id").alias("first_id"))
+    )
+
+
 def uncached_requests(
-    requests: DataFrame, cache: DataFrame, text: str = "user_text"
+    docs: DataFrame,
+    cache: DataFrame,
+    text: str = "cleaned_text",
+    prompts: dict[str, str] = DEFAULT_PROMPTS,
 ) -> DataFrame:
     """(text_hash, label, documents, first_id): what still has to be asked.
 
-    Copies of a text share one request. They are counted by hash before the
-    shuffle, so a text with many copies is one row by the time it moves; the text
-    itself does not move at all.
+    Copies of a text share one request per class. Hashes move, texts do not, and the
+    classes are added after the copies have been counted.
     """
-    distinct = (
-        requests.groupBy(F.sha2(F.col(text), 256).alias("text_hash"), "label")
-        .agg(F.count("*").alias("documents"), F.min("id").alias("first_id"))
+    wanted = _distinct_texts(docs, text).select("*", _fan_out(prompts).alias("q"))
+    known = cache.select("text_hash", "label")
+    return wanted.select("text_hash", "q.label", "documents", "first_id").join(
+        known, ["text_hash", "label"], "left_anti"
     )
-    known = cache.select("text_hash", "label").distinct()
-    return distinct.join(known, ["text_hash", "label"], "left_anti")
 
 
 def answer_requests(
@@ -173,9 +183,10 @@ def answer_requests(
     join, so the copies of one text spread over many tasks.
     """
     hashed = docs.select("id", F.sha2(F.col(text), 256).alias("text_hash"))
-    one_copy = hashed.groupBy("text_hash").agg(F.min("id").alias("id"))
-    wanted = one_copy.select("id", "text_hash", _fan_out(prompts).alias("q")).select(
-        "id", "text_hash", "q.*"
+    wanted = (
+        _distinct_texts(docs, text)
+        .select(F.col("first_id").alias("id"), "text_hash", _fan_out(prompts).alias("q"))
+        .select("id", "text_hash", "q.*")
     )
     key = ["text_hash", "label"]
     known = wanted.join(cache.select(*key, "response"), key)

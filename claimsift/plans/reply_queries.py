@@ -215,7 +215,7 @@ WHERE (text_hash, label) NOT IN (SELECT (sha256(text), l.label) FROM doc_class d
 def uncached_requests(v):
     """Every text was asked about its own class before; the other classes are new."""
     docs, cache = _docs_and_cache(v)
-    return requests.uncached_requests(requests.one_vs_rest_requests(docs, "text"), cache)
+    return requests.uncached_requests(docs, cache, "text")
 
 
 def _docs_and_cache(v):

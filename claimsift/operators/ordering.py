@@ -14,19 +14,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# groups whose cut points and offsets may be broadcast
+MAX_GROUPS = 1000
+
+
 def _slice_count(df: DataFrame, slices: int | None) -> int:
     if slices:
         return slices
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _few_rows(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """The same rows, or an error when there are more than ``limit`` of them.
+
+    Guards what is broadcast: the check is part of the plan and costs no extra job.
+    """
+    total = F.count("*").over(Window.partitionBy())
+    too_many = F.raise_error(F.lit(f"more than {limit} {what}")).cast("boolean")
+    return (
+        df.withColumn("_rows", total)
+        .filter(F.when(F.col("_rows") > limit, too_many).otherwise(F.lit(True)))
+        .drop("_rows")
+    )
+
+
 def _with_slices(df: DataFrame, order: str, by: Sequence[str], slices: int) -> DataFrame:
     cuts = [i / slices for i in range(1, slices)]
     bounds = df.groupBy(*by).agg(
         F.percentile_approx(order, cuts, F.lit(max(10_000, 10 * slices))).alias("_bounds")
     )
     # one row per group of `by`, each an array of `slices` numbers
-    placed = df.join(F.broadcast(bounds), list(by))
+    placed = df.join(F.broadcast(_few_rows(bounds, MAX_GROUPS, "groups")), list(by))
     position = F.col(order)
     return placed.withColumn(
         "_slice", F.size(F.filter("_bounds", lambda b: b < position))
@@ -42,11 +60,11 @@ def running_totals(
 ) -> DataFrame:
     """Add ``name`` = running total of each measure up to and including the row.
 
-    ``order`` must be numeric and unique within ``by``; ``by`` must have few groups
-    (its per-group cut points are broadcast).
+    ``order`` must be numeric and unique within ``by``. The cut points and offsets of
+    each group are broadcast, so more than ``MAX_GROUPS`` groups are an error.
     """
     columns, names = df.columns, list(measures)
-    if not by:
+    if not by:  # one group
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     by = list(by)
     sliced = _with_slices(df, order, by, _slice_count(df, slices))

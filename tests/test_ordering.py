@@ -42,3 +42,10 @@ def test_quantiles_match_numpy(spark, rule, method):
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     for r in o.exact_quantiles(df, "x", "g", ps, rule).collect():
         assert r.quantile == pytest.approx(np.quantile(data[r.g], r.probability, method=method)), (r.g, r.probability)
+
+
+def test_too_many_groups_are_refused(spark):
+    df = spark.range(5000).select("id", F.col("id").alias("g"))
+    with pytest.raises(Exception, match="more than 1000 groups"):
+        o.running_totals(df, "id", {"n": F.lit(1)}, by=["g"], slices=2).count()
+    assert o.running_totals(df.filter("id < 1000"), "id", {"n": F.lit(1)}, by=["g"], slices=2).count() == 1000

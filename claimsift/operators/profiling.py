@@ -222,11 +222,13 @@ def top_terms(
     docs: DataFrame, k: int = 200, min_length: int = 2, stop_words: Sequence[str] = ()
 ) -> DataFrame:
     """(label, term, occurrences, place): the k most frequent words per label."""
-    keep = lambda w: w.rlike(f"[{WORD}]") & (F.length(w) >= min_length) & (
-        ~w.isin(list(stop_words)) if stop_words else F.lit(True)
+    words = F.regexp_extract_all(
+        F.lower("text"), F.lit(f"[{WORD}]{{{min_length},}}"), F.lit(0)
     )
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     counts = (
-        docs.select("label", F.explode_outer(F.filter(tokens(F.lower("text")), keep)).alias("term"))
+        docs.select("label", F.explode_outer(words).alias("term"))
         .filter("term IS NOT NULL")
         .groupBy("label", "term")
         .agg(F.count("*").alias("occurrences"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimsift.llm.byte_bpe import bpe_round_trip
 from claimsift.llm.common import crc_bucket, table
+from claimsift.llm.decontaminate import contaminated
 from claimsift.llm.language import fit, identify
 from claimsift.llm.line_runs import dedup_lines
 from claimsift.llm.simhash import simhash_groups
@@ -49,6 +50,12 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, "doc_id", "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@query
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs, "doc_id", "text", items, "item_id", "text")
+
+
 @query
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.llm.byte_bpe import bpe_round_trip
 from claimsift.llm.common import crc_bucket, table
 from claimsift.llm.decontaminate import contaminated
 from claimsift.llm.language import fit, identify
+from claimsift.llm.licenses import scan_licenses
 from claimsift.llm.line_runs import dedup_lines
+from claimsift.llm.page_text import extract_main_text
+from claimsift.llm.paragraph_sketch import fingerprint_versions
 from claimsift.llm.simhash import simhash_groups
+from claimsift.llm.token_counts import section_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: The rank file and the pattern of the byte-level BPE.
+COUNTING_RANKS = "byte_bpe_50k.tiktoken"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -26,6 +31,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@query
+def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return section_tokens(docs, "doc_id", "text", public_tokenizers.path(COUNTING_RANKS), public_tokenizers.PATTERN)
+
+
 @query
 def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,6 +47,11 @@ def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html").select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op4_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +72,30 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, "doc_id", "text", items, "item_id", "text")
 
 
+@query
+def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint_versions(docs, "doc_id", "text").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
+def file_paths() -> Column:
+    """Documents as files: source/language/two levels/name; every 50th is a licence file, on one of the four levels."""
+    id_ = F.coalesce("doc_id", F.lit(0))
+    folders = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.lit("a"), id_ % 7), F.concat(F.lit("b"), id_ % 11)]
+    level = (F.floor(id_ / 50) % 4 + 1).cast("int")
+    license_path = F.concat(F.array_join(F.slice(F.array(*folders), F.lit(1), level), "/"), F.lit("/LICENSE"))
+    return F.when(id_ % 50 == 0, license_path).otherwise(F.concat_ws("/", *folders, F.concat(id_, F.lit(".txt"))))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", file_paths().alias("path"))
+    return scan_licenses(files, "doc_id", "path", "text")
+
+
 @query
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

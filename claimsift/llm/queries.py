@@ -18,6 +18,8 @@ from claimsift.llm.page_text import extract_main_text
 from claimsift.llm.paragraph_sketch import fingerprint_versions
 from claimsift.llm.simhash import simhash_groups
 from claimsift.llm.token_counts import section_tokens
+from claimsift.llm.toxicity import TOXIC_FROM, score_documents
+from claimsift.llm.toxicity import fit as fit_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +62,16 @@ def op4_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    network = fit_toxicity(docs.filter(~held_out), "doc_id", "text", labels, "toxic")
+    scored = score_documents(docs, "doc_id", "text", network, held_out.alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 @query
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -61,7 +61,8 @@ class ContextTree:
         self.languages = sorted(counts)
         self.order = order
         n_langs = len(self.languages)
-        seen = np.unique(np.concatenate([counts[lang][0][0] for lang in self.languages] or [np.empty(0, np.uint64)])).astype(int)
+        # the line feed stands before every text, so it has a class of its own even if no text holds it
+        seen = np.unique(np.concatenate([np.array([10], np.uint64), *(counts[lang][0][0] for lang in self.languages)])).astype(int)
         self.byte_class = np.zeros(256, np.int64)  # class 0: bytes that no language has shown
         self.byte_class[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
@@ -143,7 +144,7 @@ class ContextTree:
             lengths = np.array([len(r) for r in raw[start:end]])
             classes = self.byte_class[np.frombuffer(b"".join(b"\n" * self.order + r for r in raw[start:end]), np.uint8)]
             node = np.ones(len(classes), np.int64)
-            deepest = node
+            deepest = node.copy()
             for back in range(1, self.order + 1):
                 node[back:] = flat_child[node[back:] * self.width + classes[:-back]]
                 node[:back] = 0
@@ -159,8 +160,8 @@ class ContextTree:
         names = [UNDETERMINED] * len(texts)
         score, per_byte = np.zeros(len(texts)), np.zeros(len(texts))
         rows = [k for k, t in enumerate(texts) if self.languages and HAS_LETTER(t)]
-        bits = self.score([texts[k] for k in rows])
         if rows:
+            bits = self.score([texts[k] for k in rows])
             best = bits.argmin(axis=1)
             low = bits[np.arange(len(rows)), best]
             score[rows] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)

@@ -6,12 +6,16 @@ they stand (tests/llm tries all ways). Seeds of documents are joined with seeds
 document, an item and an offset between them, and around the hit the aligned words are compared: an overlap counts if
 some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
 
-Of the document seeds only those leave the scan that pass a Bloom filter of the benchmark seeds. The filter has a fixed
-size: a larger benchmark makes it pass more, never miss any.
+Of the document seeds only those leave the scan whose words at the places common to the masks are flagged as words of
+an item, and that pass a Bloom filter of the benchmark seeds. Flags and filter have fixed sizes: a larger benchmark makes
+them pass more, never miss any.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,36 +24,50 @@ from claimsift.llm.common import cut
 #: Words of a stretch that each mask selects.
 MASKS = ((0, 2, 3, 6, 7, 8), (0, 1, 2, 7, 9, 10))
 STRETCH, AGREEING = 16, 0.8
+#: Places that all masks select: a seed can only match where an item has words with such hashes there.
+COMMON = sorted(set.intersection(*map(set, MASKS)))
+#: Low bits of a word's hash that the flags of item words tell apart.
+FLAG_BITS = 16
 #: Bits of the filter: 2 ** FILTER_BITS, in words of 64; three bits are set for a seed.
 FILTER_BITS = 20
 PROBES = (0, 21, 42)
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _starts(hashes: Column, mask: tuple[int, ...]) -> Column:
-    last = F.size(hashes) - mask[-1] - 1
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-
 def _seed(hashes: Column, start: Column, number: int) -> Column:
     return F.xxhash64(F.lit(number), *[F.get(hashes, start + place) for place in MASKS[number]])
 
 
-def _seeds(hashes: Column, passes=None) -> Column:
-    """array of (place, seed) for all masks; only those seeds that ``passes``."""
+def _starts(hashes: Column) -> Column:
+    last = F.size(hashes) - min(mask[-1] for mask in MASKS) - 1
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _seeds(hashes: Column, starts: Column, passes=None) -> Column:
+    """array of (place, seed) for all masks from the given starts; only those seeds that ``passes``."""
+
     def of_mask(number: int) -> Column:
-        starts = _starts(hashes, MASKS[number])
-        if passes is not None:
-            starts = F.filter(starts, lambda start: passes(_seed(hashes, start, number)))
-        return F.transform(starts, lambda start: F.struct(start.alias("place"), _seed(hashes, start, number).alias("seed")))
+        def wanted(start: Column) -> Column:
+            inside = start + MASKS[number][-1] < F.size(hashes)
+            return inside if passes is None else inside & passes(_seed(hashes, start, number))
+
+        return F.transform(F.filter(starts, wanted), lambda start: F.struct(start.alias("place"), _seed(hashes, start, number).alias("seed")))
 
     return F.concat(*[of_mask(number) for number in range(len(MASKS))])
 
 
+def word_flags(items: DataFrame) -> Column:
+    """A constant array of booleans by the low bits of a word's hash: whether a word of an item has them."""
+    low = F.col("word").bitwiseAND(F.lit(2**FLAG_BITS - 1))
+    rows = items.select(F.explode("item_words").alias("word")).select(low.cast("int").alias("k")).distinct().collect()
+    known = {r["k"] for r in rows}
+    return F.split(F.lit(",".join("1" if k in known else "0" for k in range(2**FLAG_BITS))), ",").cast("array<boolean>")
+
+
 def _filter_word(seed: Column, probe: int) -> Column:
     return F.shiftrightunsigned(seed, probe + 6).bitwiseAND(F.lit(2 ** (FILTER_BITS - 6) - 1)).cast("int")
 
@@ -84,20 +102,27 @@ def contaminated(
         .withColumn("item_row", F.monotonically_increasing_id())
     )
     item_seeds = cut(
-        hashed_items.select("item_row", F.explode(_seeds(F.col("item_words"))).alias("s"))
+        hashed_items.select("item_row", F.explode(_seeds(F.col("item_words"), _starts(F.col("item_words")))).alias("s"))
         .select("item_row", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     )
     wanted = bloom_filter(item_seeds.select("seed").distinct())
 
+    flags = word_flags(hashed_items)
+
+    def flagged(start: Column) -> Column:
+        tests = [F.get(flags, F.get("words", start + place).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int")) for place in COMMON]
+        return reduce(and_, tests)
+
     def passes(seed: Column) -> Column:
         tests = [F.getbit(F.get(wanted, _filter_word(seed, p)), _filter_bit(seed, p)) == 1 for p in PROBES]
-        return tests[0] & tests[1] & tests[2]
+        return reduce(and_, tests)
 
     # the row number is not deterministic to the optimizer, which therefore leaves the filter on hits above it and
     # does not compute the hits twice
     hit_docs = cut(
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"))
-        .select("doc_id", "words", _seeds(F.col("words"), passes).alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
+        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"))
+        .select("doc_id", "words", _seeds(F.col("words"), F.col("starts"), passes).alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
         .filter(F.size("hits") > 0)
     )
     hits = hit_docs.select("doc_row", F.explode("hits").alias("s")).select("doc_row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))

@@ -251,3 +251,12 @@ OVR_INSTRUCTION = (
     "Identify if the following document matches the description: ",
     ". Return only Yes/No and confidence in percentage format.",
 )
+
+# Function words that a list of a label's terms leaves out by default.
+STOP_WORDS = (
+    "a about after all also an and any are as at be because been before being between both but by can could did do does "
+    "down during each few for from had has have he her here him his how i if in into is it its just me more most my no nor "
+    "not of off on once only or other our out over own same she should so some such than that the their them then there "
+    "these they this those through to too under until up us very was we were what when where which while who why will with "
+    "would you your"
+).split()

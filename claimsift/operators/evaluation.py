@@ -173,12 +173,15 @@ def report_with_confidence(
 
 
 def confusion_matrix(confusion: DataFrame, labels: Sequence[str] = (*LABELS, UNKNOWN)) -> DataFrame:
-    """One row per true label, one column per predicted label."""
-    return (
-        confusion.groupBy("truth")
-        .pivot("predicted", list(labels))
-        .agg(F.sum("n"))
-        .na.fill(0)
+    """One row per true label, one column per predicted label, and ``other``.
+
+    ``other`` counts the predictions outside ``labels``, so a row adds up to the label's support.
+    """
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("bigint")
+    predicted = F.col("predicted")
+    return confusion.groupBy("truth").agg(
+        *[count(predicted == label).alias(label) for label in labels],
+        count(~predicted.isin(list(labels))).alias("other"),
     )
 
 

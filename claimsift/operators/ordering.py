@@ -4,6 +4,8 @@ A window ordered over everything runs in one task. Here the order column is cut
 into slices of about equal row count (approximate quantiles, so uneven ids do no
 harm), each slice is summed, and the sums of the earlier slices are added to a
 window inside the slice. Results are exact; the quantiles only place the cuts.
+The number of cuts is a parameter, so nothing that is broadcast depends on the
+data or on the number of groups.
 """
 
 from __future__ import annotations
@@ -13,9 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-# groups whose cut points and offsets may be broadcast
-MAX_GROUPS = 1000
+from claimsift.functions.plan_shape import written
 
 
 def _slice_count(df: DataFrame, slices: int | None) -> int:
@@ -24,33 +24,6 @@ def _slice_count(df: DataFrame, slices: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _few_rows(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """The same rows, or an error when there are more than ``limit`` of them.
-
-    Guards what is broadcast: the check is part of the plan and costs no extra job.
-    """
-    total = F.count("*").over(Window.partitionBy())
-    too_many = F.raise_error(F.lit(f"more than {limit} {what}")).cast("boolean")
-    return (
-        df.withColumn("_rows", total)
-        .filter(F.when(F.col("_rows") > limit, too_many).otherwise(F.lit(True)))
-        .drop("_rows")
-    )
-
-
-def _with_slices(df: DataFrame, order: str, by: Sequence[str], slices: int) -> DataFrame:
-    cuts = [i / slices for i in range(1, slices)]
-    bounds = df.groupBy(*by).agg(
-        F.percentile_approx(order, cuts, F.lit(max(10_000, 10 * slices))).alias("_bounds")
-    )
-    # one row per group of `by`, each an array of `slices` numbers
-    placed = df.join(F.broadcast(_few_rows(bounds, MAX_GROUPS, "groups")), list(by))
-    position = F.col(order)
-    return placed.withColumn(
-        "_slice", F.size(F.filter("_bounds", lambda b: b < position))
-    ).drop("_bounds")
-
-
 def running_totals(
     df: DataFrame,
     order: str,
@@ -60,15 +33,18 @@ def running_totals(
 ) -> DataFrame:
     """Add ``name`` = running total of each measure up to and including the row.
 
-    ``order`` must be numeric and unique within ``by``. The cut points and offsets of
-    each group are broadcast, so more than ``MAX_GROUPS`` groups are an error.
+    ``order`` must be numeric and unique within ``by``; a NULL group is a group. The
+    rows are written to the shared folder once, as they are read three times: for
+    the cuts, for the sums of the slices and for the totals.
     """
-    columns, names = df.columns, list(measures)
-    if not by:  # one group
-        df, by = df.withColumn("_all", F.lit(0)), ["_all"]
-    by = list(by)
-    sliced = _with_slices(df, order, by, _slice_count(df, slices))
-    sliced = sliced.select("*", *[measures[n].alias(f"_m_{n}") for n in names])
+    columns, names, by = df.columns, list(measures), list(by)
+    slices = _slice_count(df, slices)
+    rows = written(df.select("*", *[measures[n].alias(f"_m_{n}") for n in names]))
+    cuts = [i / slices for i in range(1, slices)]
+    found = rows.agg(F.percentile_approx(order, cuts, F.lit(max(10_000, 10 * slices)))).first()[0]
+    bounds = F.array(*[F.lit(x) for x in dict.fromkeys(found or [])]).cast(f"array<{dict(rows.dtypes)[order]}>")
+    position = F.col(order)
+    sliced = rows.withColumn("_slice", F.size(F.filter(bounds, lambda b: b < position)))
 
     per_slice = sliced.groupBy(*by, "_slice").agg(
         *[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names]
@@ -78,13 +54,19 @@ def running_totals(
         Window.unboundedPreceding, -1
     )
     offsets = per_slice.select(
-        *by, "_slice", *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names]
+        *[F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)],
+        F.col("_slice").alias("_in"),
+        *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in names],
     )
+    if not by:
+        offsets = F.broadcast(offsets)  # one row for each slice
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    joined = sliced.join(F.broadcast(offsets), [*by, "_slice"])
-    return joined.select(
+    same = F.col("_slice") == F.col("_in")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{k}"))
+    return sliced.join(offsets, same).select(
         *[F.col(c) for c in columns],
         *[
             (F.sum(f"_m_{n}").over(inside) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
@@ -103,17 +85,15 @@ def positional_slice(
 ) -> DataFrame:
     """Rows ``[start:stop]`` in order of the unique column ``key``.
 
-    An open end is answered with the key at position ``start`` (a top-k of the
-    key column alone) and a plain filter, so the remainder is never sorted.
+    An open end is answered with the key at position ``start`` and a plain filter,
+    so the remainder is never sorted and no task gathers the rows before it.
     """
     if stop is not None:
         return df.orderBy(key).limit(stop).offset(start)
     if start == 0:
         return df
-    head = df.select(key).orderBy(key).limit(start)
-    cut = head.agg(
-        F.when(F.count("*") == start, F.max(key)).alias("cut")
-    ).scalar()
+    numbered = row_numbers(df.select(key), key, "_n")
+    cut = numbered.filter(F.col("_n") == start).agg(F.max(key).alias("cut")).scalar()
     return df.filter(F.col(key) > cut)
 
 
@@ -132,8 +112,8 @@ def exact_quantiles(
     """
     if rule not in ("hazen", "linear"):
         raise ValueError(f"unknown quantile rule {rule!r}")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(
-        F.count("*").alias("_n")
+    counts = written(
+        df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
     )
     ranked = running_totals(counts, value, {"_upto": F.col("_n")}, by=[by])
     n = F.col("_total")
@@ -164,7 +144,8 @@ def exact_quantiles(
     covers = (first <= F.col("_hi")) & (F.col("_upto") > F.col("_lo"))
     at = lambda place: (first <= F.col(place)) & (F.col("_upto") > F.col(place))
     picked = (
-        ranked.join(F.broadcast(targets), by)
+        ranked.alias("r")
+        .join(targets.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
         .filter(covers)
         .groupBy(by, "probability", "place", "_lo")
         .agg(

@@ -28,6 +28,7 @@ from claimsift.fixed_values import (
     PATIENT_INFO_PATTERNS,
     PERCENTAGE_PATTERN,
     PROFESSIONAL_TITLES,
+    STOP_WORDS,
     TIME_REFERENCE_PATTERNS,
 )
 from claimsift.functions.patterns import (
@@ -40,6 +41,7 @@ from claimsift.functions.patterns import (
     token_count,
     tokens,
 )
+from claimsift.operators.ordering import running_totals
 
 # analysis -> (patterns, ignore case)
 PATTERN_FAMILIES: dict[str, tuple[Sequence[str], bool]] = {
@@ -67,16 +69,21 @@ def _listed(words: Column, terms: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(list(terms))))
 
 
-def concat_text_by_label(docs: DataFrame, docs_per_part: int = 1000) -> DataFrame:
+def concat_text_by_label(docs: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     """Texts of a label joined by one space in id order: (label, part_no, text).
 
-    A label's text has no size limit, so it is kept in parts of a bounded number of
-    documents; joining the parts in order with one space gives the whole text.
+    A label's text has no size limit, so it is cut every ``part_bytes`` bytes; a document
+    belongs to the part in which its first byte falls. Joining the parts in order with
+    one space gives the whole text.
     """
-    part = F.floor(F.col("id") / F.lit(docs_per_part)).cast("bigint")
+    sizes = docs.select("label", "id", (F.octet_length("text") + 1).cast("bigint").alias("_size"))
+    ends = running_totals(sizes, "id", {"_end": F.col("_size")}, by=["label"])
+    part = F.floor((F.col("_end") - F.col("_size")) / F.lit(part_bytes)).cast("bigint")
+    parts = ends.select("id", part.alias("part_no"))
     ordered = F.array_sort(F.collect_list(F.struct("id", "text")))
     return (
-        docs.groupBy("label", part.alias("part_no"))
+        docs.join(parts, "id")
+        .groupBy("label", "part_no")
         .agg(ordered.alias("d"))
         .select("label", "part_no", F.array_join("d.text", " ").alias("text"))
     )
@@ -117,12 +124,27 @@ def _first_rows(rows: DataFrame, order: Sequence[str], k: int, name: str) -> Dat
 
 
 def first_lines(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(label, line_no, line): first k lines of the label, blank ones left out."""
-    lines = docs.select(
-        "label", "id", F.posexplode_outer(F.slice(F.split("text", "\n", k + 1), 1, k)).alias("pos", "raw")
-    )
-    top = _first_rows(lines, ["id", "pos"], k, "line_no")
-    return top.select("label", "line_no", strip(F.col("raw")).alias("line")).filter("line <> ''")
+    """(label, line_no, line): first k lines of the label's joined text, blank ones left out.
+
+    The last line of a document and the first of the next are one line. The line feeds
+    of the first k documents that have one end the k lines, so only documents up to the
+    k-th such document are looked at, and of them only what their first k line feeds end.
+    """
+    text = F.col("text")
+    broken = docs.filter(text.contains("\n")).select("label", "id")
+    last = _first_rows(broken, ["id"], k, "n").groupBy("label").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    heads = docs.select("label", "id", F.substring_index(text, "\n", k + 1).alias("head"))
+    bounds = _by_label(last.filter(F.col("n") == k), "id")
+    wanted = heads.filter(F.coalesce(F.col("id") <= F.try_element_at(bounds, F.col("label")), F.lit(True)))
+    joined = wanted.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "head"))).alias("h"))
+    lines = F.posexplode(F.slice(F.split(F.array_join("h.head", " "), "\n"), 1, k)).alias("pos", "raw")
+    numbered = joined.select("label", lines).select("label", (F.col("pos") + 1).cast("bigint").alias("line_no"), strip(F.col("raw")).alias("line"))
+    return numbered.filter("line <> ''")
+
+
+def _by_label(rows: DataFrame, value: str) -> Column:
+    """A map label -> value as a scalar; rows has one row for each label."""
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("label", value)))).scalar()
 
 
 def pattern_counts(docs: DataFrame, family: str) -> DataFrame:
@@ -180,13 +202,30 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 
 
 def header_footer(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(label, header, footer): first and last line of the label, cut to ``width``."""
-    first = F.substring(F.split("text", "\n", 2)[0], 1, width)
-    last = F.substring(F.substring_index("text", "\n", -1), 1, width)
-    ends = docs.select("label", "id", first.alias("first"), last.alias("last"))
-    return ends.groupBy("label").agg(
-        F.min_by("first", "id").alias("header"), F.max_by("last", "id").alias("footer")
+    """(label, header, footer): first and last line of the label's joined text, cut to ``width``.
+
+    The first line ends in the first document with a line feed, the last line begins in
+    the last such document. ``width + 1`` documents are enough to fill either, as every
+    document adds a space at least.
+    """
+    text = F.col("text")
+    broken = F.when(text.contains("\n"), F.col("id"))
+    pieces = docs.select(
+        "label", "id", broken.alias("broken"),
+        F.substring(F.substring_index(text, "\n", 1), 1, width).alias("first"),
+        F.substring(F.substring_index(text, "\n", -1), 1, width).alias("last"),
     )
+    ends = pieces.groupBy("label").agg(F.min("broken").alias("lo"), F.max("broken").alias("hi"))
+    lo, hi = (F.try_element_at(_by_label(ends.filter("lo IS NOT NULL"), c), F.col("label")) for c in ("lo", "hi"))
+
+    def line(rows: DataFrame, piece: str, name: str) -> DataFrame:
+        some = _first_rows(rows, ["id"], width + 1, "_place")
+        ordered = F.array_sort(F.collect_list(F.struct("id", piece)))
+        return some.groupBy("label").agg(F.substring(F.array_join(ordered[piece], " "), 1, width).alias(name))
+
+    header = line(pieces.filter(F.coalesce(F.col("id") <= lo, F.lit(True))), "first", "header")
+    footer = line(pieces.filter(F.coalesce(F.col("id") >= hi, F.lit(True))), "last", "footer")
+    return header.join(footer, "label")
 
 
 def title_counts(docs: DataFrame, titles: Sequence[str] = PROFESSIONAL_TITLES) -> DataFrame:
@@ -219,9 +258,9 @@ def corpus_profile(docs: DataFrame) -> DataFrame:
 
 
 def top_terms(
-    docs: DataFrame, k: int = 200, min_length: int = 2, stop_words: Sequence[str] = ()
+    docs: DataFrame, k: int = 200, min_length: int = 2, stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """(label, term, occurrences, place): the k most frequent words per label."""
+    """(label, term, occurrences, place): the k most frequent words per label that are no stop words."""
     words = F.regexp_extract_all(
         F.lower("text"), F.lit(f"[{WORD}]{{{min_length},}}"), F.lit(0)
     )

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from claimsift.fixed_values import PROTOTYPE_THRESHOLD, UNKNOWN
 from claimsift.functions.plan_shape import settled
 
-MAX_PROTOTYPES = 10_000
-
 
 def first_vectors_per_label(
     vectors: DataFrame, key: str = "vec_id", label: str = "label", per_label: int = 4
@@ -46,18 +44,18 @@ class PrototypeModel:
     @classmethod
     def fit(
         cls, prototypes: DataFrame, key: str = "vec_id", label: str = "label",
-        vector: str = "embedding",
+        vector: str = "embedding", max_prototypes: int = 10_000,
     ) -> PrototypeModel:
-        """Read the prototypes; refuses a set that is not small."""
+        """Read the prototypes; a set of more than ``max_prototypes`` rows is refused, as every task holds it."""
         rows = (
             prototypes.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).alias("v"))
-            .limit(MAX_PROTOTYPES + 1)
+            .limit(max_prototypes + 1)
             .collect()
         )
         if not rows:
             raise ValueError("no prototypes")
-        if len(rows) > MAX_PROTOTYPES:
-            raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+        if len(rows) > max_prototypes:
+            raise ValueError(f"more than {max_prototypes} prototypes")
         rows.sort(key=lambda r: (r.l, r.k))
         matrix = np.array([r.v for r in rows], dtype="float64")
         return cls([r.k for r in rows], [str(r.l) for r in rows], _unit(matrix))

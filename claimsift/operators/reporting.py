@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Sequence
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from claimsift.operators.ordering import exact_quantiles, running_totals
 
 log = logging.getLogger(__name__)
 
-SECONDS = "decimal(18,6)"
+SECONDS = "decimal(24,9)"
 MONEY = "decimal(18,8)"
 STAGE_COLUMNS = {stage: stage.lower().replace(" ", "_") for stage in STAGES}
 
@@ -31,22 +31,30 @@ def process_metadata(seconds: dict[str, Column], cost: Column) -> Column:
     return F.to_json(F.struct(*stages))
 
 
-def _parsed(docs: DataFrame, metadata: str) -> DataFrame:
-    """Add ``_v`` (the metadata as variant, NULL if unreadable) and whether it is an object."""
-    v = docs.withColumn("_v", F.try_parse_json(metadata))
-    return v.withColumn(
-        "_object", F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()
-    )
-
-
 def stage_times(docs: DataFrame, metadata: str = "process_metadata") -> DataFrame:
-    """(id, seconds per stage); a missing stage is 0, unreadable metadata drops the row."""
+    """(id, seconds per stage); a missing stage or time is 0, a time that is no number is NULL.
+
+    A row is left out if its metadata, or a stage that is there, is no object.
+    """
+    fields = "map<string,variant>"
+    parsed = docs.select("id", F.try_variant_get(F.try_parse_json(metadata), "$", fields).alias("_m"))
+    parsed = parsed.filter("_m IS NOT NULL")
+    objects = {c: F.try_variant_get(F.try_element_at("_m", F.lit(s)), "$", fields) for s, c in STAGE_COLUMNS.items()}
+    rows = parsed.select("id", "_m", *[o.alias(f"_{c}") for c, o in objects.items()])
+    readable = reduce(
+        lambda a, b: a & b,
+        [~F.map_contains_key("_m", F.lit(s)) | F.col(f"_{c}").isNotNull() for s, c in STAGE_COLUMNS.items()],
+    )
     times = [
-        F.coalesce(F.try_variant_get("_v", f'$["{stage}"].time', SECONDS), F.lit(0).cast(SECONDS))
-        .alias(column)
-        for stage, column in STAGE_COLUMNS.items()
+        F.when(
+            F.coalesce(F.map_contains_key(f"_{c}", F.lit("time")), F.lit(False)),
+            F.try_variant_get(F.try_element_at(f"_{c}", F.lit("time")), "$", SECONDS),
+        )
+        .otherwise(F.lit(0).cast(SECONDS))
+        .alias(c)
+        for c in STAGE_COLUMNS.values()
     ]
-    return _parsed(docs.select("id", metadata), metadata).filter("_object").select("id", *times)
+    return rows.filter(readable).select("id", *times)
 
 
 def _by_stage(times: DataFrame) -> DataFrame:
@@ -67,13 +75,14 @@ def stage_time_box(times: DataFrame, rule: str = "hazen") -> DataFrame:
 
 
 def stage_time_averages(times: DataFrame) -> DataFrame:
-    """(stage, average); sums are decimal, so the order of rows does not matter."""
+    """(stage, average) of the times that are numbers; sums are decimal, so the order of rows does not matter."""
     sums = times.agg(
-        F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in STAGE_COLUMNS.values()]
+        *[F.count(c).alias(f"_n_{c}") for c in STAGE_COLUMNS.values()],
+        *[F.sum(c).cast("double").alias(c) for c in STAGE_COLUMNS.values()],
     )
     rows = F.array(
         *[
-            F.struct(F.lit(s).alias("stage"), F.try_divide(F.col(c), F.col("n")).alias("average"))
+            F.struct(F.lit(s).alias("stage"), F.try_divide(F.col(c), F.col(f"_n_{c}")).alias("average"))
             for s, c in STAGE_COLUMNS.items()
         ]
     )
@@ -81,9 +90,19 @@ def stage_time_averages(times: DataFrame) -> DataFrame:
 
 
 def cumulative_stage_times(times: DataFrame, slices: int | None = None) -> DataFrame:
-    """(id, running total per stage) in id order, without a one-task window."""
-    totals = {f"{c}_total": F.col(c) for c in STAGE_COLUMNS.values()}
-    return running_totals(times, "id", totals, slices=slices).select("id", *totals)
+    """(id, running total per stage) in id order, without a one-task window.
+
+    A time that is NULL adds nothing and leaves its own total NULL.
+    """
+    totals = {f"{c}_total": F.coalesce(F.col(c), F.lit(0).cast(SECONDS)) for c in STAGE_COLUMNS.values()}
+    return running_totals(times, "id", totals, slices=slices).select(
+        "id", *[F.when(F.col(c).isNotNull(), F.col(f"{c}_total")).alias(f"{c}_total") for c in STAGE_COLUMNS.values()]
+    )
+
+
+def high_confidence_map(stored: Column) -> Column:
+    """The stored JSON object label -> confidence as a map; NULL, empty or unreadable gives an empty map."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(stored), "$", "map<string,double>"), F.map_from_entries(F.array().cast("array<struct<k:string,v:double>>")))
 
 
 def document_costs(docs: DataFrame, metadata: str = "process_metadata") -> DataFrame:

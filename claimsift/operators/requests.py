@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import LABELS, OVR_INSTRUCTION
 from claimsift.functions.patterns import token_count
+from claimsift.functions.plan_shape import written
+from claimsift.operators.ordering import row_numbers
 from claimsift.operators.replies import decide, score_replies, settle
 
 Responder = Callable[[DataFrame], DataFrame]
@@ -90,7 +92,7 @@ def batch_requests(
 ) -> DataFrame:
     """(batch_no, documents, prompt): one request for up to ``batch_size`` documents.
 
-    Batches are ranges of the unique id, so no group exceeds ``batch_size`` rows.
+    Documents are numbered in order of their unique id, so all batches but the last are full.
     """
     head = (
         f"Choose one class for each document: {', '.join(labels)}. Answer one line each as "
@@ -98,8 +100,11 @@ def batch_requests(
     )
     line = F.concat(F.lit("Document "), F.col("id").cast("string"), F.lit(": "), F.col(text))
     lines = F.array_sort(F.collect_list(F.struct(F.col("id"), line.alias("line"))))
+    numbers = row_numbers(docs.select("id"), "id", "_n")
+    batch = F.floor((F.col("_n") - 1) / F.lit(batch_size)).cast("bigint")
     return (
-        docs.groupBy(F.floor(F.col("id") / F.lit(batch_size)).cast("bigint").alias("batch_no"))
+        docs.join(numbers.select("id", batch.alias("batch_no")), "id")
+        .groupBy("batch_no")
         .agg(lines.alias("d"))
         .select(
             "batch_no",
@@ -129,7 +134,8 @@ def few_shot_requests(
 ) -> DataFrame:
     """(id, candidate_list, prompt) for rows (id, candidates array) that need a second look.
 
-    Only undecided ids reach the join that brings their text in.
+    The join that brings their texts in shuffles the text of ``docs``, unless the undecided
+    are few enough for Spark to broadcast them.
     """
     return undecided.join(docs.select("id", F.col(text).alias("_text")), "id").select(
         "id",
@@ -138,10 +144,15 @@ def few_shot_requests(
     )
 
 
+def _text_hash(text: str) -> Column:
+    """Key of a text; all NULL texts share one of their own."""
+    return F.coalesce(F.sha2(F.col(text), 256), F.lit("no text"))
+
+
 def _distinct_texts(docs: DataFrame, text: str) -> DataFrame:
     """(text_hash, documents, first_id); a text with many copies is one row per task before it moves."""
     return (
-        docs.select("id", F.sha2(F.col(text), 256).alias("text_hash"))
+        docs.select("id", _text_hash(text).alias("text_hash"))
         .groupBy("text_hash")
         .agg(F.count("*").alias("documents"), F.min("id").alias("first_id"))
     )
@@ -171,18 +182,19 @@ def answer_requests(
     responder: Responder,
     text: str = "cleaned_text",
     prompts: dict[str, str] = DEFAULT_PROMPTS,
-    salts: int = 32,
 ) -> DataFrame:
     """(id, label_ord, label, response) for every document and class.
 
     The responder is asked once per new (text, class); ``cache`` has
     (text_hash, label, response), unique per key, and answers the rest. The
     responder gets text_hash, label_ord, label, system_text, user_text and adds
-    ``response``. Keys are worked out on hashes; only the text of one copy of each
-    unanswered document moves. Replies go back as one row per text through a salted
-    join, so the copies of one text spread over many tasks.
+    ``response``; a NULL text is asked about as NULL. Keys are worked out on hashes. The
+    join that fetches the texts to ask about shuffles the text of all documents, unless
+    few enough are unanswered for Spark to broadcast their ids. Replies go back as one
+    row per text; both sides of that join are shuffled for it, so Spark splits a text
+    with very many copies.
     """
-    hashed = docs.select("id", F.sha2(F.col(text), 256).alias("text_hash"))
+    hashed = docs.select("id", _text_hash(text).alias("text_hash"))
     wanted = (
         _distinct_texts(docs, text)
         .select(F.col("first_id").alias("id"), "text_hash", _fan_out(prompts).alias("q"))
@@ -207,11 +219,9 @@ def answer_requests(
         .unionByName(responder(asked).select(columns))
         .groupBy("text_hash")
         .agg(F.collect_list(F.struct("label_ord", "label", "response")).alias("a"))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     )
-    salted = hashed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     return (
-        salted.join(replies, ["text_hash", "_salt"])
+        hashed.join(written(replies), "text_hash")
         .select("id", F.explode_outer("a").alias("a"))
         .select("id", "a.*")
     )

@@ -8,6 +8,7 @@ from claimsift.fixed_values import (
     NUMBER_PATTERN,
     PERCENTAGE_PATTERN,
     PROFESSIONAL_TITLES,
+    STOP_WORDS,
 )
 from claimsift.functions.patterns import SENTENCE_END, TOKEN, unicode_pattern
 from claimsift.operators import profiling
@@ -45,9 +46,11 @@ def _listed(terms) -> str:
     return ", ".join(quoted(t) for t in terms)
 
 
-@query("SELECT label, id // 1000 AS part_no, string_agg(text, ' ' ORDER BY id) AS text FROM corpus GROUP BY ALL")
+@query("""SELECT label, (s // 100000)::BIGINT AS part_no, string_agg(text, ' ' ORDER BY id) AS text FROM (
+  SELECT label, id, text, sum(strlen(text) + 1) OVER (PARTITION BY label ORDER BY id) - strlen(text) - 1 AS s FROM corpus) GROUP BY ALL""")
 def concat_text_by_label(v):
-    return profiling.concat_text_by_label(v.corpus)
+    """Parts are small here, so that every label has several."""
+    return profiling.concat_text_by_label(v.corpus, part_bytes=100_000)
 
 
 _PAIRS = ", ".join(f"({quoted(c)}, {quoted(k)})" for c, ks in CATEGORY_KEYWORDS.items() for k in ks)
@@ -61,15 +64,36 @@ def keyword_frequency(v):
     return profiling.keyword_frequency(v.corpus)
 
 
-@query("""
-SELECT label, line_no, trim(line, ' ' || chr(9)) AS line FROM (
-  SELECT label, line, row_number() OVER (PARTITION BY label ORDER BY id, pos) AS line_no FROM (
-    SELECT label, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM corpus))
-WHERE line_no <= 3 AND trim(line, ' ' || chr(9)) <> ''""")
+_JOINED = "SELECT label, string_split(string_agg(text, ' ' ORDER BY id), chr(10)) AS lines FROM {} GROUP BY label"
+
+
+def _first_lines_sql(view: str) -> str:
+    return f"""
+SELECT label, pos::BIGINT AS line_no, trim(line, ' ' || chr(9)) AS line FROM (
+  SELECT label, unnest(lines[1:3]) AS line, generate_subscripts(lines[1:3], 1) AS pos FROM ({_JOINED.format(view)}))
+WHERE trim(line, ' ' || chr(9)) <> ''"""
+
+
+def _header_footer_sql(view: str) -> str:
+    return f"SELECT label, substr(lines[1], 1, 100) AS header, substr(lines[-1], 1, 100) AS footer FROM ({_JOINED.format(view)})"
+
+
+@query(_first_lines_sql("corpus"))
 def structure_first_lines(v):
     return profiling.first_lines(v.corpus)
 
 
+@query(_first_lines_sql("line_corpus"))
+def structure_first_lines_across_documents(v):
+    """Most documents of this view are one line, so lines span documents."""
+    return profiling.first_lines(v.line_corpus)
+
+
+@query(_header_footer_sql("line_corpus"))
+def header_footer_across_documents(v):
+    return profiling.header_footer(v.line_corpus)
+
+
 def _register_family(family: str, counts: str, samples: str) -> None:
     patterns, ignore_case = profiling.PATTERN_FAMILIES[family]
 
@@ -121,8 +145,7 @@ def document_lengths(v):
     return profiling.document_lengths(v.corpus)
 
 
-@query("""SELECT label, arg_min(substr(string_split(text, chr(10))[1], 1, 100), id) AS header,
-       arg_max(substr(string_split(text, chr(10))[-1], 1, 100), id) AS footer FROM corpus GROUP BY label""")
+@query(_header_footer_sql("corpus"))
 def header_footer(v):
     return profiling.header_footer(v.corpus)
 
@@ -152,7 +175,7 @@ def corpus_profile(v):
 @query(f"""
 SELECT label, term, occurrences, row_number() OVER (PARTITION BY label ORDER BY occurrences DESC, term) AS place
 FROM (SELECT label, term, count(*) AS occurrences FROM (SELECT label, unnest({_TOKENS}) AS term FROM corpus) GROUP BY ALL)
-WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}_]') AND length(term) >= 2
+WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}_]') AND length(term) >= 2 AND term NOT IN ({_listed(STOP_WORDS)})
 QUALIFY place <= 200""")
 def top_terms_by_label(v):
     return profiling.top_terms(v.corpus)

@@ -181,9 +181,9 @@ _BATCH_HEAD = (
 )
 
 
-@query(f"""SELECT id // 16 AS batch_no, count(*) AS documents,
+@query(f"""SELECT (n // 16)::BIGINT AS batch_no, count(*) AS documents,
        concat({quoted(_BATCH_HEAD)}, chr(10), chr(10), string_agg(concat('Document ', id, ': ', cleaned_text), chr(10) ORDER BY id)) AS prompt
-FROM cleaned GROUP BY ALL""")
+FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM cleaned) GROUP BY ALL""")
 def batch_requests(v):
     return requests.batch_requests(v.cleaned)
 

@@ -113,11 +113,22 @@ def report_with_confidence(v):
 _MATRIX = ", ".join(f"coalesce(sum(n) FILTER (predicted = '{x}'), 0)::BIGINT AS {x}" for x in [*LABELS, UNKNOWN])
 
 
-@query(f"SELECT truth, {_MATRIX} FROM cells GROUP BY truth", **RULE_REPORT)
+_OTHER = f"""coalesce(sum(n) FILTER (predicted NOT IN ({', '.join(f"'{x}'" for x in [*LABELS, UNKNOWN])})), 0)::BIGINT AS other"""
+
+
+@query(f"SELECT truth, {_MATRIX}, {_OTHER} FROM cells GROUP BY truth", **RULE_REPORT)
 def confusion_matrix(v):
     return ev.confusion_matrix(rule_confusion(v))
 
 
+@query("""SELECT truth, coalesce(sum(n) FILTER (predicted = '0'), 0)::BIGINT AS "0", coalesce(sum(n) FILTER (predicted = '1'), 0)::BIGINT AS "1",
+       coalesce(sum(n) FILTER (predicted NOT IN ('0', '1')), 0)::BIGINT AS other FROM cells_v GROUP BY truth""",
+       **vector_queries.CTES, **_report_sql("vector_predictions", "_v"))
+def confusion_matrix_other_labels(v):
+    """Vector predictions have labels beyond the two that are listed; they count as other."""
+    return ev.confusion_matrix(ev.confusion_counts(vector_queries.vector_predictions(v)), ["0", "1"])
+
+
 _POSITIONAL = """
 SELECT CASE WHEN count(*) = count(area) THEN round(sum(area * support) / sum(support), 6) END AS auc_weighted FROM (
   SELECT t.support, (coalesce(c.n, 0) / t.support + 1 - (g.n - coalesce(c.n, 0)) / nullif((SELECT sum(n) FROM cells{k}) - t.support, 0)) / 2 AS area
@@ -206,13 +217,19 @@ def _evaluable(v):
 
 
 _J = """CASE WHEN json_valid(process_metadata) THEN process_metadata::JSON END"""
+
+
+def _time(stage: str) -> str:
+    return (f"CASE WHEN json_type(j, '{stage}.time') IS NULL THEN 0 "
+            f"ELSE TRY_CAST(TRY_CAST(json_extract_string(j, '{stage}.time') AS DOUBLE) AS DECIMAL(24,9)) END")
+
+
 COST = {
     "evaluable": "SELECT * FROM stored_documents WHERE classified_category IS NOT NULL AND ground_truth IS NOT NULL",
     "times": f"""
-SELECT id, coalesce(TRY_CAST(json_extract_string(j, '$.OCR.time') AS DECIMAL(18,6)), 0) AS ocr,
-       coalesce(TRY_CAST(json_extract_string(j, '$."Text Cleaning".time') AS DECIMAL(18,6)), 0) AS text_cleaning,
-       coalesce(TRY_CAST(json_extract_string(j, '$.Classification.time') AS DECIMAL(18,6)), 0) AS classification
-FROM (SELECT id, {_J} AS j FROM evaluable) WHERE json_type(j) = 'OBJECT'""",
+SELECT id, {_time('$.OCR')} AS ocr, {_time('$."Text Cleaning"')} AS text_cleaning, {_time('$.Classification')} AS classification
+FROM (SELECT id, {_J} AS j FROM evaluable)
+WHERE json_type(j) = 'OBJECT' AND {' AND '.join(f"coalesce(json_type(j, '{p}'), 'OBJECT') = 'OBJECT'" for p in ('$.OCR', '$."Text Cleaning"', '$.Classification'))}""",
     "long_times": """
 SELECT 'OCR' AS stage, ocr AS seconds FROM times UNION ALL SELECT 'Text Cleaning', text_cleaning FROM times
 UNION ALL SELECT 'Classification', classification FROM times""",
@@ -246,13 +263,13 @@ def _quantile(p: float) -> str:
 
 @query(f"""
 SELECT stage, min(seconds)::DOUBLE AS low, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS median, {_quantile(0.75)} AS q3, max(seconds)::DOUBLE AS high
-FROM (SELECT stage, seconds::DOUBLE AS seconds, row_number() OVER (PARTITION BY stage ORDER BY seconds) - 1 AS k, count(*) OVER (PARTITION BY stage) AS n FROM long_times)
+FROM (SELECT stage, seconds::DOUBLE AS seconds, row_number() OVER (PARTITION BY stage ORDER BY seconds) - 1 AS k, count(*) OVER (PARTITION BY stage) AS n FROM long_times WHERE seconds IS NOT NULL)
 GROUP BY stage""", **COST)
 def stage_time_box(v):
     return rounded(rp.stage_time_box(rp.stage_times(_evaluable(v))), "low", "q1", "median", "q3", "high")
 
 
-@query("SELECT stage, round(sum(seconds)::DOUBLE / count(*), 6) AS average FROM long_times GROUP BY stage", **COST)
+@query("SELECT stage, round(sum(seconds)::DOUBLE / count(seconds), 6) AS average FROM long_times GROUP BY stage", **COST)
 def stage_time_avg(v):
     return rounded(rp.stage_time_averages(rp.stage_times(_evaluable(v))), "average")
 
@@ -274,20 +291,31 @@ def cost_histogram(v):
     return rounded(rp.cost_histogram(rp.document_costs(_evaluable(v))), "low", "high")
 
 
-@query("""SELECT id, round(CAST(sum(ocr) OVER w AS DOUBLE), 6) AS ocr_total, round(CAST(sum(text_cleaning) OVER w AS DOUBLE), 6) AS text_cleaning_total,
-       round(CAST(sum(classification) OVER w AS DOUBLE), 6) AS classification_total FROM times WINDOW w AS (ORDER BY id)""", **COST)
+@query(f"""SELECT id, {', '.join(f"round(CAST(CASE WHEN {c} IS NOT NULL THEN coalesce(sum({c}) OVER w, 0) END AS DOUBLE), 6) AS {c}_total" for c in rp.STAGE_COLUMNS.values())}
+FROM times WINDOW w AS (ORDER BY id)""", **COST)
 def cumulative_stage_time(v):
     totals = rp.cumulative_stage_times(rp.stage_times(_evaluable(v)))
     return rounded(totals, *[f"{c}_total" for c in rp.STAGE_COLUMNS.values()])
 
 
-@query()
+@query("""SELECT 'Text Cleaning' AS stage, count(*) AS documents, sum(length(cleaned_text))::BIGINT AS characters, true AS timed FROM cleaned
+UNION ALL SELECT 'Classification', count(*), sum(length(predicted_class))::BIGINT, true FROM rule_predictions""", **RULE)
 def stage_observations(v):
     cleaned = v.raw_claims.select("id", clean_text(F.col("raw_text")).alias("cleaned_text"))
     rules = classify_by_rules(v.cleaned.select("id", "cleaned_text"))
-    return rp.observe_stages(
+    observed = rp.observe_stages(
         v.spark, [("Text Cleaning", cleaned, "cleaned_text"), ("Classification", rules, "predicted_class")]
     )
+    return observed.select("stage", "documents", "characters", (F.col("seconds") >= 0).alias("timed"))
+
+
+@query("""SELECT id, e.label, round(e.score, 6) AS score FROM (
+  SELECT id, unnest(list_transform(json_keys(j), lambda k: {'label': k, 'score': json_extract_string(j, '$."' || k || '"')::DOUBLE})) AS e
+  FROM (SELECT id, CASE WHEN high_confidence_classes <> '' THEN high_confidence_classes::JSON END AS j FROM stored_documents))""")
+def read_high_confidence(v):
+    """The stored column as a map again, one row for each entry."""
+    read = v.stored_documents.select("id", rp.high_confidence_map(F.col("high_confidence_classes")).alias("m"))
+    return rounded(read.select("id", F.explode("m").alias("label", "score")), "score")
 
 
 # -- stream --------------------------------------------------------------------

@@ -12,12 +12,6 @@ from claimsift.plans.views import METHODS
 from claimsift.sources import files, interchange, store
 
 
-@query()
-def scan_binary_files(v):
-    found = files.find_files(v.spark, v.sf_dir, ".parquet")
-    return found.select(files.file_name(F.col("path")).alias("file_name"), "length")
-
-
 @query("SELECT id, regexp_extract(file_location, '[^/]*$') AS file_name, file_location FROM claims")
 def file_name_from_path(v):
     return v.claims.select(
@@ -36,10 +30,12 @@ def extract_html_text(v):
     return v.spread(v.pages, "page_id").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT doc_id, page_no // 10000 AS part_no, string_agg(page_text || chr(10), '' ORDER BY page_no) AS text
-FROM page_texts GROUP BY ALL""")
+@query("""SELECT doc_id, (s // 300)::BIGINT AS part_no, string_agg(page_text || chr(10), '' ORDER BY page_no) AS text FROM (
+  SELECT *, sum(strlen(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page_no) - strlen(page_text) - 1 AS s FROM page_texts)
+GROUP BY ALL""")
 def assemble_pages(v):
-    return files.assemble_pages(v.page_texts)
+    """Parts are small here, so that many documents have several."""
+    return files.assemble_pages(v.page_texts, part_bytes=300)
 
 
 @query("SELECT doc_id, page_text AS text FROM page_texts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) = 1")

@@ -89,6 +89,10 @@ FROM doc_class d JOIN label_dim l ON l.label_ord = CASE WHEN d.body_ord < 0 THEN
 SELECT doc_id AS id,
        CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '{bad' WHEN doc_id % 29 = 0 THEN '{}'
             WHEN doc_id % 37 = 0 THEN '[1]'
+            WHEN doc_id % 41 = 0 THEN '{"OCR": null, "Classification": {"time": 1.5}}'
+            WHEN doc_id % 43 = 0 THEN '{"OCR": {"time": 1.5}, "Text Cleaning": 5}'
+            WHEN doc_id % 47 = 0 THEN '{"OCR": {"time": null}, "Classification": {"time": 2.5, "cost": null}}'
+            WHEN doc_id % 53 = 0 THEN '{"OCR": {"time": 0.0000001}, "Text Cleaning": {}}'
             ELSE concat('{"OCR": {"time": ', n_chars % 97, '.5}, "Text Cleaning": {"time": 0.', n_chars % 13 + 10, '}, "Classification": {"time": ', n_chars % 11, '.25',
                  CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat(', "cost": 0.000', n_chars % 89 + 10) END, '}}') END AS process_metadata
 FROM documents"""
@@ -111,8 +115,11 @@ SELECT m.method, concat(d.source, ' ', d.doc_id, '.pdf') AS file_name, d.doc_id
        CASE m.method_ord WHEN 0 THEN d.text WHEN 1 THEN translate(d.text, '.,;:!?-', '') ELSE replace(d.text, '-', ' ') END AS text
 FROM documents d {method_fan}"""
 
+    views["line_corpus"] = """
+SELECT id, ground_truth AS label, CASE WHEN id % 3 = 0 THEN raw_text ELSE replace(raw_text, chr(10), ' ') END AS text FROM claims"""
+
     views["docs_existing"] = """
-SELECT id, file_name, file_location, 'old' AS raw_text, 'old' AS cleaned_text, 'Unknown' AS classified_category,
+SELECT id, file_name, file_location, raw_text, lower(raw_text) AS cleaned_text, 'Unknown' AS classified_category,
        CAST(0 AS DOUBLE) AS confidence, CAST(NULL AS STRING) AS high_confidence_classes, CAST(NULL AS STRING) AS process_metadata,
        CASE WHEN id % 10 = 0 THEN NULL ELSE ground_truth END AS ground_truth
 FROM claims"""
@@ -120,7 +127,7 @@ FROM claims"""
     views["docs_batch"] = f"""
 SELECT CASE WHEN c.id % 11 = 0 THEN concat('Revised ', c.file_name) ELSE c.file_name END AS file_name,
        concat('/moved', s.version, c.file_location) AS file_location, c.id * 2 + s.version AS seq,
-       concat('raw ', c.id, ' v', s.version) AS raw_text, CASE WHEN c.id % 9 = 0 THEN '' ELSE concat('clean ', c.id, ' v', s.version) END AS cleaned_text,
+       concat(c.raw_text, chr(10), 'v', s.version) AS raw_text, CASE WHEN c.id % 9 = 0 THEN '' ELSE concat(lower(c.raw_text), ' v', s.version) END AS cleaned_text,
        c.ground_truth AS classified_category, CASE WHEN c.id % 12 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(c.id % 100 + s.version AS DOUBLE) / 100 END AS confidence,
        '{{}}' AS high_confidence_classes, '{{"OCR": {{"time": 1.5}}}}' AS process_metadata
 FROM claims c {version_fan}"""
@@ -237,13 +244,13 @@ class Views:
         return self.spark.sql(text, documents=documents)
 
     def spread(self, df: DataFrame, key: str) -> DataFrame:
-        """Use all cores for regex work on a table of fewer files than cores.
+        """Deal the rows out to as many tasks as the session setting ``spark.claimsift.spreadTasks`` says.
 
-        A file of one row group is one task however many cores wait. Tables with
-        enough files, as on a cluster, are left as they were scanned.
+        For tables of one row group on a single machine, where one task would do all
+        regex work. Without the setting, as on a cluster, rows stay as they were scanned.
         """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+        tasks = self.spark.conf.get("spark.claimsift.spreadTasks", None)
+        return df.repartition(int(tasks), key) if tasks else df
 
     @property
     def raw_claims(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.functions.patterns import SPACE, strip
+from claimsift.operators.ordering import running_totals
 
 Extractor = Callable[[bytes], str]
 
@@ -84,18 +85,24 @@ def html_text(html: Column) -> Column:
     return strip(text)
 
 
-def assemble_pages(pages: DataFrame, pages_per_part: int = 10_000) -> DataFrame:
+def assemble_pages(pages: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, part_no, text): page texts in page order, each followed by a newline.
 
-    A document of up to ``pages_per_part`` pages is part 0 alone. Longer ones keep
-    all their pages in further parts, so no task collects a document without limit.
+    A page belongs to the part in which its first byte falls when the document is
+    cut every ``part_bytes`` bytes. The parts of a document in order are its text;
+    no task collects more than about one part.
     """
-    part = F.floor(F.col("page_no") / F.lit(pages_per_part)).cast("bigint")
+    sizes = pages.select("doc_id", "page_no", (F.octet_length("page_text") + 1).cast("bigint").alias("_size"))
+    ends = running_totals(sizes, "page_no", {"_end": F.col("_size")}, by=["doc_id"])
+    parts = ends.select(
+        F.col("doc_id").alias("_doc"), F.col("page_no").alias("_page"),
+        F.floor((F.col("_end") - F.col("_size")) / F.lit(part_bytes)).cast("bigint").alias("part_no"),
+    )
+    here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_no") == F.col("_page"))
+    pages = pages.join(parts, here)
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "page_text")))
     lines = F.transform(ordered, lambda p: F.concat(p.page_text, F.lit("\n")))
-    return pages.groupBy("doc_id", part.alias("part_no")).agg(
-        F.array_join(lines, "").alias("text")
-    )
+    return pages.groupBy("doc_id", "part_no").agg(F.array_join(lines, "").alias("text"))
 
 
 def first_pages(pages: DataFrame) -> DataFrame:

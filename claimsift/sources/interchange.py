@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-_own_folders: dict[str, str] = {}
+from claimsift.functions.plan_shape import shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local session without the setting gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if context.applicationId not in _own_folders:
-            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="claimsift-")
-        root = _own_folders[context.applicationId]
-    return f"{root.rstrip('/')}/claimsift-{uuid.uuid4().hex}"
+    """A new path under the cluster's shared folder (``spark.checkpoint.dir``)."""
+    return f"{shared_root(spark)}/claimsift-{uuid.uuid4().hex}"
 
 
 def write_json(df: DataFrame, path: str) -> None:

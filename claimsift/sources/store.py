@@ -41,14 +41,19 @@ def _new_ids(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _merge(target: DataFrame, batch: DataFrame, source: DataFrame, values: dict[str, Column]):
-    """Full outer join of the table and one row per batch file name."""
+    """Full outer join of the table and one row per batch file name.
+
+    New ids are added to the batch side before the join, so the merged rows with their
+    texts are not joined again.
+    """
+    source = source.join(_new_ids(target, batch), "file_name", "left")
     known = F.col("t.file_name").isNotNull()
-    merged = (
+    return (
         target.alias("t")
         .join(source.alias("s"), F.col("t.file_name") == F.col("s.file_name"), "full_outer")
         .select(
             F.coalesce("t.file_name", "s.file_name").alias("file_name"),
-            F.col("t.id").alias("_id"),
+            F.coalesce(F.col("t.id"), F.col("s.new_id")).alias("id"),
             F.when(known, F.col("t.file_location"))
             .otherwise(F.col("s.file_location"))
             .alias("file_location"),
@@ -57,10 +62,7 @@ def _merge(target: DataFrame, batch: DataFrame, source: DataFrame, values: dict[
                 for c in [*OVERWRITTEN, "ground_truth"]
             ],
         )
-    )
-    numbered = merged.join(_new_ids(target, batch), "file_name", "left")
-    return numbered.select(
-        F.coalesce("_id", "new_id").alias("id"), *[c for c in _COLUMNS if c != "id"]
+        .select(*_COLUMNS)
     )
 
 

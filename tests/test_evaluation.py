@@ -57,7 +57,9 @@ def test_positional_alignment_and_undefined_areas(spark, predictions):
 def test_matrix_and_distributions(predictions):
     c = ev.confusion_counts(predictions)
     row = ev.confusion_matrix(c, ["a", "b", "Unknown"]).filter("truth = 'a'").first()
-    assert (row["a"], row["b"], row["Unknown"]) == (5, 2, 0)
+    assert (row["a"], row["b"], row["Unknown"], row["other"]) == (5, 2, 0, 0)
+    row = ev.confusion_matrix(c, ["zzz"]).filter("truth = 'a'").first()
+    assert (row["zzz"], row["other"]) == (0, 7)
     got = {(r.kind, r.label): r.n for r in ev.class_distributions(c).collect()}
     assert got[("truth", "a")] == 7 and got[("predicted", "Unknown")] == 1
     wrong = ev.misclassified(predictions, "predicted_class", first=2).collect()

@@ -25,8 +25,10 @@ def test_find_and_extract(spark, tmp_path):
 def test_pages_stay_whole_in_parts(spark):
     pages = spark.createDataFrame([(1, i, f"p{i}") for i in range(25)] + [(2, 0, "only")], "doc_id bigint, page_no bigint, page_text string")
     parts = {(r.doc_id, r.part_no): r.text for r in files.assemble_pages(pages, 10).collect()}
-    assert "".join(parts[(1, i)] for i in range(3)) == "".join(f"p{i}\n" for i in range(25))
+    ours = sorted(k for k in parts if k[0] == 1)
+    assert "".join(parts[k] for k in ours) == "".join(f"p{i}\n" for i in range(25)) and len(ours) == 9
     assert parts[(2, 0)] == "only\n"
+    assert {r.doc_id for r in files.assemble_pages(pages).collect()} == {1, 2} and files.assemble_pages(pages).count() == 2
 
 
 def test_timed_returns_result_and_seconds(caplog):
@@ -76,6 +78,25 @@ def test_stage_times_and_costs(spark):
     assert hist == {0: 6, 1: 1}
 
 
+def test_stages_that_are_no_objects(spark):
+    rows = [(1, '{"OCR": null}'), (2, '{"OCR": 5}'), (3, '{"OCR": {"time": null}, "Classification": {"time": 2}}'),
+            (4, '{"OCR": {"time": 0.0000001}}'), (5, '{"Text Cleaning": {}}')]
+    times = reporting.stage_times(spark.createDataFrame(rows, "id bigint, process_metadata string"))
+    number = lambda x: None if x is None else float(x)
+    got = {r.id: (number(r.ocr), number(r.text_cleaning), number(r.classification)) for r in times.collect()}
+    assert got == {3: (None, 0.0, 2.0), 4: (1e-7, 0.0, 0.0), 5: (0.0, 0.0, 0.0)}
+    averages = {r.stage: r.average for r in reporting.stage_time_averages(times).collect()}
+    assert averages["OCR"] == pytest.approx(1e-7 / 2) and averages["Classification"] == pytest.approx(2 / 3)
+    totals = {r.id: r.ocr_total for r in reporting.cumulative_stage_times(times).collect()}
+    assert totals[3] is None and float(totals[5]) == 1e-7
+
+
+def test_high_confidence_map(spark):
+    rows = [(1, '{"A": 0.5, "B": 1}'), (2, ""), (3, None), (4, "[1]")]
+    df = spark.createDataFrame(rows, "id int, s string").select("id", reporting.high_confidence_map(F.col("s")).alias("m"))
+    assert {r.id: r.m for r in df.collect()} == {1: {"A": 0.5, "B": 1.0}, 2: {}, 3: {}, 4: {}}
+
+
 def test_metadata_round_trip(spark):
     seconds = {s: F.lit(1.5) for s in reporting.STAGES}
     df = spark.range(1).select("id", reporting.process_metadata(seconds, F.lit(0.25)).alias("process_metadata"))

@@ -7,7 +7,8 @@ empty context all bytes not yet ruled out are equally likely. Statistics are fro
 is a function of context node and byte and stands in a table. Scoring walks the tree for all positions of many
 documents at once and sums exact code lengths; the language with the shortest code wins.
 
-Fitting reads a bounded sample: per language at most ``docs_per_lang`` documents of at most ``max_doc_bytes`` bytes.
+Fitting reads a bounded sample: per language at most ``docs_per_lang`` documents of at most ``max_doc_bytes`` bytes, for
+at most ``max_languages`` languages.
 """
 
 from __future__ import annotations
@@ -172,18 +173,20 @@ class ContextTree:
 
 
 def fit(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int = 4, docs_per_lang: int = 400, max_doc_bytes: int = 20_000, min_count: int = 16
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int = 4, docs_per_lang: int = 400, max_doc_bytes: int = 20_000, min_count: int = 16,
+    max_languages: int = 1000,
 ) -> ContextTree:
     """Frozen statistics from rows with a language and a text that has a letter.
 
     The sample of a language is its documents with the smallest hash of the id: first all those under a threshold
-    that leaves about twice as many as wanted, then exactly ``docs_per_lang`` of them.
+    that leaves about twice as many as wanted, then exactly ``docs_per_lang`` of them. At most ``max_languages`` languages
+    are learned, those with the most documents, so the thresholds and the sample stay small.
     """
     labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter((F.octet_length("text") <= max_doc_bytes) & F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").count()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     order_key = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-    drawn = labelled.withColumn("place", order_key).join(sizes, "lang").filter(F.col("place") * F.col("count") <= 2 * docs_per_lang)
+    drawn = labelled.withColumn("place", order_key).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("count") <= 2 * docs_per_lang)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "text"]).head(docs_per_lang)

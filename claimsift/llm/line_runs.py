@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm.common import new_folder, remove_folder, shared_folder
+from claimsift.llm.common import cut, new_folder, remove_folder, shared_folder
 
 #: White space that is stripped from a line's ends.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -132,7 +132,7 @@ def dedup_lines(
         runs.add(lines.filter(F.col("batch") == batch).select("h1", "h2", "doc_id"))
     below = F.coalesce(F.col("doc_id") < F.col("top_id"), F.col("doc_id").isNull() & F.col("top_id").isNotNull())
     dropped = (
-        lines.join(runs.repeated(min_docs), ["h1", "h2"])
+        lines.join(cut(runs.repeated(min_docs)), ["h1", "h2"])  # cut: both sides are shuffled for the join, so a hot line is split
         .filter(below)
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
         .agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))

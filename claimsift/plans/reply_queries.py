@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import LABEL_PRIORITY, LABELS, OVR_INSTRUCTION
 from claimsift.functions.patterns import SPACE, TOKEN
-from claimsift.operators import replies, requests
+from claimsift.operators import replies, requests, responder
 from claimsift.plans.registry import query, quoted, rounded
 
 def _strip(text: str) -> str:
@@ -128,6 +128,66 @@ def classify_llm(v):
     )
 
 
+# replies that a responder made of columns takes from the text: a word for each class
+_CUES = dict(zip(LABELS, ["compliance", "apnea", "order", "deliver", "physician", "prescription"]))
+_CUE_ROWS = ", ".join(f"({i}, '{label}', '{cue}')" for i, (label, cue) in enumerate(_CUES.items()))
+ASKED = {
+    **CTES,
+    "llm_responses": f"""
+SELECT c.id, l.label_ord::BIGINT AS label_ord, l.label,
+       CASE WHEN NOT contains(lower(c.raw_text), l.cue) THEN 'No, 5%' WHEN length(c.raw_text) % 29 = 0 THEN 'Yes'
+            ELSE concat('Yes, ', 40 + (length(c.raw_text) + 7 * l.label_ord) % 60, '%') END AS response
+FROM claims c CROSS JOIN (VALUES {_CUE_ROWS}) l(label_ord, label, cue)""",
+    "few_shot_responses": f"""
+SELECT id, CASE WHEN length(raw_text) % 23 = 0 THEN 'I cannot tell'
+            ELSE concat('Class: ', ([{', '.join(f"'{x}'" for x in LABELS)}])[length(raw_text) % {len(LABELS)} + 1]) END AS response FROM claims""",
+}
+
+
+def _ask_classes(asked):
+    cues = F.create_map(*[F.lit(x) for pair in _CUES.items() for x in pair])
+    size = F.length("user_text")
+
+    def said(request):
+        share = F.concat(F.lit("Yes, "), (40 + (size + 7 * request.label_ord) % 60).cast("string"), F.lit("%"))
+        known = F.lower("user_text").contains(F.element_at(cues, request.label))
+        return F.when(~known, "No, 5%").when(size % 29 == 0, "Yes").otherwise(share)
+
+    return asked.withColumn("responses", F.transform("requests", said))
+
+
+def _ask_again(asked):
+    size = F.length("user_text")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), size % len(LABELS) + 1)
+    return asked.withColumn("response", F.when(size % 23 == 0, "I cannot tell").otherwise(F.concat(F.lit("Class: "), label)))
+
+
+def _answered(v):
+    return responder.classify_with_responder(v.raw_claims.select("id", "raw_text"), _ask_classes, _ask_again, "raw_text")
+
+
+@query("SELECT id, branch, predicted_class, round(confidence, 6) AS confidence, high_map AS high_confidence_classes FROM reply_predictions", **ASKED)
+def classify_by_responder(v):
+    """Both rounds are asked while the job runs, from the text."""
+    maps = _map_text(F.col("high_confidence_classes"))
+    return rounded(_answered(v).predictions.withColumn("high_confidence_classes", maps), "confidence")
+
+
+@query(f"""
+SELECT id, 'one_vs_rest' AS round, label, response FROM reply_scores WHERE score IS NULL
+UNION ALL
+SELECT f.id, 'few_shot', NULL, f.response FROM few_shot_responses f JOIN decisions d ON d.id = f.id
+WHERE d.unreadable = 0 AND d.branch <> 'unique' AND {_CANONICAL.format('f.response')} IS NULL""", **ASKED)
+def responder_dead_letters(v):
+    return _answered(v).dead_letters.select("id", "round", "label", "response")
+
+
+@query("SELECT f.id, f.response FROM few_shot_responses f JOIN decisions d ON d.id = f.id WHERE d.unreadable = 0 AND d.branch <> 'unique'", **ASKED)
+def responder_second_round(v):
+    """Exactly the undecided documents are asked about again."""
+    return _answered(v).second_round
+
+
 @query(f"""
 SELECT id, CASE WHEN unreadable = 0 THEN CASE WHEN score < 0.5 THEN 'Unknown' ELSE label END END AS predicted_class,
        CASE WHEN unreadable = 0 THEN round(score, 6) END AS confidence FROM (
@@ -194,20 +254,29 @@ def direct_requests(v):
     return requests.direct_requests(v.cleaned)
 
 
-@query(f"""
+def _cost_sql(text: str) -> str:
+    return f"""
 SELECT id, round(ovr::DOUBLE, 6) AS ovr_cost, round(few::DOUBLE, 6) AS few_shot_cost, round((ovr + few)::DOUBLE, 6) AS total_cost FROM (
   SELECT r.id, (o.asked * {requests.INPUT_PRICE} + o.said * {requests.OUTPUT_PRICE:f})::DECIMAL(28,8) AS ovr,
-         CASE WHEN h.id IS NULL THEN 0 ELSE ({_tokens("h.head || chr(34) || chr(34)")} + {_tokens("c.cleaned_text")}) * {requests.INPUT_PRICE:f}
+         CASE WHEN h.id IS NULL THEN 0 ELSE ({_tokens("h.head || chr(34) || chr(34)")} + {_tokens(f"c.{text}")}) * {requests.INPUT_PRICE:f}
               + {_tokens("f.response")} * {requests.OUTPUT_PRICE:f} END::DECIMAL(28,8) AS few
-  FROM reply_predictions r JOIN cleaned c ON c.id = r.id
+  FROM reply_predictions r JOIN {'cleaned' if text == 'cleaned_text' else 'claims'} c ON c.id = r.id
   JOIN (SELECT s.id, sum({_tokens("p.prompt")}) AS asked, sum({_tokens("lower(s.response)")}) AS said
         FROM llm_responses s JOIN prompts p ON p.label_ord = s.label_ord GROUP BY s.id) o ON o.id = r.id
-  LEFT JOIN few_shot_heads h ON h.id = r.id LEFT JOIN few_shot_responses f ON f.id = r.id)""".replace(str(requests.INPUT_PRICE), f"{requests.INPUT_PRICE:f}"), **CTES)
+  LEFT JOIN few_shot_heads h ON h.id = r.id LEFT JOIN few_shot_responses f ON f.id = r.id)""".replace(str(requests.INPUT_PRICE), f"{requests.INPUT_PRICE:f}")
+
+
+@query(_cost_sql("cleaned_text"), **CTES)
 def classification_cost(v):
     costs = requests.classification_cost(v.llm_responses, v.few_shot_responses, v.cleaned)
     return rounded(costs, "ovr_cost", "few_shot_cost", "total_cost")
 
 
+@query(_cost_sql("raw_text"), **ASKED)
+def responder_cost(v):
+    return rounded(_answered(v).costs, "ovr_cost", "few_shot_cost", "total_cost")
+
+
 @query("""
 SELECT text_hash, label, documents, first_id FROM (
   SELECT sha256(text) AS text_hash, l.label, count(*) AS documents, min(d.doc_id) AS first_id FROM doc_class d CROSS JOIN label_dim l GROUP BY ALL)

@@ -14,6 +14,7 @@ from claimsift.plans.registry import query, rounded
 from claimsift.sources.interchange import shared_folder
 from claimsift.sources.store import DocumentStore
 from claimsift.streaming.ingest import ingest
+from claimsift.streaming.ingest import process_documents as process_batch
 
 RULE = rule_queries.CTES
 REPLY = {
@@ -321,8 +322,41 @@ def read_high_confidence(v):
 # -- stream --------------------------------------------------------------------
 
 
-@query("""SELECT row_number() OVER (ORDER BY id) AS id, file_name, cleaned_text, predicted_class AS classified_category, round(confidence, 6) AS confidence
-FROM (SELECT r.*, c.cleaned_text FROM rule_predictions r JOIN cleaned c ON c.id = r.id)""", **RULE)
+_STORED = """SELECT row_number() OVER (ORDER BY id) AS id, file_name, cleaned_text, predicted_class AS classified_category, round(confidence, 6) AS confidence,
+       CASE WHEN predicted_class = 'Unknown' THEN NULL ELSE predicted_class END AS high_label,
+       CASE WHEN predicted_class = 'Unknown' THEN NULL ELSE round(confidence / 100, 6) END AS high_share,
+       {ocr} AS ocr, 0::DOUBLE AS text_cleaning, 0::DOUBLE AS classification, {cost} AS cost
+FROM (SELECT r.*, c.cleaned_text, d.n_chars FROM rule_predictions r JOIN cleaned c ON c.id = r.id JOIN documents d ON d.doc_id = r.id)"""
+
+
+def _stored_rows(store):
+    """The store's rows with both JSON columns read back."""
+    rows = store.current()
+    times = rp.stage_times(rows).join(rp.document_costs(rows), "id")
+    stored = rows.select(
+        "id", "file_name", "cleaned_text", "classified_category", "confidence",
+        F.map_entries(rp.high_confidence_map(F.col("high_confidence_classes"))).alias("m"),
+    ).join(times, "id")
+    flat = stored.select(
+        "id", "file_name", "cleaned_text", "classified_category", "confidence",
+        F.get("m", F.lit(0)).key.alias("high_label"), F.get("m", F.lit(0)).value.alias("high_share"),
+        *rp.STAGE_COLUMNS.values(), "cost",
+    )
+    return rounded(flat, "confidence", "high_share", *rp.STAGE_COLUMNS.values(), "cost")
+
+
+@query(_STORED.format(ocr="round((n_chars % 97)::DOUBLE / 4, 6)", cost="round((n_chars % 89)::DOUBLE / 1000, 6)"), **RULE)
+def process_documents(v):
+    """One batch through extraction, cleaning, classification and the store, with given seconds and costs."""
+    n = F.col("n_chars")
+    sizes = v.documents.select(F.col("doc_id").alias("id"), (n % 97 / 4).alias("ocr_seconds"), (n % 89 / 1000).alias("cost"))
+    files = v.claims.select("id", "file_location", F.col("raw_text").alias("content"), F.col("id").alias("seq")).join(sizes, "id")
+    store = DocumentStore(v.spark, f"{shared_folder(v.spark)}/store")
+    process_batch(files, F.col("content"), store, 0)
+    return _stored_rows(store)
+
+
+@query(_STORED.format(ocr="0::DOUBLE", cost="0::DOUBLE"), **RULE)
 def stream_ingest(v):
     """The documents file arrives as a stream; the store then holds every document once."""
     folder = shared_folder(v.spark)
@@ -334,7 +368,4 @@ def stream_ingest(v):
     store = DocumentStore(v.spark, f"{folder}/store")
     ingest(incoming, store, f"{folder}/progress").awaitTermination()
     store.compact()
-    return rounded(
-        store.current().select("id", "file_name", "cleaned_text", "classified_category", "confidence"),
-        "confidence",
-    )
+    return _stored_rows(store)

@@ -20,6 +20,11 @@ HEADLINE = [
     "classification_cost",
     "uncached_requests",
     "upsert_documents",
+    "answer_requests",
+    "few_shot_requests",
+    "classify_by_responder",
+    "process_documents",
+    "stream_ingest",
     "classification_report",
     "stage_time_box",
     "cumulative_stage_time",

@@ -78,9 +78,15 @@ def one_vs_rest_requests(
     )
 
 
-def direct_requests(docs: DataFrame, text: str = "cleaned_text", labels=tuple(LABELS)) -> DataFrame:
-    """(id, prompt): ask for the class and a percentage in one request."""
-    head = (
+def _examples_first(examples: dict[str, str] | None) -> str:
+    return "".join(f"{example}\n\n" for example in (examples or {}).values())
+
+
+def direct_requests(
+    docs: DataFrame, text: str = "cleaned_text", labels=tuple(LABELS), examples: dict[str, str] | None = None
+) -> DataFrame:
+    """(id, prompt): ask for the class and a percentage in one request, with examples in front if given."""
+    head = _examples_first(examples) + (
         f"Choose one class for the document: {', '.join(labels)}. "
         "Give the class and your confidence as a percentage.\n\nDocument:\n"
     )
@@ -88,13 +94,14 @@ def direct_requests(docs: DataFrame, text: str = "cleaned_text", labels=tuple(LA
 
 
 def batch_requests(
-    docs: DataFrame, text: str = "cleaned_text", batch_size: int = 16, labels=tuple(LABELS)
+    docs: DataFrame, text: str = "cleaned_text", batch_size: int = 16, labels=tuple(LABELS),
+    examples: dict[str, str] | None = None,
 ) -> DataFrame:
     """(batch_no, documents, prompt): one request for up to ``batch_size`` documents.
 
     Documents are numbered in order of their unique id, so all batches but the last are full.
     """
-    head = (
+    head = _examples_first(examples) + (
         f"Choose one class for each document: {', '.join(labels)}. Answer one line each as "
         '"Document X - Class: [class] - Confidence: [Low, Medium, High]"\n\n'
     )

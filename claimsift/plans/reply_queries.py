@@ -248,6 +248,22 @@ def batch_requests(v):
     return requests.batch_requests(v.cleaned)
 
 
+_EXAMPLES = "".join(f"{e}\n\n" for e in requests.DEFAULT_EXAMPLES.values())
+
+
+@query(f"""SELECT (n // 16)::BIGINT AS batch_no, count(*) AS documents,
+       concat({quoted(_EXAMPLES + _BATCH_HEAD)}, chr(10), chr(10), string_agg(concat('Document ', id, ': ', cleaned_text), chr(10) ORDER BY id)) AS prompt
+FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM cleaned) GROUP BY ALL""")
+def batch_requests_with_examples(v):
+    return requests.batch_requests(v.cleaned, examples=requests.DEFAULT_EXAMPLES)
+
+
+@query(f"""SELECT id, concat({quoted(_EXAMPLES + "Choose one class for the document: " + ', '.join(LABELS) + ". Give the class and your confidence as a percentage.")},
+       chr(10), chr(10), 'Document:', chr(10), cleaned_text) AS prompt FROM cleaned""")
+def direct_requests_with_examples(v):
+    return requests.direct_requests(v.cleaned, examples=requests.DEFAULT_EXAMPLES)
+
+
 @query(f"""SELECT id, concat({quoted("Choose one class for the document: " + ', '.join(LABELS) + ". Give the class and your confidence as a percentage.")},
        chr(10), chr(10), 'Document:', chr(10), cleaned_text) AS prompt FROM cleaned""")
 def direct_requests(v):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import DEFAULT_RULES
@@ -49,6 +51,20 @@ def extraction_time_by_method(v):
     return rounded(files.extraction_times(v.extractions), "total_seconds")
 
 
+@query("""SELECT m.method, concat(page_id, '.html') AS file_name, CASE m.method WHEN 'source' THEN html ELSE regexp_replace(html, '<[^>]*>', '', 'g') END AS text,
+       true AS timed FROM pages CROSS JOIN (VALUES ('source'), ('no_tags')) m(method)""")
+def run_extractors(v):
+    """Two extractors on the same files; of the seconds only that they are not negative is compared."""
+    found = v.pages.select(
+        F.concat(F.lit("/pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content")
+    )
+    extractors = {
+        "source": lambda content: content.decode(),
+        "no_tags": lambda content: re.sub("<[^>]*>", "", content.decode()),
+    }
+    return files.run_extractors(found, extractors).select("method", "file_name", "text", (F.col("seconds") >= 0).alias("timed"))
+
+
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
 
 

@@ -70,8 +70,8 @@ class ContextTree:
         unseen = 256 - len(seen)
         self.width = width
         # node 0 is no node, node 1 the empty context; child[node, class of the byte before] is a node or 0
-        tables = [np.zeros((2, width, n_langs), np.int64)]
-        children = [np.zeros((2, width), np.int64)]
+        tables = [np.zeros((2, width, n_langs), np.int32)]
+        children = [np.zeros((2, width), np.int32)]
         nodes_of: dict[int, int] = {0: 1}  # packed context of the current length -> node
         parents = [0, 0]  # the empty context has no parent
         total_nodes = 2
@@ -90,8 +90,8 @@ class ContextTree:
                     if parent is not None:
                         kept[c] = total_nodes + len(kept)
                         parents.append(parent)
-                tables.append(np.zeros((len(kept), width, n_langs), np.int64))
-                children.append(np.zeros((len(kept), width), np.int64))
+                tables.append(np.zeros((len(kept), width, n_langs), np.int32))
+                children.append(np.zeros((len(kept), width), np.int32))
                 child = np.concatenate(children)
                 for c, node in kept.items():
                     child[parents[node], self.byte_class[c >> 8 * (k - 1)]] = node
@@ -105,14 +105,14 @@ class ContextTree:
                 inside = node > 0
                 table[node[inside], self.byte_class[(gram & np.uint64(255)).astype(int)][inside], at] = number[inside]
             tables = [table]
-        self.child = children[0].astype(np.int32)
-        self.bits = self._code_lengths(tables[0], np.array(parents), unseen).astype(np.float32)
+        self.child = children[0]
+        self.bits = self._code_lengths(tables[0], np.array(parents), unseen)
 
     @staticmethod
     def _code_lengths(table: np.ndarray, parents: np.ndarray, unseen: int) -> np.ndarray:
         """bits[node, class, language], by escapes with exclusion; parents come before their children."""
         nodes, width, n_langs = table.shape
-        bits = np.zeros((nodes, width, n_langs))
+        bits = np.zeros((nodes, width, n_langs), np.float32)
         ways = np.ones(width)
         ways[0] = unseen  # bytes of class 0 share its probability equally
         for lang in range(n_langs):

@@ -137,9 +137,7 @@ def dedup_lines(
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
         .agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     )
-    drop_folder = new_folder(spark, "dropped-lines")
-    dropped.write.parquet(drop_folder)
-    dropped = spark.read.schema(dropped.schema).parquet(drop_folder)
+    dropped = cut(dropped)
     runs.drop()
     remove_folder(spark, folder)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.llm.byte_bpe import bpe_round_trip
-from claimsift.llm.common import new_folder, table
+from claimsift.llm.common import new_folder, remove_folder, table
 from claimsift.llm.decontaminate import contaminated
 from claimsift.llm.language import UNDETERMINED, UNIFORM_BITS, fit, identify
 from claimsift.llm.line_runs import dedup_lines
@@ -23,14 +23,19 @@ from claimsift.llm.simhash import simhash_groups
 
 
 def _beside(docs: DataFrame) -> DataFrame:
-    """Rows as one struct, so that no name in them can clash with a name of ours."""
-    return docs.select(F.struct("*").alias("row"))
+    """(row, key, text): rows as one struct, so that no name in them can clash with a name of ours.
+
+    The key is the id with a hash of the text: rows with a null id are different documents if their texts differ. Keys
+    are ordered as ids, null ids last.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("text").alias("text"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts that every learned language codes worse than no model would."""
     tree = fit(docs, "doc_id", "text", "lang")
-    marked = _beside(docs).withColumn("found", identify(docs, F.col("row.text"), tree))
+    marked = _beside(docs).withColumn("found", identify(docs, F.col("text"), tree))
     return marked.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.bits_per_byte") <= UNIFORM_BITS)).select("row.*")
 
 
@@ -41,18 +46,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    groups = simhash_groups(docs, "doc_id", "text")
-    kept = groups.filter("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = _beside(docs).withColumn("id", F.col("row.doc_id"))
-    one = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).groupBy("id").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    """One document of each group stays: the one with the smallest id, and of its repeated rows one."""
+    rows = _beside(docs)
+    groups = simhash_groups(rows, "key", "text")
+    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("kept")).distinct()
+    same = F.col("key").eqNullSafe(F.col("kept"))
+    return rows.join(kept, same).groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    found = contaminated(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _beside(docs)
+    found = contaminated(rows, "key", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    gone = found.select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         rows = stage(spark, docs, sf_dir)
         rows.write.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
         docs = spark.read.schema(rows.schema).parquet(f"{folder}/{k}")
     return docs

@@ -59,11 +59,12 @@ def test_run_equals_its_stages(spark, small):
 
 
 def test_nulls_and_repeated_rows(spark, small):
-    rows = [(1, None, None, None, 0), (None, "the the and of this", "en", "s", 5), (2, "the of and in to", None, None, None), (2, "the of and in to", None, None, None), (3, "", "en", "s", 0)]
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    rows = [(1, None, None, None, 0), (None, "the the and of this", "en", "s", 5), (None, "another text without an id", "en", "s", 5), (None, item, "en", "s", 5), (2, "the of and in to", None, None, None), (2, "the of and in to", None, None, None), (3, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
-    assert sorted((r["doc_id"] or -1) for r in docs.collect()) == [-1, 2]
+    assert sorted((r["doc_id"] or -1) for r in docs.collect()) == [-1, -1, 2]
 
 
 def test_empty_table(spark, docs, small):

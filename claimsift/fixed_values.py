@@ -252,6 +252,9 @@ OVR_INSTRUCTION = (
     ". Return only Yes/No and confidence in percentage format.",
 )
 
+# The reply to a batch request, which the reply parser reads.
+BATCH_REPLY_FORMAT = "Document X - Class: [class] - Confidence: [Low, Medium, High]"
+
 # Function words that a list of a label's terms leaves out by default.
 STOP_WORDS = (
     "a about after all also an and any are as at be because been before being between both but by can could did do does "

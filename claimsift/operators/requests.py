@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import LABELS, OVR_INSTRUCTION
+from claimsift.fixed_values import BATCH_REPLY_FORMAT, LABELS, OVR_INSTRUCTION
 from claimsift.functions.patterns import token_count
 from claimsift.functions.plan_shape import written
 from claimsift.operators.ordering import row_numbers
@@ -103,7 +103,7 @@ def batch_requests(
     """
     head = _examples_first(examples) + (
         f"Choose one class for each document: {', '.join(labels)}. Answer one line each as "
-        '"Document X - Class: [class] - Confidence: [Low, Medium, High]"\n\n'
+        f'"{BATCH_REPLY_FORMAT}"\n\n'
     )
     line = F.concat(F.lit("Document "), F.col("id").cast("string"), F.lit(": "), F.col(text))
     lines = F.array_sort(F.collect_list(F.struct(F.col("id"), line.alias("line"))))
@@ -127,9 +127,9 @@ def few_shot_head(candidates: Column, examples: dict[str, str] = DEFAULT_EXAMPLE
     shown = F.array_join(F.transform(candidates, lambda c: known[c]), "\n\n")
     return F.concat(
         shown,
-        F.lit("\n\nClassify the following document into one of these classes: "),
+        F.lit("\n\nWhich one of the classes "),
         F.array_join(candidates, ", "),
-        F.lit(".\nDocument: "),
+        F.lit(" fits this text best?\nText: "),
     )
 
 

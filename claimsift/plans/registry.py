@@ -28,9 +28,9 @@ def query(sql: str | None = None, name: str | None = None, **ctes: str):
     return register
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     """Doubles to six places, as in the oracle SQL."""
-    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+    return df.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})
 
 
 def quoted(text: str) -> str:

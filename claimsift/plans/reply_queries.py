@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import LABEL_PRIORITY, LABELS, OVR_INSTRUCTION
+from claimsift.fixed_values import BATCH_REPLY_FORMAT, LABEL_PRIORITY, LABELS, OVR_INSTRUCTION
 from claimsift.functions.patterns import SPACE, TOKEN
 from claimsift.operators import replies, requests, responder
 from claimsift.plans.registry import query, quoted, rounded
@@ -52,7 +52,7 @@ WHERE d.unreadable = 0 AND d.branch <> 'unique' AND (d.branch = 'none' OR s.scor
     "few_shot_heads": """
 SELECT id, string_agg(label, ', ' ORDER BY label_ord) AS candidate_list,
        concat(string_agg(example, chr(10) || chr(10) ORDER BY label_ord), chr(10), chr(10),
-              'Classify the following document into one of these classes: ', string_agg(label, ', ' ORDER BY label_ord), '.', chr(10), 'Document: ') AS head
+              'Which one of the classes ', string_agg(label, ', ' ORDER BY label_ord), ' fits this text best?', chr(10), 'Text: ') AS head
 FROM candidates GROUP BY id""",
     "reply_predictions": f"""
 SELECT id, branch, top_label AS predicted_class, top_score AS confidence, high_map FROM decisions WHERE unreadable = 0 AND branch = 'unique'
@@ -237,7 +237,7 @@ def parse_batch_response(v):
 
 _BATCH_HEAD = (
     f"Choose one class for each document: {', '.join(LABELS)}. Answer one line each as "
-    '"Document X - Class: [class] - Confidence: [Low, Medium, High]"'
+    f'"{BATCH_REPLY_FORMAT}"'
 )
 
 
@@ -272,7 +272,7 @@ def direct_requests(v):
 
 def _cost_sql(text: str) -> str:
     return f"""
-SELECT id, round(ovr::DOUBLE, 6) AS ovr_cost, round(few::DOUBLE, 6) AS few_shot_cost, round((ovr + few)::DOUBLE, 6) AS total_cost FROM (
+SELECT id, round(ovr::DOUBLE, 8) AS ovr_cost, round(few::DOUBLE, 8) AS few_shot_cost, round((ovr + few)::DOUBLE, 8) AS total_cost FROM (
   SELECT r.id, (o.asked * {requests.INPUT_PRICE} + o.said * {requests.OUTPUT_PRICE:f})::DECIMAL(28,8) AS ovr,
          CASE WHEN h.id IS NULL THEN 0 ELSE ({_tokens("h.head || chr(34) || chr(34)")} + {_tokens(f"c.{text}")}) * {requests.INPUT_PRICE:f}
               + {_tokens("f.response")} * {requests.OUTPUT_PRICE:f} END::DECIMAL(28,8) AS few
@@ -285,12 +285,12 @@ SELECT id, round(ovr::DOUBLE, 6) AS ovr_cost, round(few::DOUBLE, 6) AS few_shot_
 @query(_cost_sql("cleaned_text"), **CTES)
 def classification_cost(v):
     costs = requests.classification_cost(v.llm_responses, v.few_shot_responses, v.cleaned)
-    return rounded(costs, "ovr_cost", "few_shot_cost", "total_cost")
+    return rounded(costs, "ovr_cost", "few_shot_cost", "total_cost", places=8)
 
 
 @query(_cost_sql("raw_text"), **ASKED)
 def responder_cost(v):
-    return rounded(_answered(v).costs, "ovr_cost", "few_shot_cost", "total_cost")
+    return rounded(_answered(v).costs, "ovr_cost", "few_shot_cost", "total_cost", places=8)
 
 
 @query("""

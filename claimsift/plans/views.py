@@ -101,7 +101,7 @@ FROM documents"""
 SELECT d.doc_id AS id, concat(l.label, ' ', d.source, ' ', d.doc_id, '.pdf') AS file_name,
        p.label AS classified_category, CAST(50 + d.doc_id % 50 AS DOUBLE) / 100 AS confidence,
        CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE concat('{"', l.label, '": 0.', 50 + d.doc_id % 50, '}') END AS high_confidence_classes,
-       g.process_metadata,
+       g.process_metadata, d.text AS raw_text, lower(d.text) AS cleaned_text,
        CASE WHEN d.doc_id % 10 = 0 THEN NULL ELSE l.label END AS ground_truth
 FROM doc_class d JOIN label_dim l ON l.label_ord = d.truth_ord LEFT JOIN label_dim p ON p.label_ord = d.body_ord
 JOIN process_log g ON g.id = d.doc_id"""

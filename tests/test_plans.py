@@ -35,6 +35,24 @@ def test_reports_read_no_text(spark):
     assert scans and all("ReadSchema" not in x or "text:" not in x for x in scans)
 
 
+def test_a_scan_of_the_store_leaves_the_texts_in_the_files(spark, views):
+    assert {"raw_text", "cleaned_text"} <= set(views.stored_documents.columns)
+    scans = [x for x in physical(spark, "scan_documents").split("\n") if "ReadSchema" in x]
+    assert scans and not any("text:" in x for x in scans)
+
+
+@pytest.mark.parametrize("name", ["stage_time_box", "cumulative_stage_time"])
+def test_ordered_reports_read_their_table_once(spark, name):
+    assert "FileScan" not in physical(spark, name)  # it was written as narrow rows, and these are read again
+
+
+@pytest.mark.parametrize("name", ["upsert_documents", "partial_upsert_documents"])
+def test_merged_texts_are_not_joined_again(spark, name):
+    plan = physical(spark, name)
+    lines = plan[: plan.index("FullOuter")].split("\n")
+    assert not any("Join" in x for x in lines[:-1]) and not any("Exchange" in x for x in lines)
+
+
 @pytest.mark.parametrize("name", ["classify_llm", "classification_cost"])
 def test_replies_are_scored_once(spark, name):
     assert physical(spark, name).count("partial_collect_list") == 1

@@ -40,7 +40,9 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation"
     " menu breadcrumb breadcrumbs pagination pager sidebar widget related recommended recommendations cookie cookies consent"
     " gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing"
-    " social comment comments disqus replies respond footer header masthead copyright".split()
+    " social comment comments commentlist commentform commentbox commentsection disqus replies respond footer header"
+    " masthead copyright adbox adslot adunit adbanner cookiebar cookiebanner topnav sidenav subnav sitenav mainnav mainmenu"
+    " submenu toolbar skiplink tagcloud blogroll paywall guestbook".split()
 )
 ARTICLE_HINTS = frozenset("ad advert advertisement sponsored promo comment comments reply related teaser".split())
 ARTICLE_WORDS = frozenset("article post entry story content page has with no without".split())

@@ -67,6 +67,8 @@ CLOSES = {
     "th": (CELLS, frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 } | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])))
+#: Parts that the pages of a host are dealt to.
+HOST_SALTS = 64
 SCOPE_ENDS = frozenset("table td th caption".split())
 END_SCOPE = {"table": frozenset()} | dict.fromkeys("caption tbody thead tfoot tr td th".split(), frozenset(["table"]))
 
@@ -324,11 +326,15 @@ def extract_main_text(
     Repeated rows stay repeated and count as one page for the templates. Truncated markup is read as far as it goes. An
     empty table gives an empty table. Only id, url and html are read.
     """
-    templates = site_templates(pages, url_col, html_col, min_pages, min_share)
-    url = F.col(f"`{url_col}`")
+    # every host's list goes to all salts, its pages to one each, so a host with very many pages spreads over tasks
+    templates = site_templates(pages, url_col, html_col, min_pages, min_share).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
+    )
+    url, html_text = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
+    salt = F.pmod(F.xxhash64(html_text, url), F.lit(HOST_SALTS)).cast("int")
     with_templates = pages.select(
-        F.col(f"`{id_col}`").alias("id"), url.alias("url"), F.col(f"`{html_col}`").alias("html"), host_of(url).alias("host")
-    ).join(templates, "host", "left").select("id", "url", "html", "templates")
+        F.col(f"`{id_col}`").alias("id"), url.alias("url"), html_text.alias("html"), host_of(url).alias("host"), salt.alias("salt")
+    ).join(templates, ["host", "salt"], "left").select("id", "url", "html", "templates")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [

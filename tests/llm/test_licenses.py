@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from claimsift.llm import licenses
 from claimsift.llm.licenses import CUES, TEMPLATES, VOCABULARY, TemplateVectors, scan_licenses, words_of
 from claimsift.llm.queries import QUERIES
 
@@ -51,6 +52,27 @@ def test_a_license_far_down_a_long_text_is_found(spark):
     assert scan(spark, [(1, "x", text)])[1][0] == "CC-BY-NC-4.0"
 
 
+def test_words_of_many_headers_weigh_little(spark):
+    gpl = "This package is licensed under the GNU General Public License, version 3."
+    mit = "Copyright 2024 Acme Corp. Licensed under the MIT License."
+    own = [f"// Copyright {k}, licensed under the MIT license; own{k}" for k in range(30)] + [mit]
+    templates = [text for _, text in TEMPLATES[:2] + TEMPLATES[5:6]] * 50
+    got = scan(spark, [(k, f"a{k}/x", text) for k, text in enumerate([gpl] * 300 + own + templates)])
+    assert [got[k][:2] for k in range(331)] == [("GPL-3.0", "header")] * 300 + [("MIT", "header")] * 31
+
+
+def test_similarity_counts_every_word(spark, monkeypatch):
+    lines = [f"Licensed under the MIT license by {' '.join(f'w{j}' for j in range(k % 5))} own{k}" for k in range(40)]
+    frequency = Counter(w for line in lines for w in set(words_of(line)))
+    vectors = TemplateVectors(frequency, len(lines))
+    want = {k: round(vectors.best(line)[1], 9) for k, line in enumerate(lines)}
+    files = spark.createDataFrame([(k, f"d{k}/x", line) for k, line in enumerate(lines)], "id long, path string, text string")
+    for most in (4096, 3):  # weights of all words in the tasks, or of most words by the join
+        monkeypatch.setattr(licenses, "COMMON_WORDS", most)
+        got = {r["id"]: r["similarity"] for r in scan_licenses(files, "id", "path", "text", threshold=0.01).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+
+
 def test_edges(spark):
     mit = "Released under the MIT License."
     got = scan(spark, [(1, None, "text"), (2, "d/f", None), (3, "d/g", ""), (None, "LICENSE", mit), (5, "LICENSE", mit), (6, "e/h", "t"), (6, "e/h", "t")])

@@ -53,7 +53,8 @@ def digests(texts: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.ndarr
     new[1:] = both[1:] != both[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))
     occurrence = (np.arange(len(both)) - start).astype(np.uint64)
-    return owner, _mixed(keys + (occurrence << np.uint64(48)) + np.uint64(1))
+    # 16 bits of the occurrence number stand above the digest; the rest of a larger one is spread over all bits
+    return owner, _mixed(keys + (occurrence << np.uint64(48)) + (occurrence >> np.uint64(16)) * MULTIPLIERS[1] + np.uint64(1))
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:

@@ -34,6 +34,14 @@ def test_likeness_equals_sets():
     assert np.allclose(got, [exact(texts[a], texts[b]) for a, b in zip(first, second)])
 
 
+def test_very_many_equal_paragraphs_are_different_elements():
+    texts = ["x\n" * 70_000, "a b c d e", "x\n" * 67_000 + "y"]
+    owner, keys = digests(texts, PATTERN)
+    assert len(np.unique(keys[owner == 0])) == 70_000
+    got = likeness(owner, keys, np.array([0, 0, 2]), np.array([1, 2, 1]))
+    assert np.allclose(got, [exact(texts[a], texts[b]) for a, b in ((0, 1), (0, 2), (2, 1))])
+
+
 def test_peeling_recovers_the_differing_digests():
     owner, keys = digests(["a b c d\ne f\ng", "a b c d\nx y\ng"], PATTERN)
     sketch = Sketches(1, 18)

@@ -3,7 +3,8 @@
 A page is parsed into a tree. Every element subtree has a digest of its tags, classes and text; Spark counts on how many
 different pages of a host each digest occurs, and subtrees that recur on many of them are deleted. Of what is left, the
 content root is taken (the article, else main, else the body) without elements that are no article text by their tag,
-class, id or role, and its blocks are joined in page order.
+class, id or role, and its blocks are joined in page order. A class or id says so only if all its words do, or stand
+for a box or place, and never where the page would lose its only article, main or first heading.
 
 Inside an article or main only containers can be a template: a paragraph, heading or list item of an article is text
 even if many articles share it. Copies of a whole page count as one page.
@@ -45,6 +46,13 @@ HINTS = frozenset(
     " submenu toolbar skiplink tagcloud blogroll paywall guestbook".split()
 )
 ARTICLE_HINTS = frozenset("ad advert advertisement sponsored promo comment comments reply related teaser".split())
+#: Words beside a hint in one class or id that do not change what the element is, as in ad-box or site-footer.
+NEUTRAL = frozenset(
+    "a the site main page post posts article articles entry box block area section wrap wrapper container inner outer row col column group list"
+    " item items link links button buttons bar unit slot panel top bottom left right primary secondary global local title form icons"
+    " count policy desktop mobile header".split()
+)
+HEADS = frozenset("article main h1".split())
 ARTICLE_WORDS = frozenset("article post entry story content page has with no without".split())
 
 TAG = re.compile(
@@ -74,19 +82,20 @@ END_SCOPE = {"table": frozenset()} | dict.fromkeys("caption tbody thead tfoot tr
 
 
 class Element:
-    __slots__ = ("tag", "classes", "no_text", "parts", "digest", "has_text", "above_root")
+    __slots__ = ("tag", "classes", "no_text", "hinted", "parts", "digest", "has_text", "above_root")
 
-    def __init__(self, tag: str, classes: str, no_text: bool):
+    def __init__(self, tag: str, classes: str, no_text: bool, hinted: bool = False):
         self.tag, self.classes, self.no_text = tag, classes, no_text
+        self.hinted = hinted  # no text only by its class or id
         self.parts: list[str | Element] = []
         self.digest, self.has_text, self.above_root = 0, False, False
 
 
 @lru_cache(4096)
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """Classes and id, and whether the element is no article text."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Classes and id, whether the element is no article text, and whether only a class or id says so."""
     if not MARKED(attributes):
-        return "", tag in DROPPED_TAGS
+        return "", tag in DROPPED_TAGS, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     classes = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(WORD.findall(classes))
@@ -98,14 +107,19 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
         or "hidden" in ATTRIBUTE.sub(" ", attributes).lower().rstrip("/").split()
         or "hidden" in found
     )
+    hints = frozenset()
     if tag == "article":
-        no_text = no_text or bool(words & ARTICLE_HINTS)
+        hints = ARTICLE_HINTS
     elif tag not in ("html", "body", "main"):
-        hints = words & HINTS
-        if words & ARTICLE_WORDS:
-            hints -= {"header", "sidebar"}
-        no_text = no_text or bool(hints)
-    return " ".join(classes.split()), no_text
+        hints = HINTS - {"header", "sidebar"} if words & ARTICLE_WORDS else HINTS
+    hinted = not no_text and any(_says(token, hints) for token in classes.split())
+    return " ".join(classes.split()), no_text or hinted, hinted
+
+
+def _says(token: str, hints: frozenset[str]) -> bool:
+    """Whether a class or id consists of hint words, and of words that stand for a box or place."""
+    words = set(WORD.findall(token))
+    return bool(words & hints) and words <= hints | NEUTRAL
 
 
 def parse(page: str) -> Element:
@@ -159,9 +173,49 @@ def parse(page: str) -> Element:
             stack.append(element)  # its end tag follows
         elif tag not in VOID and not (attributes.endswith("/") and any(e.tag in ("svg", "math") for e in stack)):
             stack.append(element)
+    _spare(root)
     return root
 
 
+def _spare(root: Element) -> None:
+    """If the page has its article, main and h1 only inside elements that their class or id marks, these are text."""
+    dropped = False  # some element is hinted
+    steps, skip = walk(root), None
+    while True:
+        try:
+            part, entering = steps.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        if isinstance(part, str) or not entering:
+            continue
+        if part.tag in HEADS and not part.no_text:
+            return
+        dropped = dropped or part.hinted
+        skip = part.no_text
+    if not dropped:
+        return
+    above: list[Element] = []
+    steps, skip = walk(root), None
+    while True:
+        try:
+            part, entering = steps.send(skip)
+        except StopIteration:
+            return
+        skip = None
+        if isinstance(part, str):
+            continue
+        if not entering:
+            above.pop()
+        elif part.no_text and not part.hinted or part.hinted and part.tag == "article":
+            skip = True
+        else:
+            if part.tag in HEADS:
+                for element in above:
+                    element.no_text = element.hinted = False
+            above.append(part)
+
+
 def walk(root: Element):
     """(element or text, True on the way in, False on the way out), without recursion. Send True to skip an element."""
     stack = [(root, iter(root.parts))]

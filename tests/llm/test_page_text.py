@@ -30,6 +30,19 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div class='elementor-widget-text-editor'><article>a</article></div>", "a"),
+    ("<article><div class='post social-share-on'>b</div><p class='share-price'>c</p><div class='alert-story'>d</div></article>", "b\nc\nd"),
+    ("<div class='widget'><div class='promo'><article>e</article></div></div><p>rest", "e"),
+    ("<div class='banner'><h1>f</h1><p>g</div><div class='menu'>m</div><p>h", "f\ng\nh"),
+    ("<div class='related'><article>card</article></div><main>i</main>", "i"),
+    ("<div class='related'><article>card</article></div><h1>j</h1><p>k", "j\nk"),
+    ("<p>l<div class='comments'><article class='comment'>no</article></div><div class='site-footer'>no</div><div class='related-posts'>no</div>", "l"),
+])
+def test_a_class_drops_only_what_it_names(page, want):
+    assert main_text(page) == want
+
+
 def test_equal_subtrees_have_equal_digests():
     body, found = possible_templates("<body><div><p>same</p></div><div><p>other</p></div>")
     _, again = possible_templates("<body><section>x</section><div><p>same</p></div>")

@@ -2,7 +2,9 @@
 
 A text becomes the hashes of its words. A seed is the hash of the words that a fixed mask selects from a stretch; the
 words it skips may differ. The two masks together hit every stretch of 16 words of which at most 3 differ, wherever
-they stand (tests/llm tries all ways). Seeds of documents are joined with seeds of the benchmark; every hit gives a
+they stand (tests/llm tries all ways). An item of fewer than 16 words is cut into one block more than words of it may
+differ, so one block is whole in every copy; its seeds are its blocks, and documents have seeds of all runs of such
+lengths. Characters of scripts written without spaces are words of their own. Seeds of documents are joined with seeds of the benchmark; every hit gives a
 document, an item and an offset between them, and around the hit the aligned words are compared: an overlap counts if
 some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
 
@@ -13,6 +15,7 @@ them pass more, never miss any.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -24,6 +27,8 @@ from claimsift.llm.common import cut
 #: Words of a stretch that each mask selects.
 MASKS = ((0, 2, 3, 6, 7, 8), (0, 1, 2, 7, 9, 10))
 STRETCH, AGREEING = 16, 0.8
+#: Scripts that put no space between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Places that all masks select: a seed can only match where an item has words with such hashes there.
 COMMON = sorted(set.intersection(*map(set, MASKS)))
 #: Low bits of a word's hash that the flags of item words tell apart.
@@ -34,7 +39,9 @@ PROBES = (0, 21, 42)
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    words = F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -60,6 +67,36 @@ def _seeds(hashes: Column, starts: Column, passes=None) -> Column:
     return F.concat(*[of_mask(number) for number in range(len(MASKS))])
 
 
+def blocks(size: int, agreeing: float) -> list[tuple[int, int]]:
+    """(place, length) of the blocks of an item of ``size`` words, one more than words of it may differ."""
+    parts = min(size, size - math.ceil(size * agreeing) + 1)
+    bounds = [size * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
+
+
+def _run_seed(hashes: Column, start: Column, length: int) -> Column:
+    return F.xxhash64(F.lit(-length), *[F.get(hashes, start + k) for k in range(length)])
+
+
+def _block_seeds(hashes: Column, stretch: int, agreeing: float) -> Column:
+    """Seeds of an item of fewer words than a stretch: array of (place, seed)."""
+    seeds = F.array().cast("array<struct<place:int,seed:bigint>>")
+    for size in range(1, stretch):
+        of_size = [F.struct(F.lit(at).alias("place"), _run_seed(hashes, F.lit(at), n).alias("seed")) for at, n in blocks(size, agreeing)]
+        seeds = F.when(F.size(hashes) == size, F.array(*of_size)).otherwise(seeds)
+    return seeds
+
+
+def _run_seeds(hashes: Column, lengths: list[int], starts: Column, passes) -> Column:
+    """Seeds of the runs of the given lengths in a document that pass: array of (place, seed)."""
+
+    def of_length(n: int) -> Column:
+        inside = F.filter(starts, lambda start: (start + n <= F.size(hashes)) & passes(_run_seed(hashes, start, n)))
+        return F.transform(inside, lambda start: F.struct(start.alias("place"), _run_seed(hashes, start, n).alias("seed")))
+
+    return F.concat(*[of_length(n) for n in lengths])
+
+
 def word_flags(items: DataFrame) -> Column:
     """A constant array of booleans by the low bits of a word's hash: whether a word of an item has them."""
     low = F.col("word").bitwiseAND(F.lit(2**FLAG_BITS - 1))
@@ -86,32 +123,39 @@ def bloom_filter(seeds: DataFrame) -> Column:
 
 def contaminated(
     docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
-    stretch: int = STRETCH, agreeing: float = AGREEING,
+    stretch: int = STRETCH, agreeing: float = AGREEING, shortest: int = 9,
 ) -> DataFrame:
     """(doc_id, item_id, n_equal, n_compared): the best stretch of every document and item that overlap.
 
-    Null and empty texts have no words and overlap nothing; so do items of fewer than 9 words (no mask fits). Items of 9
-    to 15 words must lie in the document as a whole; exact copies of them are always found. Repeated documents or items
+    Null and empty texts have no words and overlap nothing; so do items of fewer than ``shortest`` words. Items of fewer
+    than 16 words must lie in the document as a whole; all copies that agree enough are found. Repeated documents or items
     of one id give one row with the best stretch; null ids give rows with null. Items of one word repeated throughout
-    are no evidence and match nothing. Empty tables give an empty table. Only ids and texts are read.
+    are no evidence and match nothing, but a single word is an item. Empty tables give an empty table. Only ids and texts
+    are read.
     """
     hashed_items = cut(
         items.select(F.col(f"`{item_id_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("item_words"))
-        .filter(F.size(F.array_distinct("item_words")) > 1)
+        .filter((F.size("item_words") >= shortest) & ((F.size(F.array_distinct("item_words")) > 1) | (F.size("item_words") == 1)))
         .distinct()
         .withColumn("item_row", F.monotonically_increasing_id())
     )
+    long_seeds = _seeds(F.col("item_words"), _starts(F.col("item_words")))
+    short_seeds = _block_seeds(F.col("item_words"), stretch, agreeing)
     item_seeds = cut(
-        hashed_items.select("item_row", F.explode(_seeds(F.col("item_words"), _starts(F.col("item_words")))).alias("s"))
+        hashed_items.select("item_row", F.explode(F.when(F.size("item_words") < stretch, short_seeds).otherwise(long_seeds)).alias("s"))
         .select("item_row", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     )
     wanted = bloom_filter(item_seeds.select("seed").distinct())
 
     flags = word_flags(hashed_items)
+    sizes = {r["n"] for r in hashed_items.filter(F.size("item_words") < stretch).select(F.size("item_words").alias("n")).distinct().collect()}
+    lengths = sorted({n for size in sizes for _, n in blocks(size, agreeing)})  # none, if no item is that short
+
+    def known(start: Column) -> Column:
+        return F.get(flags, F.get("words", start).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int"))
 
     def flagged(start: Column) -> Column:
-        tests = [F.get(flags, F.get("words", start + place).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int")) for place in COMMON]
-        return reduce(and_, tests)
+        return reduce(and_, [known(start + place) for place in COMMON])
 
     def passes(seed: Column) -> Column:
         tests = [F.getbit(F.get(wanted, _filter_word(seed, p)), _filter_bit(seed, p)) == 1 for p in PROBES]
@@ -119,10 +163,16 @@ def contaminated(
 
     # the row number is not deterministic to the optimizer, which therefore leaves the filter on hits above it and
     # does not compute the hits twice
+    document_seeds = _seeds(F.col("words"), F.col("starts"), passes)
+    run_starts = F.array().cast("array<int>")
+    if lengths:
+        every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(run_starts)
+        run_starts = F.filter(every, lambda start: reduce(and_, [known(start + k) for k in range(lengths[0])]))
+        document_seeds = F.concat(document_seeds, _run_seeds(F.col("words"), lengths, F.col("run_starts"), passes))
     hit_docs = cut(
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"))
-        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"))
-        .select("doc_id", "words", _seeds(F.col("words"), F.col("starts"), passes).alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
+        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"), run_starts.alias("run_starts"))
+        .select("doc_id", "words", document_seeds.alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
         .filter(F.size("hits") > 0)
     )
     hits = hit_docs.select("doc_row", F.explode("hits").alias("s")).select("doc_row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))

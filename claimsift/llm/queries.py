@@ -81,7 +81,7 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    return contaminated(docs, "doc_id", "text", items, "item_id", "text", shortest=1)
 
 
 @query

@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     rows = _beside(docs)
-    found = contaminated(rows, "key", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = contaminated(rows, "key", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", shortest=1)
     gone = found.select(F.col("doc_id").alias("gone")).distinct()
     return rows.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.llm import decontaminate
-from claimsift.llm.decontaminate import AGREEING, MASKS, STRETCH, contaminated
+from claimsift.llm.decontaminate import AGREEING, MASKS, STRETCH, blocks, contaminated
 from claimsift.llm.queries import QUERIES
 
 
@@ -16,6 +16,35 @@ def test_masks_hit_every_stretch_with_three_substitutions():
         assert any({at + place for place in mask} <= right for mask in MASKS for at in range(STRETCH - mask[-1]))
 
 
+@pytest.mark.parametrize("size", range(1, STRETCH))
+def test_blocks_hit_every_copy_of_a_short_item(size):
+    parts = blocks(size, AGREEING)
+    assert sorted(at + k for at, n in parts for k in range(n)) == list(range(size))
+    for wrong in combinations(range(size), size - int(-(-size * AGREEING // 1))):
+        assert any(not set(wrong) & set(range(at, at + n)) for at, n in parts)
+
+
+def test_short_items_are_found_with_substitutions(spark):
+    item_words, docs, want = {}, [], set()
+    for size in range(1, STRETCH):
+        item_words[size] = [f"i{size}w{k}" for k in range(size)]
+        for wrong in combinations(range(size), size - int(-(-size * AGREEING // 1))):
+            docs.append((len(docs), "before " + " ".join("x" if k in wrong else w for k, w in enumerate(item_words[size])) + " after"))
+            want.add((docs[-1][0], size))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(size, " ".join(w)) for size, w in item_words.items()], "item_id long, text string")
+    rows = contaminated(frame, "doc_id", "text", items, "item_id", "text", shortest=1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert {r["item_id"] for r in contaminated(frame, "doc_id", "text", items, "item_id", "text").collect()} == set(range(9, STRETCH))
+
+
+def test_scripts_without_spaces(spark):
+    items = [(1, "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"), (2, "\u4e2d\u56fd\u7684\u9996\u90fd")]
+    docs = spark.createDataFrame([(k, f"\u524d\u6587{text}\u5f8c\u6587") for k, text in items] + [(3, "\u4e2d\u6587")], "doc_id long, text string")
+    rows = contaminated(docs, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", shortest=1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (2, 2)}
+
+
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, texts_of
@@ -178,18 +178,27 @@ def fit(
 ) -> ContextTree:
     """Frozen statistics from rows with a language and a text that has a letter.
 
-    The sample of a language is its documents with the smallest hash of the id: first all those under a threshold
-    that leaves about twice as many as wanted, then exactly ``docs_per_lang`` of them. At most ``max_languages`` languages
+    The sample of a language is its different (id, text) with the smallest hash: first all those under a threshold
+    that leaves about twice as many as wanted, then exactly ``docs_per_lang`` of them, limited in the map tasks too, so
+    rows of one id, or without one, are bounded as well. At most ``max_languages`` languages
     are learned, those with the most documents, so the thresholds and the sample stay small.
     """
     labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter((F.octet_length("text") <= max_doc_bytes) & F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    order_key = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-    drawn = labelled.withColumn("place", order_key).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("count") <= 2 * docs_per_lang)
+    row_hash = F.xxhash64("id", "text")
+    sizes = (
+        labelled.groupBy("lang")
+        .agg(F.count("*").alias("count"), F.approx_count_distinct(row_hash, 0.02).alias("different"))
+        .orderBy(F.desc("count"), "lang")
+        .limit(max_languages)
+    )
+    order_key = row_hash.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    near = labelled.withColumn("place", order_key).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("different") <= 2 * docs_per_lang)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    drawn = near.select("lang", "place", "text").distinct().withColumn("number", first).filter(F.col("number") <= docs_per_lang)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "text"]).head(docs_per_lang)
+        rows = rows.sort_values(["place", "text"])
         found = gram_counts(rows["text"].tolist(), order)
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [pickle.dumps(found)]})
 

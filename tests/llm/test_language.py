@@ -96,3 +96,21 @@ def test_edges(spark, documents):
 def test_null_languages_teach_nothing(spark):
     docs = spark.createDataFrame([(1, "aaa", None), (2, "bbb", "x"), (3, "ccc", "y")], "doc_id long, text string, lang string")
     assert fit(docs, "doc_id", "text", "lang").languages == ["x", "y"]
+
+
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    rows = [(None, f"word{k} and more", "en") for k in range(3000)] + [(7, "the same", "de")] * 3000 + [(8, "another", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    plans = []
+    grouped = type(docs).groupBy
+
+    def kept(frame, *columns):
+        if "place" in frame.columns:
+            plans.append(frame)
+        return grouped(frame, *columns)
+
+    monkeypatch.setattr(type(docs), "groupBy", kept)
+    tree = fit(docs, "doc_id", "text", "lang", docs_per_lang=20)
+    drawn = [(r["lang"], r["text"]) for r in plans[-1].collect()]
+    assert tree.languages == ["de", "en"]
+    assert sum(lang == "en" for lang, _ in drawn) == 20 and sorted(t for lang, t in drawn if lang == "de") == ["another", "the same"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimsift.llm.byte_bpe import bpe_round_trip
 from claimsift.llm.common import crc_bucket, table
 from claimsift.llm.decontaminate import contaminated
+from claimsift.llm.filter_audit import audit_filters
 from claimsift.llm.language import fit, identify
 from claimsift.llm.licenses import scan_licenses
 from claimsift.llm.line_runs import dedup_lines
@@ -136,3 +137,56 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return audit_filters(docs, "doc_id", "source", "text", table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS least FROM words GROUP BY text
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(w.text, '[^A-Z]+', '', 'g')) > 2 * length(w.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN w.doc_id > f.least THEN 16 ELSE 0 END AS mask
+  FROM words w JOIN firsts f ON f.text = w.text LEFT JOIN marks m ON m.doc_id = w.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask
+), letters AS (
+  SELECT substr('ABCDE', k, 1) AS letter, CAST(pow(2, k - 1) AS INT) AS bit FROM range(1, 6) t(k)
+), orders AS (
+  SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, CAST(k AS INT) AS step, l.bit,
+         (SELECT coalesce(sum(x.bit), 0) FROM letters x WHERE strpos(filter_order, x.letter) < k) AS earlier
+  FROM orders, range(1, 6) t(k), letters l WHERE l.letter = substr(filter_order, k, 1)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & (earlier::INT | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & earlier::INT = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & earlier::INT > 0 AND mask & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & earlier::INT = 0 AND mask & bit > 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & earlier::INT = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""

@@ -17,6 +17,7 @@ from claimsift.llm.licenses import scan_licenses
 from claimsift.llm.line_runs import dedup_lines
 from claimsift.llm.page_text import extract_main_text
 from claimsift.llm.paragraph_sketch import fingerprint_versions
+from claimsift.llm.prefix_trie import conversation_trie
 from claimsift.llm.simhash import simhash_groups
 from claimsift.llm.token_counts import section_tokens
 from claimsift.llm.toxicity import TOXIC_FROM, score_documents
@@ -190,3 +191,64 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM counted
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+# crc32 bit by bit: 0xEDB88320 is its reversed polynomial
+ORACLES["op13_prefix_trie"] = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), lengths AS (
+  SELECT conv_id, count(*) AS own FROM turns GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS digits, 0 AS bits, 4294967295::BIGINT AS state FROM lengths
+  UNION ALL
+  SELECT conv_id, digits, bits + 1,
+         CASE WHEN mixed % 2 = 1 THEN xor(mixed // 2, 3988292384::BIGINT) ELSE mixed // 2 END
+  FROM (SELECT *, CASE WHEN bits % 8 = 0 THEN xor(state, ord(substr(digits, bits // 8 + 1, 1))::BIGINT) ELSE state END AS mixed
+        FROM crc WHERE bits < 8 * length(digits))
+), heads AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 20 AS base, xor(state, 4294967295::BIGINT) % 4 AS head
+  FROM crc c WHERE bits = 8 * length(digits)
+), led AS (
+  SELECT h.*, least(head, coalesce(l.own, 0)) AS lead FROM heads h LEFT JOIN lengths l ON l.conv_id = h.base
+), rebuilt AS (
+  SELECT t.conv_id, t.pos - l.head + l.lead AS pos, role, text FROM turns t JOIN led l ON l.conv_id = t.conv_id WHERE t.pos > l.head
+  UNION ALL
+  SELECT l.conv_id, t.pos, role, text FROM led l JOIN turns t ON t.conv_id = l.base WHERE t.pos <= l.lead
+), paths AS (
+  SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         string_agg(sha256(concat(length(role), ':', role, text)), ',') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM lengths
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY depth, prefix
+), member AS (
+  SELECT p.conv_id AS member, p.depth, n.conv_id, p.depth = max(p.depth) OVER (PARTITION BY p.conv_id) AS last
+  FROM paths p JOIN nodes n ON n.depth = p.depth AND n.prefix = p.prefix
+), linked AS (
+  SELECT n.*, m.conv_id AS parent_conv_id FROM nodes n LEFT JOIN member m ON m.member = n.conv_id AND m.depth = n.depth - 1
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), sums AS (
+  SELECT m.conv_id, m.depth, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n JOIN member m ON m.member = n.conv_id AND m.depth <= n.depth
+  LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth
+  GROUP BY m.conv_id, m.depth
+), ends AS (
+  SELECT conv_id, depth, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS ends_sha256
+  FROM member WHERE last GROUP BY conv_id, depth
+)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs::BIGINT AS n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM linked l JOIN sums s ON s.conv_id = l.conv_id AND s.depth = l.depth
+LEFT JOIN children c ON c.conv_id = l.conv_id AND c.depth = l.depth
+LEFT JOIN ends e ON e.conv_id = l.conv_id AND e.depth = l.depth
+"""

@@ -29,7 +29,7 @@ def brute(docs, labels):
     for i, part, text in docs:
         fails = failed(text or "")
         fails["E"] = i is not None and any(j is not None and j < i and (t or "") == (text or "") for j, _, t in docs)
-        rows.append((part or "", fails, any(x == i and q == 1 for x, q, _ in labels), any(x == i and t == 1 for x, _, t in labels)))
+        rows.append((part or "", fails, any(i is not None and x == i and q == 1 for x, q, _ in labels), any(i is not None and x == i and t == 1 for x, _, t in labels)))
     out = {}
     for part in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == part]

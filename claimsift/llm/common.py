@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+            sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
             for start, end in chunks(sizes):
                 out = f(batch.slice(start, end - start))
                 if out is not None:

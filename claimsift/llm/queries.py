@@ -17,6 +17,7 @@ from claimsift.llm.licenses import scan_licenses
 from claimsift.llm.line_runs import dedup_lines
 from claimsift.llm.page_text import extract_main_text
 from claimsift.llm.paragraph_sketch import fingerprint_versions
+from claimsift.llm.parity_join import jaccard_groups
 from claimsift.llm.prefix_trie import conversation_trie
 from claimsift.llm.simhash import simhash_groups
 from claimsift.llm.token_counts import section_tokens
@@ -252,3 +253,8 @@ FROM linked l JOIN sums s ON s.conv_id = l.conv_id AND s.depth = l.depth
 LEFT JOIN children c ON c.conv_id = l.conv_id AND c.depth = l.depth
 LEFT JOIN ends e ON e.conv_id = l.conv_id AND e.depth = l.depth
 """
+
+
+@query
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -8,7 +8,8 @@ candidates.
 
 Words of at most one bit say little and would bring unrelated documents together. They count only if s of them agree, since
 otherwise a heavier word is equal too: two of the first L - s + 2 of a document's L light words, in one order for all, are
-then equal as well, and their pairs are joined instead.
+then equal as well, and their pairs are joined instead. A document of L light words needs s - L heavier ones that it shares;
+most documents that merely quote a passage share fewer, and leave before their sets are stored.
 
 Sets that are equal are one node. In each group of nodes that share a word, all are compared with one of them; connected
 groups are done then, and so a large group of near copies costs one comparison a member and word. What is left unconnected
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, cut, texts_of
 from claimsift.llm.components import components
-from claimsift.llm.simhash import shingle_hashes
 
 #: Words of a sketch with at most so many bits are light.
 LIGHT_BITS = 1
@@ -56,11 +56,33 @@ class Bands:
         """(D, s) of sets of which the larger is in the band."""
         largest = self.low[band + 1] - 1
         differing = (100 - self.percent) * 2 * largest // (100 + self.percent)
-        return differing, 2 + differing // 9
+        return differing, 2 + differing // 4
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+class WordHashes(dict):
+    """word -> 64-bit hash, kept while there are not too many."""
+
+    most = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def shingle_set(text: str, size: int, known: WordHashes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of the whole sequence if it is shorter; none without words."""
+    words = text.encode().lower().split()  # on bytes: only A-Z, only ASCII white space
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    length = min(size, len(words))
+    if not length:
+        return hashes
+    places = len(words) - length + 1
+    mixed = np.full(places, length, np.uint64)
+    for k in range(length):
+        mixed = _mixed((mixed << np.uint64(1)) + hashes[k : k + places])
+    return np.unique(mixed)
 
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -79,28 +101,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit hashes, one of which is common to any two different sets that are similar enough."""
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    found = []
-    own = bands.of(len(hashes))
+def signatures(hashes: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """[(need, 64-bit hashes)]: of one of these lists, any two different sets that are similar enough share ``need`` hashes.
+
+    ``need`` is that of the set itself. The lists are those of heavy words in the set's band and in the next one, and pairs
+    of light words of either.
+    """
+    found: list[tuple[int, np.ndarray]] = []
+    own = bands.of(len(hashes)) if len(hashes) else 0
     for band in (own, own + 1):
         differing, spare = bands.shape(band)
-        if not differing:
+        if not differing or not len(hashes):
             continue  # only equal sets
         words = sketch(hashes, differing + spare)
         numbers = np.arange(len(words), dtype=np.uint64) + np.uint64(band << 40)
         named = _mixed(words ^ _mixed(numbers))
         bits = np.bitwise_count(words)
-        found.append(named[bits > LIGHT_BITS])
         light = np.flatnonzero(bits <= LIGHT_BITS)
+        found.append((max(1, spare - len(light)), named[bits > LIGHT_BITS]))
         if len(light) >= spare:
             light = light[np.argsort(-bits[light].astype(np.int8), kind="stable")]
             first = named[light[: len(light) - spare + 2]]
             one, two = np.array(list(combinations(range(len(first)), 2))).T
-            found.append(_mixed(first[one] + _mixed(first[two])))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+            found.append((1, _mixed(first[one] + _mixed(first[two]))))
+    return found
+
+
+def all_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
+    lists = [sigs for _, sigs in signatures(hashes, bands)]
+    return np.concatenate(lists) if lists else np.empty(0, np.uint64)
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -124,11 +153,12 @@ def word_filter(shared: DataFrame) -> np.ndarray:
 
 
 def passing(sigs: np.ndarray, filtered: np.ndarray) -> np.ndarray:
+    """Which of ``sigs`` the filter lets through."""
     bits = (len(filtered) * 64).bit_length() - 1
     inside = np.ones(len(sigs), bool)
     for place in (sigs & np.uint64(2**bits - 1), sigs >> np.uint64(64 - bits)):
         inside &= (filtered[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return sigs[inside]
+    return inside
 
 
 def _text_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -142,9 +172,10 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     """(sig) that more than one set has; ``texts`` has one column. Copies of a set are folded before they are shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for some in _text_chunks(batches, 0):
-            sets = [shingle_set(text, size) for text in texts_of(some.column(0))]
-            sigs = [signatures(h, bands) for h in sets]
+            sets = [shingle_set(text, size, known) for text in texts_of(some.column(0))]
+            sigs = [all_signatures(h, bands) for h in sets]
             keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64)
             columns = [np.concatenate(sigs), np.repeat(keys, [len(s) for s in sigs])]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["sig", "owner"])
@@ -154,22 +185,50 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
 
 
 def marked_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, filtered: np.ndarray) -> DataFrame:
-    """(id, n, key, hashes, sigs) of every document; hashes and sigs are null without a word that the filter lets through."""
+    """(id, n, key, hashes, needs, sigs) of every document.
+
+    needs and sigs are lists of signatures, as far as the filter lets enough of them through; without any, they and hashes
+    are null.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast(filtered)
 
+    def kept(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        lists = signatures(hashes, bands)
+        if not lists:
+            return []
+        inside = np.split(passing(np.concatenate([s for _, s in lists]), spread.value), np.cumsum([len(s) for _, s in lists])[:-1])
+        return [(need, sigs[here].view(np.int64)) for (need, sigs), here in zip(lists, inside) if here.sum() >= need]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for some in _text_chunks(batches, 1):
-            sets = [shingle_set(text, size) for text in texts_of(some.column(1))]
-            sigs = [passing(signatures(h, bands), spread.value) for h in sets]
+            sets = [shingle_set(text, size, known) for text in texts_of(some.column(1))]
+            lists = [kept(h) for h in sets]
             columns = [
                 some.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary()),
-                pa.array([h.tobytes() if len(s) else None for h, s in zip(sets, sigs)], pa.binary()),
-                pa.array([s.view(np.int64) if len(s) else None for s in sigs], pa.list_(pa.int64())),
+                pa.array([h.tobytes() if found else None for h, found in zip(sets, lists)], pa.binary()),
+                pa.array([[need for need, _ in found] or None for found in lists], pa.list_(pa.int64())),
+                pa.array([[sigs for _, sigs in found] or None for found in lists], pa.list_(pa.list_(pa.int64()))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "hashes", "sigs"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "hashes", "needs", "sigs"])
+
+    return rows.mapInArrow(work, f"id {rows.dtypes[0][1]}, n bigint, key binary, hashes binary, needs array<bigint>, sigs array<array<bigint>>")
 
-    return rows.mapInArrow(work, f"id {rows.dtypes[0][1]}, n bigint, key binary, hashes binary, sigs array<bigint>")
+
+def shared_rows(sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """(key, sig) of sets that share as many signatures of a list as they need; what others share with them is no link.
+
+    Each round may leave further sets short; more rounds only save work.
+    """
+    lists = sets.select("key", F.posexplode(F.arrays_zip("needs", "sigs")).alias("list", "s"))
+    rows = cut(lists.select("key", "list", "s.needs", F.explode("s.sigs").alias("sig")))
+    for _ in range(rounds):
+        shared = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+        here = cut(rows.join(shared.select("sig"), "sig"))
+        enough = here.groupBy("key", "list").agg(F.count("*").alias("m"), F.max("needs").alias("most")).filter("m >= most")
+        rows = cut(here.join(enough.select("key", "list"), ["key", "list"]))
+    return rows.select("key", "sig")
 
 
 def _array(value: pa.Scalar) -> np.ndarray:
@@ -251,8 +310,8 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int, bands:
 
 
 def similar_sets(sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
-    """(node, root) of the keys that are linked to a smaller key; ``sets`` is (key, n, hashes, sigs) of different sets."""
-    rows = cut(sets.select("key", F.explode("sigs").alias("sig")))
+    """(node, root) of the keys that are linked to a smaller key; ``sets`` is (key, n, hashes, needs, sigs) of different sets."""
+    rows = cut(shared_rows(sets).distinct())
     groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("key").alias("least")).filter("m > 1"))
     star = rows.join(groups, "sig").filter("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
     roots = cut(components(cut(verified(cut(star), sets, percent))))
@@ -285,7 +344,7 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     shared = cut(shared_words(docs.select(text), size, bands))
     marked = cut(marked_sets(docs, id_col, text_col, size, bands, word_filter(shared)))
     sets = cut(
-        marked.filter("hashes IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("sigs").alias("sigs"))
+        marked.filter("hashes IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("hashes", "needs", "sigs")])
     )
     roots = similar_sets(sets, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))

@@ -13,7 +13,8 @@ most documents that merely quote a passage share fewer, and leave before their s
 
 Sets that are equal are one node. In each group of nodes that share a word, all are compared with one of them; connected
 groups are done then, and so a large group of near copies costs one comparison a member and word. What is left unconnected
-is compared sketch by sketch in blocks of bounded size. Every link is verified on the sets themselves.
+is compared in blocks of bounded size. Comparisons take the distance of the sketches first; every link is then verified on
+the sets themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, cut, texts_of
@@ -36,6 +37,7 @@ from claimsift.llm.components import components
 LIGHT_BITS = 1
 #: The filter of shared sketch words: bits per word, and the least and most bits.
 BITS_PER_WORD, FILTER_BITS = 8, (20, 27)
+LIST = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 #: Hashes that a block of the final comparison may hold, and its least number of sets.
 BLOCK_HASHES, BLOCK_SETS = 1 << 21, 8
 
@@ -59,30 +61,71 @@ class Bands:
         return differing, 2 + differing // 4
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept while there are not too many."""
-
-    most = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_set(text: str, size: int, known: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; of the whole sequence if it is shorter; none without words."""
-    words = text.encode().lower().split()  # on bytes: only A-Z, only ASCII white space
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    length = min(size, len(words))
-    if not length:
-        return hashes
-    places = len(words) - length + 1
-    mixed = np.full(places, length, np.uint64)
-    for k in range(length):
+#: Bytes whose words are hashed at once; a longer word is hashed in one go.
+HASHED_BYTES = 1 << 21
+LONG_WORD = 256
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15  # any odd number
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_OF_BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        factors = np.full(max(n, HASHED_BYTES), base, np.uint64)
+        factors[0] = 1
+        held = _POWERS[base] = np.cumprod(factors, dtype=np.uint64)
+    return held[:n]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, 64-bit hashes) of the words of lower-cased UTF-8: a polynomial of the bytes, from running sums."""
+    starts, hashes = [], []
+    at = 0
+    while at < len(data):
+        end = min(at + HASHED_BYTES, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        space = np.concatenate([[True], _SPACE[part], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        first, after = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[part] * _powers(_BASE, len(part)), dtype=np.uint64)])
+        found = _mixed((sums[after] - sums[first]) * _powers(_INVERSE, len(part) + 1)[first] + (after - first).astype(np.uint64))
+        for k in np.flatnonzero(after - first > LONG_WORD):
+            found[k] = xxhash.xxh3_64_intdigest(part[first[k] : after[k]].tobytes())
+        starts.append(first + at)
+        hashes.append(found)
+        at = end
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; of the whole sequence if it is shorter; none without words."""
+    encoded = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *(len(e) + 1 for e in encoded)])
+    starts, hashes = word_hashes(b"\n".join(encoded).lower())  # on bytes: only A-Z
+    bounds = np.searchsorted(starts, offsets)
+    places = max(len(hashes) - size + 1, 0)
+    mixed = np.full(places, size, np.uint64)
+    for k in range(size):
         mixed = _mixed((mixed << np.uint64(1)) + hashes[k : k + places])
-    return np.unique(mixed)
+    out = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if high - low >= size:
+            found = np.sort(mixed[low : high - size + 1])
+            out.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+        else:
+            short = np.full(min(high - low, 1), high - low, np.uint64)
+            for k in range(low, high):
+                short = _mixed((short << np.uint64(1)) + hashes[k])
+            out.append(short)
+    return out
 
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -101,34 +144,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(hashes: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
-    """[(need, 64-bit hashes)]: of one of these lists, any two different sets that are similar enough share ``need`` hashes.
+def sketches(hashes: np.ndarray, bands: Bands) -> dict[int, np.ndarray]:
+    """The sketches of a set by band: its own and the next one, if sets that differ can be similar there."""
+    own = bands.of(len(hashes)) if len(hashes) else 0
+    shapes = {band: bands.shape(band) for band in (own, own + 1)}
+    return {band: sketch(hashes, differing + spare) for band, (differing, spare) in shapes.items() if differing and len(hashes)}
 
-    ``need`` is that of the set itself. The lists are those of heavy words in the set's band and in the next one, and pairs
-    of light words of either.
+
+def signatures(of_bands: dict[int, np.ndarray], bands: Bands) -> list[tuple[int, int, np.ndarray]]:
+    """[(band, need, 64-bit hashes)]: of one of these lists, two different sets that are similar enough share ``need`` hashes.
+
+    ``need`` is that of the set itself. The lists are those of heavy words, and pairs of light words, of either band.
     """
-    found: list[tuple[int, np.ndarray]] = []
-    own = bands.of(len(hashes)) if len(hashes) else 0
-    for band in (own, own + 1):
-        differing, spare = bands.shape(band)
-        if not differing or not len(hashes):
-            continue  # only equal sets
-        words = sketch(hashes, differing + spare)
+    found: list[tuple[int, int, np.ndarray]] = []
+    for band, words in of_bands.items():
+        _, spare = bands.shape(band)
         numbers = np.arange(len(words), dtype=np.uint64) + np.uint64(band << 40)
         named = _mixed(words ^ _mixed(numbers))
         bits = np.bitwise_count(words)
-        light = np.flatnonzero(bits <= LIGHT_BITS)
-        found.append((max(1, spare - len(light)), named[bits > LIGHT_BITS]))
-        if len(light) >= spare:
+        heavy = bits > LIGHT_BITS
+        n_light = len(words) - int(heavy.sum())
+        found.append((band, max(1, spare - n_light), named[heavy]))
+        if n_light >= spare:
+            light = np.flatnonzero(~heavy)
             light = light[np.argsort(-bits[light].astype(np.int8), kind="stable")]
-            first = named[light[: len(light) - spare + 2]]
+            first = named[light[: n_light - spare + 2]]
             one, two = np.array(list(combinations(range(len(first)), 2))).T
-            found.append((1, _mixed(first[one] + _mixed(first[two]))))
+            found.append((band, 1, _mixed(first[one] + _mixed(first[two]))))
     return found
 
 
 def all_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    lists = [sigs for _, sigs in signatures(hashes, bands)]
+    lists = [sigs for _, _, sigs in signatures(sketches(hashes, bands), bands)]
     return np.concatenate(lists) if lists else np.empty(0, np.uint64)
 
 
@@ -172,9 +219,8 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     """(sig) that more than one set has; ``texts`` has one column. Copies of a set are folded before they are shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for some in _text_chunks(batches, 0):
-            sets = [shingle_set(text, size, known) for text in texts_of(some.column(0))]
+            sets = shingle_sets(texts_of(some.column(0)), size)
             sigs = [all_signatures(h, bands) for h in sets]
             keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64)
             columns = [np.concatenate(sigs), np.repeat(keys, [len(s) for s in sigs])]
@@ -185,149 +231,170 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
 
 
 def marked_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, filtered: np.ndarray) -> DataFrame:
-    """(id, n, key, hashes, needs, sigs) of every document.
+    """(id, n, key, hashes, own, sketches, lists) of every document.
 
-    needs and sigs are lists of signatures, as far as the filter lets enough of them through; without any, they and hashes
-    are null.
+    ``lists`` are (band, need, sigs) of the signatures that the filter lets through, where they are enough; without any,
+    hashes, sketches and lists are null. ``sketches`` are those of the bands ``own`` and ``own + 1``.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast(filtered)
 
-    def kept(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        lists = signatures(hashes, bands)
+    def kept(of_bands: dict[int, np.ndarray]) -> list[dict]:
+        lists = signatures(of_bands, bands)
         if not lists:
             return []
-        inside = np.split(passing(np.concatenate([s for _, s in lists]), spread.value), np.cumsum([len(s) for _, s in lists])[:-1])
-        return [(need, sigs[here].view(np.int64)) for (need, sigs), here in zip(lists, inside) if here.sum() >= need]
+        inside = np.split(passing(np.concatenate([s for _, _, s in lists]), spread.value), np.cumsum([len(s) for _, _, s in lists])[:-1])
+        return [{"band": band, "need": need, "sigs": sigs[here].view(np.int64)} for (band, need, sigs), here in zip(lists, inside) if here.sum() >= need]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for some in _text_chunks(batches, 1):
-            sets = [shingle_set(text, size, known) for text in texts_of(some.column(1))]
-            lists = [kept(h) for h in sets]
+            sets = shingle_sets(texts_of(some.column(1)), size)
+            of_bands = [sketches(h, bands) for h in sets]
+            lists = [kept(o) for o in of_bands]
             columns = [
                 some.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary()),
                 pa.array([h.tobytes() if found else None for h, found in zip(sets, lists)], pa.binary()),
-                pa.array([[need for need, _ in found] or None for found in lists], pa.list_(pa.int64())),
-                pa.array([[sigs for _, sigs in found] or None for found in lists], pa.list_(pa.list_(pa.int64()))),
+                pa.array([bands.of(len(h)) if len(h) else None for h in sets], pa.int64()),
+                pa.array([[o[b].tobytes() if b in o else b"" for b in (bands.of(len(h)), bands.of(len(h)) + 1)] if found else None for h, o, found in zip(sets, of_bands, lists)], pa.list_(pa.binary())),
+                pa.array([found or None for found in lists], pa.list_(LIST)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "hashes", "needs", "sigs"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "hashes", "own", "sketches", "lists"])
 
-    return rows.mapInArrow(work, f"id {rows.dtypes[0][1]}, n bigint, key binary, hashes binary, needs array<bigint>, sigs array<array<bigint>>")
+    return rows.mapInArrow(
+        work, f"id {rows.dtypes[0][1]}, n bigint, key binary, hashes binary, own bigint, sketches array<binary>, lists array<struct<band:bigint,need:bigint,sigs:array<bigint>>>"
+    )
 
 
 def shared_rows(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """(key, sig) of sets that share as many signatures of a list as they need; what others share with them is no link.
+    """(key, sig, band) of sets that share as many signatures of a list as they need; what others share with them is no link.
 
     Each round may leave further sets short; more rounds only save work.
     """
-    lists = sets.select("key", F.posexplode(F.arrays_zip("needs", "sigs")).alias("list", "s"))
-    rows = cut(lists.select("key", "list", "s.needs", F.explode("s.sigs").alias("sig")))
+    lists = sets.select("key", F.posexplode("lists").alias("list", "s"))
+    rows = cut(lists.select("key", "list", "s.band", "s.need", F.explode("s.sigs").alias("sig")))
     for _ in range(rounds):
         shared = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
         here = cut(rows.join(shared.select("sig"), "sig"))
-        enough = here.groupBy("key", "list").agg(F.count("*").alias("m"), F.max("needs").alias("most")).filter("m >= most")
+        enough = here.groupBy("key", "list").agg(F.count("*").alias("m"), F.max("need").alias("most")).filter("m >= most")
         rows = cut(here.join(enough.select("key", "list"), ["key", "list"]))
-    return rows.select("key", "sig")
+    return rows.select("key", "sig", "band")
 
 
 def _array(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
 
+def _paired(pairs: DataFrame, values: DataFrame, value: Column) -> DataFrame:
+    """``pairs`` (u, v, ...) with ``of_u`` and ``of_v``."""
+    one = values.select(F.col("key").alias("u"), F.col("own").alias("own_u"), value.alias("of_u"))
+    two = values.select(F.col("key").alias("v"), F.col("own").alias("own_v"), value.alias("of_v"))
+    return pairs.join(one, "u").join(two, "v")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v, band) of which the distance of the sketches does not forbid that they are similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distance = [int(np.bitwise_count(_array(a) ^ _array(b)).sum()) for a, b in zip(batch.column(2), batch.column(3))]
+            both = pc.add(batch.column(4), batch.column(5)).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * np.array(distance, np.int64) <= (100 - percent) * both))
+
+    whole = _paired(pairs, sets, F.struct("n", "sketches"))
+    words = [F.get(F.col(f"of_{x}.sketches"), (F.col("band") - F.col(f"own_{x}")).cast("int")).alias(f"words_{x}") for x in "uv"]
+    return whole.select("u", "v", *words, F.col("of_u.n").alias("n_u"), F.col("of_v.n").alias("n_v")).mapInArrow(work, "u binary, v binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of keys whose sets are similar."""
-    one = sets.select(F.col("key").alias("u"), F.col("hashes").alias("of_u"))
-    two = sets.select(F.col("key").alias("v"), F.col("hashes").alias("of_v"))
+    """The pairs (u, v) whose sets are similar."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [similar(_array(a), _array(b), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "of_u", "of_v").mapInArrow(work, "u binary, v binary")
+    return _paired(pairs, sets, F.col("hashes")).select("u", "v", "of_u", "of_v").mapInArrow(work, "u binary, v binary")
 
 
-def linked_in_block(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, percent: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs of different roots and sides (of any sides if there is one only), found by the distance of sketches."""
-    sizes = np.array([len(s) for s in sets])
-    sketches = np.array([sketch(s, words) for s in sets])
+def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots and sides (of any sides if there is one only) whose sketches are near enough."""
     one_side = len(np.unique(sides)) == 1
-    roots = roots.copy()
-    first, second = [], []
-    for k in range(len(sets) - 1):
-        other = np.arange(k + 1, len(sets))
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(len(words) - 1):
+        other = np.arange(k + 1, len(words))
         other = other[(roots[other] != roots[k]) & (one_side | (sides[other] != sides[k]))]
-        bits = np.bitwise_count(sketches[other] ^ sketches[k]).sum(axis=1, dtype=np.int64)
-        for m in other[(100 + percent) * bits <= (100 - percent) * (sizes[other] + sizes[k])]:
-            if roots[m] != roots[k] and similar(sets[k], sets[m], percent):
-                first.append(k)
-                second.append(m)
-                roots[roots == roots[m]] = roots[k]
-    return np.array(first, np.int64), np.array(second, np.int64)
-
-
-def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
-    """(u, v): links between members (list, key, root) of one list that have different roots, enough to connect them."""
-    sized = members.join(sets.select("key", "n", "hashes"), "key")
-    per_list = members.join(sets.select("key", "n"), "key").groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+        bits = np.bitwise_count(words[other] ^ words[k]).sum(axis=1, dtype=np.int64)
+        near = other[(100 + percent) * bits <= (100 - percent) * (sizes[other] + sizes[k])]
+        first.append(np.full(len(near), k))
+        second.append(near)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def near_in_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of members (list, key, root, band) of one list that have different roots and near sketches.
+
+    Long lists are cut into blocks, and every two blocks are compared in a task of their own.
+    """
+    sized = members.join(sets.select("key", "n", "own"), "key")
+    per_list = sized.groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
     held = F.greatest(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_HASHES) / F.col("most")))
     cuts = cut(per_list.select("list", F.greatest(F.ceil(F.col("m") / held), F.lit(1)).cast("int").alias("blocks")))
     side = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("side", other).alias("a"), F.greatest("side", other).alias("b")))
+    words = F.get("sketches", (F.col("band") - F.col("own")).cast("int"))
     dealt = (
-        sized.join(cuts, "list").withColumn("side", side)
-        .select("list", "key", "root", "side", "hashes", F.explode(pairs).alias("pair"))
-        .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "key", "root", "hashes")
+        members.join(sets.select("key", "n", "own", "sketches"), "key").join(cuts, "list").withColumn("side", side)
+        .select("list", "key", "root", "side", "n", words.alias("words"), F.explode(pairs).alias("pair"))
+        .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "key", "root", "n", "words")
         .repartition("list").sortWithinPartitions("list", "key")
     )
 
-    def links_of(rows: list[tuple]) -> pa.RecordBatch | None:
-        sets_here = [np.frombuffer(row[4], np.uint64) for row in rows]
+    def near(rows: list[tuple]) -> pa.RecordBatch | None:
         _, roots = np.unique(np.array([row[3] for row in rows], dtype="V16"), return_inverse=True)
-        differing, spare = bands.shape(bands.of(max(map(len, sets_here))))
-        first, second = linked_in_block(sets_here, roots, np.array([row[1] for row in rows]), percent, differing + spare)
+        words_here = np.array([np.frombuffer(row[5], np.uint64) for row in rows])
+        first, second = near_in_block(words_here, np.array([row[4] for row in rows]), roots, np.array([row[1] for row in rows]), percent)
         if not len(first):
             return None
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in side], pa.binary()) for side in (first, second)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in which], pa.binary()) for which in (first, second)], names=["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*[column.to_pylist() for column in batch.columns]):
                 if held and held[0][0] != row[0]:
-                    links = links_of(held)
-                    held = []
-                    if links is not None:
-                        yield links
+                    found, held = near(held), []
+                    if found is not None:
+                        yield found
                 held.append(row)
         if held:
-            links = links_of(held)
-            if links is not None:
-                yield links
+            found = near(held)
+            if found is not None:
+                yield found
 
     return dealt.mapInArrow(work, "u binary, v binary")
 
 
-def similar_sets(sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
-    """(node, root) of the keys that are linked to a smaller key; ``sets`` is (key, n, hashes, needs, sigs) of different sets."""
+def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the keys that are linked to a smaller key; ``sets`` are different sets as of :func:`marked_sets`."""
     rows = cut(shared_rows(sets).distinct())
     groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("key").alias("least")).filter("m > 1"))
-    star = rows.join(groups, "sig").filter("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
-    roots = cut(components(cut(verified(cut(star), sets, percent))))
+    star = rows.join(groups, "sig").filter("key <> least").groupBy(F.col("key").alias("u"), F.col("least").alias("v")).agg(F.min("band").alias("band"))
+    near = cut(near_pairs(cut(star), sets, percent))
+    roots = cut(components(cut(verified(near, sets, percent))))
     # groups of two are decided; of the others, those that are not connected are compared, equal lists of members once
     rooted = rows.join(groups.filter("m > 2").select("sig"), "sig").join(roots, F.col("key") == F.col("node"), "left")
-    rooted = cut(rooted.select("sig", "key", F.coalesce("root", "key").alias("root")))
+    rooted = cut(rooted.select("sig", "key", "band", F.coalesce("root", "key").alias("root")))
     open_groups = rooted.groupBy("sig").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("all"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("all2"),
         F.min("root").alias("low"), F.max("root").alias("high"),
     ).filter("low <> high")
     lists = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
-    members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "key", "root"))
-    more = cut(compared_in_blocks(members, sets, percent, bands))
-    if more.isEmpty():
+    members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "key", "root", "band"))
+    more = near_in_lists(members, sets, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = cut(verified(cut(more.join(near, ["u", "v"], "left_anti")), sets, percent))
+    if links.isEmpty():
         return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, percent: int = 85) -> DataFrame:
@@ -344,9 +411,9 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     shared = cut(shared_words(docs.select(text), size, bands))
     marked = cut(marked_sets(docs, id_col, text_col, size, bands, word_filter(shared)))
     sets = cut(
-        marked.filter("hashes IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("hashes", "needs", "sigs")])
+        marked.filter("hashes IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("hashes", "own", "sketches", "lists")])
     )
-    roots = similar_sets(sets, percent, bands)
+    roots = similar_sets(sets, percent)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
     rooted = cut(least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.llm import parity_join
-from claimsift.llm.parity_join import Bands, WordHashes, jaccard_groups, linked_in_block, passing, shingle_set, signatures, sketch, word_filter
+from claimsift.llm.parity_join import Bands, jaccard_groups, near_in_block, passing, shingle_sets, signatures, sketch, sketches, word_filter, word_hashes
 from claimsift.llm.queries import QUERIES
 
 
@@ -70,8 +70,8 @@ def test_sketch_distance_is_at_most_the_difference():
 
 
 def enough(mine, others):
-    every = np.concatenate([sigs for _, sigs in others])
-    return any(len(np.intersect1d(sigs, every)) >= need for need, sigs in mine)
+    every = np.concatenate([sigs for _, _, sigs in others])
+    return any(len(np.intersect1d(sigs, every)) >= need for _, need, sigs in mine)
 
 
 @pytest.mark.parametrize("percent", [78, 85, 95])
@@ -86,7 +86,8 @@ def test_similar_sets_always_share_a_signature(percent, largest=900):
         b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - gone), replace=False), rng.integers(0, 2**64, fresh, dtype=np.uint64)]))
         if parity_join.similar(a, b, percent) and len(np.setxor1d(a, b)):
             tried += 1
-            assert enough(signatures(a, bands), signatures(b, bands)) and enough(signatures(b, bands), signatures(a, bands))
+            one, two = signatures(sketches(a, bands), bands), signatures(sketches(b, bands), bands)
+            assert enough(one, two) and enough(two, one)
     assert tried > 100
 
 
@@ -105,20 +106,36 @@ def test_filter_holds_all(spark):
 
 @pytest.mark.parametrize("text", ["", " \t", "a", "A b\x0bc", "a b c d", "a b c d a B c d", "one two three four five one two three four", "é\x85x y z w", "w " * 500])
 def test_sets_have_one_hash_for_each_shingle(text, monkeypatch):
-    monkeypatch.setattr(WordHashes, "most", 3)
-    found = shingle_set(text, 4, WordHashes())
+    monkeypatch.setattr(parity_join, "HASHED_BYTES", 7)
+    before, found, after = shingle_sets(["q r s t u", text, "v w"], 4)
     assert len(found) == len(brute_set(text)) and (np.diff(found.astype(object)) > 0).all()
-    assert (shingle_set(text.upper().lower(), 4, WordHashes()) == found).all()
-    assert not len(np.intersect1d(found, shingle_set("one two three", 4, WordHashes())))
+    assert (shingle_sets([text.upper().lower()], 4)[0] == found).all() and len(before) == 2 and len(after) == 1
+    assert not len(np.intersect1d(found, shingle_sets(["one two three"], 4)[0]))
 
 
-def test_block_comparison_connects_what_is_similar():
+def test_words_have_the_same_hash_wherever_they_stand(monkeypatch):
+    words = ["a", "b", "ab", "ba", "a" * 300, "b" * 300, "a" * 299, "é", "\x00", "\x00\x00"]
+    want = {w: int(word_hashes(w.encode())[1][0]) for w in words}
+    assert len(set(want.values())) == len(words)
+    text = "  ".join(words * 3).encode()
+    for size in (5, 64, 1 << 21):
+        monkeypatch.setattr(parity_join, "HASHED_BYTES", size)
+        starts, hashes = word_hashes(text)
+        assert hashes.tolist() == [want[w] for w in words * 3]
+        assert [text[s:].split()[0].decode() for s in starts] == words * 3
+
+
+def test_block_comparison_finds_what_is_near():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**64, 100, dtype=np.uint64))
     sets = [np.sort(rng.choice(base, 95, replace=False)) for _ in range(20)] + [np.unique(rng.integers(0, 2**64, 95, dtype=np.uint64)) for _ in range(20)]
-    first, second = linked_in_block(sets, np.arange(40), np.zeros(40), 85, 20)
-    assert len(first) == 19 and max(first.max(), second.max()) < 20
-    assert not len(linked_in_block(sets, np.repeat([0, 1], 20), np.zeros(40), 85, 20)[0])
+    words, sizes = np.array([sketch(s, 20) for s in sets]), np.full(40, 95)
+    pairs = set(zip(*(x.tolist() for x in near_in_block(words, sizes, np.arange(40), np.zeros(40), 85))))
+    similar = {(i, j) for i in range(40) for j in range(i + 1, 40) if parity_join.similar(sets[i], sets[j], 85)}
+    assert similar <= pairs and all(j < 20 for _, j in pairs) and len(similar) == 190
+    assert not len(near_in_block(words, sizes, np.repeat([0, 1], 20), np.zeros(40), 85)[0])
+    across = near_in_block(words, sizes, np.arange(40), np.arange(40) % 2, 85)
+    assert len(across[0]) == 100 and ((across[0] - across[1]) % 2 == 1).all()
 
 
 @pytest.mark.parametrize("block", [None, 3])

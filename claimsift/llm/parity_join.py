@@ -9,12 +9,11 @@ candidates.
 Words of at most one bit say little and would bring unrelated documents together. They count only if s of them agree, since
 otherwise a heavier word is equal too: two of the first L - s + 2 of a document's L light words, in one order for all, are
 then equal as well, and their pairs are joined instead. A document of L light words needs s - L heavier ones that it shares;
-most documents that merely quote a passage share fewer, and leave before their sets are stored.
+most documents that merely quote a passage share fewer, and leave before any set is compared.
 
-Sets that are equal are one node. In each group of nodes that share a word, all are compared with one of them; connected
-groups are done then, and so a large group of near copies costs one comparison a member and word. What is left unconnected
-is compared in blocks of bounded size. Comparisons take the distance of the sketches first; every link is then verified on
-the sets themselves.
+Sets that are equal are one node. In each group of nodes that share a word, all are paired with the first few of them, and
+pairs that share enough words are verified on the sets themselves. Small groups are decided then, and a large one of near
+copies is connected; a large group that is not is compared in blocks of bounded size, first by the distance of the sketches.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, cut, texts_of
@@ -37,7 +36,9 @@ from claimsift.llm.components import components
 LIGHT_BITS = 1
 #: The filter of shared sketch words: bits per word, and the least and most bits.
 BITS_PER_WORD, FILTER_BITS = 8, (20, 27)
-LIST = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+LIST = pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+#: Members of a group of a shared word with which all others are compared first.
+PIVOTS = 8
 #: Hashes that a block of the final comparison may hold, and its least number of sets.
 BLOCK_HASHES, BLOCK_SETS = 1 << 21, 8
 
@@ -152,9 +153,10 @@ def sketches(hashes: np.ndarray, bands: Bands) -> dict[int, np.ndarray]:
 
 
 def signatures(of_bands: dict[int, np.ndarray], bands: Bands) -> list[tuple[int, int, np.ndarray]]:
-    """[(band, need, 64-bit hashes)]: of one of these lists, two different sets that are similar enough share ``need`` hashes.
+    """[(tag, need, 64-bit hashes)]: of one of these lists, two different sets that are similar enough share ``need`` hashes.
 
-    ``need`` is that of the set itself. The lists are those of heavy words, and pairs of light words, of either band.
+    ``need`` is that of the set itself. The lists are those of heavy words, and pairs of light words, of either band; the
+    tag is the band, doubled, plus one for pairs.
     """
     found: list[tuple[int, int, np.ndarray]] = []
     for band, words in of_bands.items():
@@ -164,13 +166,13 @@ def signatures(of_bands: dict[int, np.ndarray], bands: Bands) -> list[tuple[int,
         bits = np.bitwise_count(words)
         heavy = bits > LIGHT_BITS
         n_light = len(words) - int(heavy.sum())
-        found.append((band, max(1, spare - n_light), named[heavy]))
+        found.append((2 * band, max(1, spare - n_light), named[heavy]))
         if n_light >= spare:
             light = np.flatnonzero(~heavy)
             light = light[np.argsort(-bits[light].astype(np.int8), kind="stable")]
             first = named[light[: n_light - spare + 2]]
             one, two = np.array(list(combinations(range(len(first)), 2))).T
-            found.append((band, 1, _mixed(first[one] + _mixed(first[two]))))
+            found.append((2 * band + 1, 1, _mixed(first[one] + _mixed(first[two]))))
     return found
 
 
@@ -230,90 +232,102 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     return rows.groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("sig")
 
 
-def marked_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, filtered: np.ndarray) -> DataFrame:
-    """(id, n, key, hashes, own, sketches, lists) of every document.
+def set_owner(key: bytes) -> int:
+    """The first 64 bits of a set's key, as a signed long."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
-    ``lists`` are (band, need, sigs) of the signatures that the filter lets through, where they are enough; without any,
-    hashes, sketches and lists are null. ``sketches`` are those of the bands ``own`` and ``own + 1``.
+
+def marked_docs(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, filtered: np.ndarray) -> DataFrame:
+    """(id, n, key, owner, lists) of every document; owner is the first half of key.
+
+    ``lists`` are (tag, need, sigs) of the signatures that the filter lets through, where they are enough, else null. The
+    tag is the band, doubled, plus one for pairs of light words.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast(filtered)
 
-    def kept(of_bands: dict[int, np.ndarray]) -> list[dict]:
-        lists = signatures(of_bands, bands)
+    def kept(hashes: np.ndarray) -> list[dict]:
+        lists = signatures(sketches(hashes, bands), bands)
         if not lists:
             return []
         inside = np.split(passing(np.concatenate([s for _, _, s in lists]), spread.value), np.cumsum([len(s) for _, _, s in lists])[:-1])
-        return [{"band": band, "need": need, "sigs": sigs[here].view(np.int64)} for (band, need, sigs), here in zip(lists, inside) if here.sum() >= need]
+        return [{"tag": tag, "need": need, "sigs": sigs[here].view(np.int64)} for (tag, need, sigs), here in zip(lists, inside) if here.sum() >= need]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _text_chunks(batches, 1):
             sets = shingle_sets(texts_of(some.column(1)), size)
-            of_bands = [sketches(h, bands) for h in sets]
-            lists = [kept(o) for o in of_bands]
+            keys = [set_key(h) for h in sets]
             columns = [
-                some.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary()),
-                pa.array([h.tobytes() if found else None for h, found in zip(sets, lists)], pa.binary()),
-                pa.array([bands.of(len(h)) if len(h) else None for h in sets], pa.int64()),
-                pa.array([[o[b].tobytes() if b in o else b"" for b in (bands.of(len(h)), bands.of(len(h)) + 1)] if found else None for h, o, found in zip(sets, of_bands, lists)], pa.list_(pa.binary())),
-                pa.array([found or None for found in lists], pa.list_(LIST)),
+                some.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.binary()),
+                pa.array([set_owner(k) for k in keys], pa.int64()), pa.array([kept(h) or None for h in sets], pa.list_(LIST)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "hashes", "own", "sketches", "lists"])
-
-    return rows.mapInArrow(
-        work, f"id {rows.dtypes[0][1]}, n bigint, key binary, hashes binary, own bigint, sketches array<binary>, lists array<struct<band:bigint,need:bigint,sigs:array<bigint>>>"
-    )
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "owner", "lists"])
 
-
-def shared_rows(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """(key, sig, band) of sets that share as many signatures of a list as they need; what others share with them is no link.
-
-    Each round may leave further sets short; more rounds only save work.
-    """
-    lists = sets.select("key", F.posexplode("lists").alias("list", "s"))
-    rows = cut(lists.select("key", "list", "s.band", "s.need", F.explode("s.sigs").alias("sig")))
-    for _ in range(rounds):
-        shared = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-        here = cut(rows.join(shared.select("sig"), "sig"))
-        enough = here.groupBy("key", "list").agg(F.count("*").alias("m"), F.max("need").alias("most")).filter("m >= most")
-        rows = cut(here.join(enough.select("key", "list"), ["key", "list"]))
-    return rows.select("key", "sig", "band")
+    schema = f"id {rows.dtypes[0][1]}, n bigint, key binary, owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"
+    return rows.mapInArrow(work, schema)
 
 
-def _array(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.uint64)
+def wanted_sets(texts: DataFrame, size: int, owners: DataFrame) -> DataFrame:
+    """(owner, key, n, hashes) of the different sets of ``owners``, and of a few others."""
+    spread = texts.sparkSession.sparkContext.broadcast(word_filter(owners.select(F.col("owner").alias("sig"))))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _text_chunks(batches, 0):
+            sets = shingle_sets(texts_of(some.column(0)), size)
+            keys = [set_key(h) for h in sets]
+            of = np.array([set_owner(k) for k in keys], np.int64)
+            inside = np.flatnonzero(passing(of.view(np.uint64), spread.value))
+            columns = [
+                pa.array(of[inside]), pa.array([keys[k] for k in inside], pa.binary()),
+                pa.array([len(sets[k]) for k in inside], pa.int64()), pa.array([sets[k].tobytes() for k in inside], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["owner", "key", "n", "hashes"])
 
-def _paired(pairs: DataFrame, values: DataFrame, value: Column) -> DataFrame:
-    """``pairs`` (u, v, ...) with ``of_u`` and ``of_v``."""
-    one = values.select(F.col("key").alias("u"), F.col("own").alias("own_u"), value.alias("of_u"))
-    two = values.select(F.col("key").alias("v"), F.col("own").alias("own_v"), value.alias("of_v"))
-    return pairs.join(one, "u").join(two, "v")
+    rows = texts.mapInArrow(work, "owner bigint, key binary, n bigint, hashes binary")
+    return rows.groupBy("owner", "key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v, band) of which the distance of the sketches does not forbid that they are similar."""
+def shared_rows(marked: DataFrame) -> DataFrame:
+    """(owner, tag, need, sig) of sets that share as many signatures of a list as they need."""
+    rows = marked.filter("lists IS NOT NULL").select("owner", F.explode("lists").alias("s")).select("owner", "s.tag", "s.need", F.explode("s.sigs").alias("sig"))
+    rows = cut(rows.distinct())
+    shared = rows.groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
+    here = cut(rows.join(shared.select("sig"), "sig"))
+    enough = here.groupBy("owner", "tag").agg(F.count("*").alias("m"), F.max("need").alias("most")).filter("m >= most")
+    return cut(here.join(enough.select("owner", "tag"), ["owner", "tag"]))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            distance = [int(np.bitwise_count(_array(a) ^ _array(b)).sum()) for a, b in zip(batch.column(2), batch.column(3))]
-            both = pc.add(batch.column(4), batch.column(5)).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((100 + percent) * np.array(distance, np.int64) <= (100 - percent) * both))
 
-    whole = _paired(pairs, sets, F.struct("n", "sketches"))
-    words = [F.get(F.col(f"of_{x}.sketches"), (F.col("band") - F.col(f"own_{x}")).cast("int")).alias(f"words_{x}") for x in "uv"]
-    return whole.select("u", "v", *words, F.col("of_u.n").alias("n_u"), F.col("of_v.n").alias("n_v")).mapInArrow(work, "u binary, v binary")
+def _array(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+    """(u, v): keys of the pairs (u, v) of owners whose sets are similar."""
+    one, two = (sets.select(F.col("owner").alias(x), F.col("key").alias(f"key_{x}"), F.col("hashes").alias(f"of_{x}")) for x in "uv")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [similar(_array(a), _array(b), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return _paired(pairs, sets, F.col("hashes")).select("u", "v", "of_u", "of_v").mapInArrow(work, "u binary, v binary")
+    whole = pairs.join(one, "u").join(two, "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"), "of_u", "of_v")
+    return whole.mapInArrow(work, "u binary, v binary")
+
+
+def counted_pairs(rows: DataFrame) -> DataFrame:
+    """(u, v) of owners that share as many signatures of a list as both need, as far as groups show it.
+
+    Every member of a group is paired with the first few only, so a group costs in proportion to its size; in groups of
+    up to one more than these few all pairs are seen.
+    """
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("owner"))
+    first = rows.select("sig", F.col("owner").alias("v"), F.col("need").alias("need_v"), place.alias("place")).filter(F.col("place") <= PIVOTS)
+    return (
+        rows.join(first, "sig").filter("owner > v")
+        .groupBy(F.col("owner").alias("u"), "v", "tag")
+        .agg(F.count("*").alias("m"), F.max(F.greatest("need", "need_v")).alias("most"))
+        .filter("m >= most").select("u", "v").distinct()
+    )
 
 
 def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,32 +344,39 @@ def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides
     return np.concatenate(first), np.concatenate(second)
 
 
-def near_in_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of members (list, key, root, band) of one list that have different roots and near sketches.
+def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
+    """(u, v): pairs of members (list, owner, root, tag) of one list that have different roots and near sketches.
 
     Long lists are cut into blocks, and every two blocks are compared in a task of their own.
     """
-    sized = members.join(sets.select("key", "n", "own"), "key")
-    per_list = sized.groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+    per_list = members.join(sets.select("owner", "n"), "owner").groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
     held = F.greatest(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_HASHES) / F.col("most")))
     cuts = cut(per_list.select("list", F.greatest(F.ceil(F.col("m") / held), F.lit(1)).cast("int").alias("blocks")))
-    side = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+    side = F.pmod(F.xxhash64("owner", F.lit("block")), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("side", other).alias("a"), F.greatest("side", other).alias("b")))
-    words = F.get("sketches", (F.col("band") - F.col("own")).cast("int"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [sum(bands.shape(tag >> 1)) for tag in batch.column(3).to_pylist()]
+            words = [sketch(_array(h), n).tobytes() for h, n in zip(batch.column(5), shapes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(words, pa.binary())], names=["list", "owner", "root", "n", "words"])
+
+    listed = members.join(sets.select("owner", "n", "hashes"), "owner").select("list", "owner", "root", "tag", "n", "hashes")
     dealt = (
-        members.join(sets.select("key", "n", "own", "sketches"), "key").join(cuts, "list").withColumn("side", side)
-        .select("list", "key", "root", "side", "n", words.alias("words"), F.explode(pairs).alias("pair"))
-        .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "key", "root", "n", "words")
-        .repartition("list").sortWithinPartitions("list", "key")
+        listed.mapInArrow(sketched, "list bigint, owner bigint, root binary, n bigint, words binary")
+        .join(cuts, "list").withColumn("side", side)
+        .select("list", "owner", "root", "side", "n", "words", F.explode(pairs).alias("pair"))
+        .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "owner", "root", "n", "words")
+        .repartition("list").sortWithinPartitions("list", "owner")
     )
 
     def near(rows: list[tuple]) -> pa.RecordBatch | None:
         _, roots = np.unique(np.array([row[3] for row in rows], dtype="V16"), return_inverse=True)
-        words_here = np.array([np.frombuffer(row[5], np.uint64) for row in rows])
-        first, second = near_in_block(words_here, np.array([row[4] for row in rows]), roots, np.array([row[1] for row in rows]), percent)
+        words = np.array([np.frombuffer(row[5], np.uint64) for row in rows])
+        first, second = near_in_block(words, np.array([row[4] for row in rows]), roots, np.array([row[1] for row in rows]), percent)
         if not len(first):
             return None
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in which], pa.binary()) for which in (first, second)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in which], pa.int64()) for which in (first, second)], names=["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -371,27 +392,30 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(work, "u binary, v binary")
+    return dealt.mapInArrow(work, "u bigint, v bigint")
 
 
-def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the keys that are linked to a smaller key; ``sets`` are different sets as of :func:`marked_sets`."""
-    rows = cut(shared_rows(sets).distinct())
-    groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("key").alias("least")).filter("m > 1"))
-    star = rows.join(groups, "sig").filter("key <> least").groupBy(F.col("key").alias("u"), F.col("least").alias("v")).agg(F.min("band").alias("band"))
-    near = cut(near_pairs(cut(star), sets, percent))
-    roots = cut(components(cut(verified(near, sets, percent))))
-    # groups of two are decided; of the others, those that are not connected are compared, equal lists of members once
-    rooted = rows.join(groups.filter("m > 2").select("sig"), "sig").join(roots, F.col("key") == F.col("node"), "left")
-    rooted = cut(rooted.select("sig", "key", "band", F.coalesce("root", "key").alias("root")))
+def similar_sets(marked: DataFrame, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
+    """(node, root) of the keys of sets that are linked to a smaller key."""
+    rows = shared_rows(marked)
+    pairs = cut(counted_pairs(rows))
+    large = cut(rows.join(rows.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOTS + 1).select("sig"), "sig").select("sig", "owner", "tag"))
+    owners = cut(pairs.select(F.explode(F.array("u", "v")).alias("owner")).unionByName(large.select("owner")).distinct())
+    sets = cut(wanted_sets(texts, size, owners))
+    roots = cut(components(cut(verified(pairs, sets, percent))))
+    if large.isEmpty():
+        return roots
+    # large groups that are not connected by now are compared, equal lists of members once
+    of_owner = sets.select("owner", "key").join(roots, F.col("key") == F.col("node"), "left").select("owner", F.coalesce("root", "key").alias("root"))
+    rooted = cut(large.join(of_owner, "owner"))
     open_groups = rooted.groupBy("sig").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("all"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("all2"),
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("owner")).alias("all"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("all2"),
         F.min("root").alias("low"), F.max("root").alias("high"),
     ).filter("low <> high")
     lists = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
-    members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "key", "root", "band"))
-    more = near_in_lists(members, sets, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = cut(verified(cut(more.join(near, ["u", "v"], "left_anti")), sets, percent))
+    members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
+    more = near_in_lists(members, sets, percent, bands).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = cut(verified(cut(more.join(pairs, ["u", "v"], "left_anti")), sets, percent))
     if links.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
@@ -403,17 +427,14 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     The set of a document is its distinct shingles of ``size`` words, the whole sequence if there are fewer. Null and empty
     texts and texts without words have an empty set, are linked with nothing and are components of their own. Equal sets
     are linked; repeated rows stay repeated. Null ids take part but never name a component (it is null if all its ids
-    are). An empty table gives an empty table. Only id and text are read, twice; of a text only hashes of the sets that
-    share a word with another one are shuffled.
+    are). An empty table gives an empty table. Only id and text are read, three times: to count the words of all sketches, to find
+    the sets that share enough of them, and to compare these sets. Only hashes are shuffled.
     """
     bands = Bands(percent)
-    text = F.col(f"`{text_col}`").alias("text")
-    shared = cut(shared_words(docs.select(text), size, bands))
-    marked = cut(marked_sets(docs, id_col, text_col, size, bands, word_filter(shared)))
-    sets = cut(
-        marked.filter("hashes IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("hashes", "own", "sketches", "lists")])
-    )
-    roots = similar_sets(sets, percent)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    shared = cut(shared_words(texts, size, bands))
+    marked = cut(marked_docs(docs, id_col, text_col, size, bands, word_filter(shared)))
+    roots = similar_sets(marked, texts, size, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
     rooted = cut(least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")

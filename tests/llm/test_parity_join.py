@@ -143,6 +143,7 @@ def test_chains_and_near_copies_equal_brute_force(spark, monkeypatch, block):
     if block:
         monkeypatch.setattr(parity_join, "BLOCK_SETS", block)
         monkeypatch.setattr(parity_join, "BLOCK_HASHES", 1)
+        monkeypatch.setattr(parity_join, "PIVOTS", 1)
     rng = random.Random(7)
     texts = []
     for k in range(6):  # chains: neighbours are similar, ends are not

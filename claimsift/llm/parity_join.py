@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsift.llm.common import chunks, cut, texts_of
+from claimsift.llm.common import chunks, cut, release, texts_of
 from claimsift.llm.components import components
 
 #: Words of a sketch with at most so many bits are light.
@@ -59,7 +59,7 @@ class Bands:
         """(D, s) of sets of which the larger is in the band."""
         largest = self.low[band + 1] - 1
         differing = (100 - self.percent) * 2 * largest // (100 + self.percent)
-        return differing, 2 + differing // 4
+        return differing, 2 + differing // 6
 
 
 #: Bytes whose words are hashed at once; a longer word is hashed in one go.
@@ -433,6 +433,7 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     bands = Bands(percent)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     shared = cut(shared_words(texts, size, bands))
+    release(docs.sparkSession)  # the words of all sketches are by far the largest shuffle
     marked = cut(marked_docs(docs, id_col, text_col, size, bands, word_filter(shared)))
     roots = similar_sets(marked, texts, size, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))

@@ -37,6 +37,8 @@ LIGHT_BITS = 1
 #: The filter of shared sketch words: bits per word, and the least and most bits.
 BITS_PER_WORD, FILTER_BITS = 8, (20, 27)
 LIST = pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+#: Times that documents are dropped which share too little with those that are left.
+PRUNINGS = 2
 #: Members of a group of a shared word with which all others are compared first.
 PIVOTS = 8
 #: Hashes that a block of the final comparison may hold, and its least number of sets.
@@ -287,14 +289,33 @@ def wanted_sets(texts: DataFrame, size: int, owners: DataFrame) -> DataFrame:
     return rows.groupBy("owner", "key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def shared_rows(marked: DataFrame) -> DataFrame:
-    """(owner, tag, need, sig) of sets that share as many signatures of a list as they need."""
-    rows = marked.filter("lists IS NOT NULL").select("owner", F.explode("lists").alias("s")).select("owner", "s.tag", "s.need", F.explode("s.sigs").alias("sig"))
-    rows = cut(rows.distinct())
-    shared = rows.groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
-    here = cut(rows.join(shared.select("sig"), "sig"))
-    enough = here.groupBy("owner", "tag").agg(F.count("*").alias("m"), F.max("need").alias("most")).filter("m >= most")
-    return cut(here.join(enough.select("owner", "tag"), ["owner", "tag"]))
+def rows_of(lists: DataFrame) -> DataFrame:
+    """(owner, tag, need, sig) of (owner, lists)."""
+    return lists.select("owner", F.explode("lists").alias("s")).select("owner", "s.tag", "s.need", F.explode("s.sigs").alias("sig"))
+
+
+def pruned(lists: DataFrame) -> DataFrame:
+    """(owner, lists) without the signatures that no other owner has, as far as a filter tells, and without lists that are
+    short of what they need then. What is dropped is no part of a link."""
+    shared = rows_of(lists).groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
+    spread = lists.sparkSession.sparkContext.broadcast(word_filter(cut(shared.select("sig"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, kept = [], []
+            for owner, found in zip(*[column.to_pylist() for column in batch.columns]):
+                left = []
+                for one in found:
+                    sigs = np.array(one["sigs"], np.int64)
+                    sigs = sigs[passing(sigs.view(np.uint64), spread.value)]
+                    if len(sigs) >= one["need"]:
+                        left.append(one | {"sigs": sigs})
+                if left:
+                    owners.append(owner)
+                    kept.append(left)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(kept, pa.list_(LIST))], names=["owner", "lists"])
+
+    return cut(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
 
 
 def _array(value: pa.Scalar) -> np.ndarray:
@@ -397,9 +418,13 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Band
 
 def similar_sets(marked: DataFrame, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
     """(node, root) of the keys of sets that are linked to a smaller key."""
-    rows = shared_rows(marked)
+    lists = cut(marked.filter("lists IS NOT NULL").groupBy("owner").agg(F.first("lists").alias("lists")))
+    for _ in range(PRUNINGS):
+        lists = pruned(lists)
+    rows = rows_of(lists)
     pairs = cut(counted_pairs(rows))
-    large = cut(rows.join(rows.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOTS + 1).select("sig"), "sig").select("sig", "owner", "tag"))
+    large_groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOTS + 1).select("sig"))
+    large = cut(rows.join(large_groups, "sig").select("sig", "owner", "tag"))
     owners = cut(pairs.select(F.explode(F.array("u", "v")).alias("owner")).unionByName(large.select("owner")).distinct())
     sets = cut(wanted_sets(texts, size, owners))
     roots = cut(components(cut(verified(pairs, sets, percent))))

@@ -4,38 +4,48 @@ A text becomes the hashes of its words. A seed is the hash of the words that a f
 words it skips may differ. The two masks together hit every stretch of 16 words of which at most 3 differ, wherever
 they stand (tests/llm tries all ways). An item of fewer than 16 words is cut into one block more than words of it may
 differ, so one block is whole in every copy; its seeds are its blocks, and documents have seeds of all runs of such
-lengths. Characters of scripts written without spaces are words of their own. Seeds of documents are joined with seeds of the benchmark; every hit gives a
-document, an item and an offset between them, and around the hit the aligned words are compared: an overlap counts if
-some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
+lengths. Characters of scripts written without spaces are words of their own. Seeds of documents are joined with seeds of
+the benchmark; every hit gives a document, an item and an offset between them, and around the hit the aligned words are
+compared: an overlap counts if some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
+Such a stretch always holds a hit, so only the words near hits are compared.
+
+Items of fewer than five words are found where they are a whole document, since a word or two in a text are no evidence.
+An item of one word repeated is found in documents that repeat the word as often (as 16 times if it is longer).
 
 Of the document seeds only those leave the scan whose words at the places common to the masks are flagged as words of
-an item, and that pass a Bloom filter of the benchmark seeds. Flags and filter have fixed sizes: a larger benchmark makes
-them pass more, never miss any.
+an item, and that pass a Bloom filter of the benchmark seeds. Flags and filter are bits in constant arrays of longs, each
+of which stands in the plan once. The filter grows with the number of seeds up to a fixed size; beyond it, more seeds pass,
+none is missed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimsift.functions import bloom
 from claimsift.llm.common import cut
 
 #: Words of a stretch that each mask selects.
 MASKS = ((0, 2, 3, 6, 7, 8), (0, 1, 2, 7, 9, 10))
 STRETCH, AGREEING = 16, 0.8
+#: Items of fewer words must be the whole document.
+WHOLE_BELOW = 5
+#: Hits of one document, item and offset are compared together if they stand in one part of so many words.
+PART_WORDS = 64
 #: Scripts that put no space between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Places that all masks select: a seed can only match where an item has words with such hashes there.
 COMMON = sorted(set.intersection(*map(set, MASKS)))
 #: Low bits of a word's hash that the flags of item words tell apart.
 FLAG_BITS = 16
-#: Bits of the filter: 2 ** FILTER_BITS, in words of 64; three bits are set for a seed.
-FILTER_BITS = 20
-PROBES = (0, 21, 42)
+#: The filter has 2 ** bits bits, about 8 for a seed within these bounds; three of them are set for a seed.
+FILTER_BITS = (16, 21)
 
 
 def word_hashes(text: Column) -> Column:
@@ -97,115 +107,156 @@ def _run_seeds(hashes: Column, lengths: list[int], starts: Column, passes) -> Co
     return F.concat(*[of_length(n) for n in lengths])
 
 
-def word_flags(items: DataFrame) -> Column:
-    """A constant array of booleans by the low bits of a word's hash: whether a word of an item has them."""
-    low = F.col("word").bitwiseAND(F.lit(2**FLAG_BITS - 1))
-    rows = items.select(F.explode("item_words").alias("word")).select(low.cast("int").alias("k")).distinct().collect()
-    known = {r["k"] for r in rows}
-    return F.split(F.lit(",".join("1" if k in known else "0" for k in range(2**FLAG_BITS))), ",").cast("array<boolean>")
+def _given(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result(value)`` with ``value`` once in the expression."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
 
 
-def _filter_word(seed: Column, probe: int) -> Column:
-    return F.shiftrightunsigned(seed, probe + 6).bitwiseAND(F.lit(2 ** (FILTER_BITS - 6) - 1)).cast("int")
+def _flag_place(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(2**FLAG_BITS - 1))
 
 
-def _filter_bit(seed: Column, probe: int) -> Column:
-    return F.shiftrightunsigned(seed, probe).bitwiseAND(F.lit(63)).cast("int")
+def bit_constant(places: DataFrame, bits: int) -> Column:
+    """A constant of 2 ** (bits - 6) longs, in which the bits at the ``place`` values are set; its size is fixed."""
+    word, bit = F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
+    found = {r["word"]: r["bits"] for r in places.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(2 ** (bits - 6)))), ",").cast("array<bigint>")
 
 
-def bloom_filter(seeds: DataFrame) -> Column:
-    """The filter as a constant array of longs. Its size does not depend on the number of seeds."""
-    probes = F.array(*[F.struct(_filter_word(F.col("seed"), p).alias("word"), _filter_bit(F.col("seed"), p).alias("bit")) for p in PROBES])
-    words = seeds.select(F.explode(probes).alias("p")).groupBy("p.word").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits")).collect()
-    bits = dict.fromkeys(range(2 ** (FILTER_BITS - 6)), 0) | {r["word"]: r["bits"] for r in words}
-    return F.split(F.lit(",".join(str(bits[k]) for k in sorted(bits))), ",").cast("array<bigint>")
+def word_flags(items: DataFrame) -> Column:
+    """Bits by the low bits of a word's hash: whether a word of an item has them."""
+    return bit_constant(items.select(F.explode("item_words").alias("word")).select(_flag_place(F.col("word")).alias("place")), FLAG_BITS)
 
 
-def contaminated(
-    docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
-    stretch: int = STRETCH, agreeing: float = AGREEING, shortest: int = 9,
-) -> DataFrame:
-    """(doc_id, item_id, n_equal, n_compared): the best stretch of every document and item that overlap.
+def seed_filter(seeds: DataFrame) -> tuple[Column, int]:
+    """(the filter of ``seed``, its bits as a power of two)."""
+    bits = min(max((8 * seeds.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    return bit_constant(seeds.select(F.explode(F.array(*bloom.probe_places(F.col("seed"), bits))).alias("place")), bits), bits
 
-    Null and empty texts have no words and overlap nothing; so do items of fewer than ``shortest`` words. Items of fewer
-    than 16 words must lie in the document as a whole; all copies that agree enough are found. Repeated documents or items
-    of one id give one row with the best stretch; null ids give rows with null. Items of one word repeated throughout
-    are no evidence and match nothing, but a single word is an item. Empty tables give an empty table. Only ids and texts
-    are read.
-    """
-    hashed_items = cut(
-        items.select(F.col(f"`{item_id_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("item_words"))
-        .filter((F.size("item_words") >= shortest) & ((F.size(F.array_distinct("item_words")) > 1) | (F.size("item_words") == 1)))
-        .distinct()
-        .withColumn("item_row", F.monotonically_increasing_id())
-    )
+
+def seed_matches(hashed_docs: DataFrame, hashed_items: DataFrame, stretch: int, agreeing: float) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_compared) of every stretch that agrees; items have different words, five or more."""
     long_seeds = _seeds(F.col("item_words"), _starts(F.col("item_words")))
     short_seeds = _block_seeds(F.col("item_words"), stretch, agreeing)
     item_seeds = cut(
         hashed_items.select("item_row", F.explode(F.when(F.size("item_words") < stretch, short_seeds).otherwise(long_seeds)).alias("s"))
         .select("item_row", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     )
-    wanted = bloom_filter(item_seeds.select("seed").distinct())
-
+    wanted, bits = seed_filter(item_seeds.select("seed").distinct())
     flags = word_flags(hashed_items)
     sizes = {r["n"] for r in hashed_items.filter(F.size("item_words") < stretch).select(F.size("item_words").alias("n")).distinct().collect()}
     lengths = sorted({n for size in sizes for _, n in blocks(size, agreeing)})  # none, if no item is that short
 
-    def known(start: Column) -> Column:
-        return F.get(flags, F.get("words", start).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int"))
+    def flagged(starts: Column, places: list[int]) -> Column:
+        def all_known(array: Column) -> Column:
+            return F.filter(starts, lambda start: reduce(and_, [bloom.is_set(array, _flag_place(F.get("words", start + k))) for k in places]))
+
+        return _given(flags, all_known)
 
-    def flagged(start: Column) -> Column:
-        return reduce(and_, [known(start + place) for place in COMMON])
+    def hits_of(array: Column) -> Column:
+        def passes(seed: Column) -> Column:
+            return reduce(and_, [bloom.is_set(array, place) for place in bloom.probe_places(seed, bits)])
 
-    def passes(seed: Column) -> Column:
-        tests = [F.getbit(F.get(wanted, _filter_word(seed, p)), _filter_bit(seed, p)) == 1 for p in PROBES]
-        return reduce(and_, tests)
+        seeds = _seeds(F.col("words"), F.col("starts"), passes)
+        return F.concat(seeds, _run_seeds(F.col("words"), lengths, F.col("run_starts"), passes)) if lengths else seeds
 
+    no_starts = F.array().cast("array<int>")
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(no_starts)
+    run_starts = flagged(every, list(range(lengths[0]))) if lengths else no_starts
     # the row number is not deterministic to the optimizer, which therefore leaves the filter on hits above it and
     # does not compute the hits twice
-    document_seeds = _seeds(F.col("words"), F.col("starts"), passes)
-    run_starts = F.array().cast("array<int>")
-    if lengths:
-        every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(run_starts)
-        run_starts = F.filter(every, lambda start: reduce(and_, [known(start + k) for k in range(lengths[0])]))
-        document_seeds = F.concat(document_seeds, _run_seeds(F.col("words"), lengths, F.col("run_starts"), passes))
     hit_docs = cut(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"))
-        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"), run_starts.alias("run_starts"))
-        .select("doc_id", "words", document_seeds.alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
+        hashed_docs.select("doc_id", "words", flagged(_starts(F.col("words")), COMMON).alias("starts"), run_starts.alias("run_starts"))
+        .select("doc_id", "words", _given(wanted, hits_of).alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
         .filter(F.size("hits") > 0)
     )
     hits = hit_docs.select("doc_row", F.explode("hits").alias("s")).select("doc_row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
-    offsets = (
+    found = (
         hits.join(item_seeds, "seed")
-        .select("doc_row", "item_row", (F.col("place") - F.col("item_place")).alias("offset"))
+        .select("doc_row", "item_row", (F.col("place") - F.col("item_place")).alias("offset"), F.expr(f"place div {PART_WORDS}").cast("int").alias("part"))
         .distinct()
     )
+    # the words around the hits of a part, from where the item can begin
+    near = (
+        found.join(hit_docs.select("doc_row", "doc_id", "words"), "doc_row")
+        .withColumn("begin", F.greatest(F.lit(0), F.col("offset"), F.col("part") * PART_WORDS - (stretch - 1)))
+        .withColumn("end", F.least(F.size("words"), (F.col("part") + 1) * PART_WORDS + (stretch - 1)))
+        .filter("end > begin")
+        .select("doc_id", "item_row", (F.col("begin") - F.col("offset")).alias("item_begin"), F.slice("words", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("words"))
+    )
     aligned = (
-        offsets.join(hit_docs.select("doc_row", "doc_id", "words"), "doc_row")
-        .join(hashed_items, "item_row")
-        .withColumn("doc_from", F.greatest(F.col("offset"), F.lit(0)))
-        .withColumn("item_from", F.greatest(-F.col("offset"), F.lit(0)))
-        .withColumn("common", F.least(F.size("words") - F.col("doc_from"), F.size("item_words") - F.col("item_from")))
+        near.join(hashed_items, "item_row")
+        .withColumn("common", F.least(F.size("words"), F.size("item_words") - F.col("item_begin")))
         .withColumn("n_compared", F.least(F.lit(stretch), F.size("item_words")))
         .filter("common >= n_compared")
         .withColumn(
             "equal",
-            F.zip_with(
-                F.slice("words", F.col("doc_from") + 1, F.col("common")),
-                F.slice("item_words", F.col("item_from") + 1, F.col("common")),
-                lambda a, b: (a == b).cast("int"),
-            ),
+            F.zip_with(F.slice("words", F.lit(1), F.col("common")), F.slice("item_words", F.col("item_begin") + 1, F.col("common")), lambda a, b: (a == b).cast("int")),
         )
     )
     window_sums = F.transform(
         F.sequence(F.lit(1), F.col("common") - F.col("n_compared") + 1),
         lambda start: F.aggregate(F.slice("equal", start, F.col("n_compared")), F.lit(0), lambda total, e: total + e),
     )
+    return aligned.select("doc_id", "item_id", F.array_max(window_sums).alias("n_equal"), "n_compared").filter(
+        F.col("n_equal") >= F.ceil(F.col("n_compared") * F.lit(agreeing))
+    )
+
+
+def whole_matches(hashed_docs: DataFrame, hashed_items: DataFrame) -> DataFrame:
+    """Documents whose words are those of an item of few words."""
+    short = hashed_docs.filter(F.size("words").between(1, WHOLE_BELOW - 1)).select("doc_id", "words")
+    same = (F.xxhash64("words") == F.xxhash64("item_words")) & (F.col("words") == F.col("item_words"))
+    n = F.size("item_words")
+    return short.join(hashed_items, same).select("doc_id", "item_id", n.alias("n_equal"), n.alias("n_compared"))
+
+
+def repeat_matches(hashed_docs: DataFrame, hashed_items: DataFrame, stretch: int) -> DataFrame:
+    """Documents that repeat the word of an item of one word as often, or as often as a stretch is long."""
+    size = F.size("words")
+    ends = F.filter(F.sequence(F.lit(0), size), lambda k: (k == 0) | (k == size) | (F.get("words", k) != F.get("words", k - 1)))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("ends") - 2),
+        lambda k: F.struct(F.get("words", F.get("ends", k)).alias("word"), (F.get("ends", k + 1) - F.get("ends", k)).alias("n")),
+    )
+    longest = (
+        hashed_docs.filter(size >= WHOLE_BELOW).select("doc_id", "words", ends.alias("ends"))
+        .select("doc_id", F.explode(F.filter(runs, lambda run: run["n"] >= WHOLE_BELOW)).alias("run"))
+        .groupBy("doc_id", "run.word").agg(F.max("run.n").alias("n"))
+    )
+    wanted = F.least(F.lit(stretch), F.size("item_words"))
+    items = hashed_items.select("item_id", F.get("item_words", F.lit(0)).alias("word"), wanted.alias("n_compared"))
+    return longest.join(items, "word").filter("n >= n_compared").select("doc_id", "item_id", F.col("n_compared").alias("n_equal"), "n_compared")
+
+
+def contaminated(
+    docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
+    stretch: int = STRETCH, agreeing: float = AGREEING, shortest: int = 9,
+) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_compared): the best stretch of every document and item that overlap.
+
+    Null and empty texts have no words and overlap nothing; so do items of fewer than ``shortest`` words. Items of fewer
+    than 16 words must lie in the document as a whole, items of fewer than 5 must be the whole document; all copies that
+    agree enough are found. Items of one word repeated are found exactly. Repeated documents or items of one id give one
+    row with the best stretch; null ids give rows with null. Empty tables give an empty table. Only ids and texts are read.
+    """
+    hashed_items = cut(
+        items.select(F.col(f"`{item_id_col}`").alias("item_id"), word_hashes(F.col(f"`{item_text_col}`")).alias("item_words"))
+        .filter(F.size("item_words") >= max(shortest, 1))
+        .distinct()
+        .withColumn("item_row", F.monotonically_increasing_id())
+    )
+    hashed_docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"))
+    few = F.size("item_words") < WHOLE_BELOW
+    one = F.size(F.array_distinct("item_words")) == 1
+    n_few, n_one = hashed_items.agg(F.count_if(few), F.count_if(~few & one)).first()
+    matches = seed_matches(hashed_docs, hashed_items.filter(~few & ~one), stretch, agreeing)
+    if n_few:
+        matches = matches.unionByName(whole_matches(hashed_docs, hashed_items.filter(few)))
+    if n_one:
+        matches = matches.unionByName(repeat_matches(hashed_docs, hashed_items.filter(~few & one), stretch))
     return (
-        aligned.select("doc_id", "item_id", F.array_max(window_sums).alias("n_equal"), "n_compared")
-        .filter(F.col("n_equal") >= F.ceil(F.col("n_compared") * F.lit(agreeing)))
-        .groupBy("doc_id", "item_id")
+        matches.groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("n_equal", "n_compared")).alias("best"))
         .select("doc_id", "item_id", F.col("best.n_equal").cast("bigint").alias("n_equal"), F.col("best.n_compared").cast("bigint").alias("n_compared"))
     )

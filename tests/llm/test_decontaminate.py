@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.llm import decontaminate
-from claimsift.llm.decontaminate import AGREEING, MASKS, STRETCH, blocks, contaminated
+from claimsift.llm.decontaminate import AGREEING, MASKS, STRETCH, WHOLE_BELOW, blocks, contaminated
+from claimsift.llm.common import cut
 from claimsift.llm.queries import QUERIES
 
 
@@ -24,9 +25,25 @@ def test_blocks_hit_every_copy_of_a_short_item(size):
         assert any(not set(wrong) & set(range(at, at + n)) for at, n in parts)
 
 
+def test_items_of_few_words_must_be_the_whole_document(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "Yes, no"), (3, "a b c d"), (4, "a b c d e")], "item_id long, text string")
+    texts = ["the", "The!", "the the", "the end", "yes no", "yes no yes", "a b c d", "x a b c d", "x a b c d e y", "a b c x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = contaminated(docs, "doc_id", "text", items, "item_id", "text", shortest=1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (1, 1), (4, 2), (6, 3), (8, 4)}
+
+
+def test_items_of_one_word_repeated(spark):
+    items = spark.createDataFrame([(1, "no " * 12), (2, "ha " * 40), (3, "hm hm")], "item_id long, text string")
+    texts = ["no " * 12, "x " + "no " * 13 + "y", "no " * 11, "a ha b " + "ha " * 16, "ha " * 15, "no no yes " * 30, "hm hm", "hm hm hm", "hm " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = contaminated(docs, "doc_id", "text", items, "item_id", "text", shortest=1).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_equal"], r["n_compared"]) for r in rows} == {(0, 1, 12, 12), (1, 1, 12, 12), (3, 2, 16, 16), (6, 3, 2, 2)}
+
+
 def test_short_items_are_found_with_substitutions(spark):
     item_words, docs, want = {}, [], set()
-    for size in range(1, STRETCH):
+    for size in range(WHOLE_BELOW, STRETCH):
         item_words[size] = [f"i{size}w{k}" for k in range(size)]
         for wrong in combinations(range(size), size - int(-(-size * AGREEING // 1))):
             docs.append((len(docs), "before " + " ".join("x" if k in wrong else w for k, w in enumerate(item_words[size])) + " after"))
@@ -39,7 +56,7 @@ def test_short_items_are_found_with_substitutions(spark):
 
 
 def test_scripts_without_spaces(spark):
-    items = [(1, "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"), (2, "\u4e2d\u56fd\u7684\u9996\u90fd")]
+    items = [(1, "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"), (2, "\u4e2d\u56fd\u7684\u9996\u90fd")]  # ten words and five
     docs = spark.createDataFrame([(k, f"\u524d\u6587{text}\u5f8c\u6587") for k, text in items] + [(3, "\u4e2d\u6587")], "doc_id long, text string")
     rows = contaminated(docs, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", shortest=1).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (2, 2)}
@@ -97,8 +114,8 @@ def test_tolerates_substitutions(spark, text, found):
 def test_a_full_filter_only_costs_time(spark, small, monkeypatch):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, contaminated(docs, "doc_id", "text", items, "item_id", "text").collect()))
-    monkeypatch.setattr(decontaminate, "FILTER_BITS", 7)
-    monkeypatch.setattr(decontaminate, "FLAG_BITS", 1)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", (7, 7))
+    monkeypatch.setattr(decontaminate, "FLAG_BITS", 6)
     assert sorted(map(tuple, contaminated(docs, "doc_id", "text", items, "item_id", "text").collect())) == want
 
 
@@ -107,13 +124,26 @@ def test_only_built_in_expressions(spark, small):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_the_plan_holds_flags_and_filter_once(spark, small, monkeypatch):
+    """In every mask, probe and length they made the plan of the scan 1.7 MB of text."""
+    sizes = []
+
+    def watched(df):
+        sizes.append(len(df._jdf.queryExecution().toString()))
+        return cut(df)
+
+    monkeypatch.setattr(decontaminate, "cut", watched)
+    QUERIES["op7_spaced_seeds"](spark, small)
+    assert len(sizes) == 3 and max(sizes) < 800_000, sizes  # four plans in one text
+
+
 def test_edges(spark, documents):
     short, single = "a b c d e f g h", "same " * 30
     docs = documents([(1, None), (2, ""), (3, ITEM), (3, ITEM), (None, ITEM), (4, short), (5, single), (6, "a b c d e f g h i"), (7, ITEM * 2)])
     items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, short), (5, single), (6, "a b c d e f g h i"), (None, ITEM)], "item_id long, text string").withColumn("doc_id", F.lit(0)).withColumn("words", F.lit(1))
     rows = contaminated(docs, "doc_id", "text", items, "item_id", "text").collect()
     assert sorted(((r["doc_id"] or -1, r["item_id"] or -1, r["n_equal"], r["n_compared"]) for r in rows)) == sorted(
-        [(d, i, 16, 16) for d in (-1, 3, 7) for i in (-1, 1)] + [(6, 6, 9, 9)]
+        [(d, i, 16, 16) for d in (-1, 3, 7) for i in (-1, 1)] + [(6, 6, 9, 9), (5, 5, 16, 16)]
     )
     nothing = F.lit(False)
     assert contaminated(docs.filter(nothing), "doc_id", "text", items, "item_id", "text").count() == 0

@@ -14,13 +14,15 @@ sections would not give.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from claimsift.llm.byte_bpe import read_ranks
+from claimsift.llm.byte_bpe import read_ranks, whole_text_pattern
 from claimsift.llm.common import map_chunks, texts_of
 
 RULES = ("start", "majority")
@@ -38,6 +40,14 @@ def encoding(name: str, ranks: dict[bytes, int], pattern: str) -> tuple[tiktoken
     return ENCODINGS[name]
 
 
+def token_ids(coder: tiktoken.Encoding, pieces, text: str) -> np.ndarray:
+    """The tokens of a text. One whose runs of white space are too long for the library's pattern is split by ``pieces``."""
+    try:
+        return coder.encode_to_numpy(text, disallowed_special=())
+    except ValueError:  # the pattern ran out of room to backtrack
+        return np.fromiter(chain.from_iterable(map(coder._encode_single_piece, pieces(text))), np.int64)
+
+
 def line_starts(data: np.ndarray) -> np.ndarray:
     """First bytes of the lines of a text; a line holds its line feed. Empty text is one empty line."""
     ends = np.nonzero(data == 10)[0] + 1
@@ -70,7 +80,8 @@ def section_tokens(
 
     ``sections`` maps the bytes of a text to the first bytes of its sections, the first of them 0. Null text counts as
     empty: one empty section without tokens. An empty last line (after a final line feed) is a section of its own.
-    Repeated rows give repeated results; an empty table gives an empty table. Only the id and the text are read.
+    Repeated rows give repeated results; an empty table gives an empty table. Only the id and the text are read. Texts may
+    hold runs of letters, marks or white space of any length.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
@@ -79,11 +90,12 @@ def section_tokens(
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder, lengths = encoding(name, ranks, pattern)
+        pieces = regex.compile(whole_text_pattern(pattern)).findall
         rows, numbers, begins, ends, counts = [], [], [], [], []
         for row, text in enumerate(texts_of(batch.column(1))):
             data = np.frombuffer(text.encode(), np.uint8)
             starts = sections(data)
-            counts.append(attribute(lengths[coder.encode_to_numpy(text, disallowed_special=())], starts, len(data), rule))
+            counts.append(attribute(lengths[token_ids(coder, pieces, text)], starts, len(data), rule))
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
             begin = points[starts]
             begins.append(begin)
@@ -94,5 +106,5 @@ def section_tokens(
         columns = [batch.column(0).take(pa.array(together(rows))), *(pa.array(together(x)) for x in (numbers, begins, ends, counts))]
         return pa.RecordBatch.from_arrays(columns, names=[id_col, "section", "start", "end", "n_tokens"])
 
-    chosen = docs.select(id_col, text_col)
+    chosen = docs.select(f"`{id_col}`", f"`{text_col}`")
     return map_chunks(chosen, work, f"`{id_col}` {chosen.dtypes[0][1]}, section bigint, start bigint, end bigint, n_tokens bigint", text_col)

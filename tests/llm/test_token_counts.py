@@ -2,12 +2,13 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from claimsift.llm.byte_bpe import read_ranks
+from claimsift.llm.byte_bpe import read_ranks, whole_text_pattern
 from claimsift.llm.queries import COUNTING_RANKS, QUERIES
-from claimsift.llm.token_counts import section_tokens
+from claimsift.llm.token_counts import section_tokens, token_ids
 
 PATH = public_tokenizers.path(COUNTING_RANKS)
 
@@ -52,6 +53,38 @@ def test_query_equals_brute_force(spark, library, small):
         assert mine == brute(library, r["text"], "start")
 
 
+def split_by_hand(library, text):
+    """Tokens of runs: the library's pattern cannot take a long run of white space."""
+    if text.isspace():
+        return library._encode_single_piece(text)
+    if text[-1:].isspace():
+        body = text.rstrip()
+        return library.encode_ordinary(body) + library._encode_single_piece(text[len(body) :])
+    return library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["x" + "\n" * 2_000_000, " " * 2_000_000, "a" * 2_000_000, "é\t" + "\n " * 600_000])
+def test_runs_of_any_length(documents, library, text):
+    docs = documents([(1, text), (2, "a b")])
+    want = len(split_by_hand(library, text))
+    counted = section_tokens(docs, "doc_id", "text", PATH, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: (r["n"], r["sections"], r["end"]) for r in counted.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("sections"), F.max("end").alias("end")).collect()}
+    assert got == {1: (want, text.count("\n") + 1, len(text)), 2: (2, 1, 3)}
+
+
+def test_the_way_round_gives_the_same_tokens(library):
+    pieces = regex.compile(whole_text_pattern(public_tokenizers.PATTERN)).findall
+
+    class Refusing:
+        _encode_single_piece = library._encode_single_piece
+
+        def encode_to_numpy(self, *args, **kwargs):
+            raise ValueError
+
+    for text in [*TEXTS, "it's 12 a's  b c  \u0085 x\x1c y", "  \n\n  word", "tab\t\tend  "]:
+        assert token_ids(Refusing(), pieces, text).tolist() == library.encode_ordinary(text), text
+
+
 def test_edges(documents):
     docs = documents([(1, None), (2, "a\n"), (2, "a\n"), (None, "b")])
     rows = section_tokens(docs, "doc_id", "text", PATH, public_tokenizers.PATTERN).orderBy("doc_id", "section").collect()

@@ -20,7 +20,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import cut, map_chunks, texts_of
@@ -312,23 +312,35 @@ class Scorer:
 def fit(
     docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, max_toxic: int = 1200, max_clean: int = 3600, max_chars: int = 20_000
 ) -> Network:
-    """Train on at most ``max_toxic`` and ``max_clean`` labelled documents of at most ``max_chars`` characters.
+    """Train on at most ``max_toxic`` and ``max_clean`` different labelled documents.
 
-    The ids are drawn first, by smallest hash; their number is bounded, so they are broadcast and texts are not
-    shuffled. Null labels, ids and texts teach nothing; of several labels of an id the largest counts. Without any toxic
-    or any clean document the network stays as it starts.
+    They are drawn among all with a text, by the smallest hash of id and text: first those of at most ``max_chars``
+    characters, then longer ones, whole, as long as all together stay under ``max_chars`` times the number wanted. Their
+    number is bounded whatever an id has of rows, so they are broadcast and texts are not shuffled. Null labels, ids
+    and texts teach nothing; of several labels of an id the largest counts. Without any toxic or any clean document the
+    network stays as it starts.
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
-    marked = cut(marked.groupBy("id").agg(F.max(F.col("label") == 1).cast("int").alias("label")))
-    drawn = [marked.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
-    sample = cut(drawn[0].unionByName(drawn[1]))  # at most max_toxic + max_clean rows
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.char_length("text") <= max_chars)
+    marked = marked.groupBy("id").agg(F.max(F.col("label") == 1).cast("int").alias("label"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    texts = texts.withColumn("place", F.xxhash64("id", "text"))
+    size = F.char_length("text").cast("bigint")
+    usable = cut(texts.select("id", "place", size.alias("size")).distinct().join(marked, "id"))
+
+    def draw(label: int, most: int) -> DataFrame:
+        order = [F.col("size") > max_chars, F.xxhash64("id"), "place"]
+        drawn = usable.filter(F.col("label") == label).orderBy(*order).limit(most)
+        total = F.sum("size").over(Window.partitionBy("label").orderBy(*order))  # at most `most` rows
+        return drawn.withColumn("total", total).filter(F.col("total") <= most * max_chars).select("id", "place", "label")
+
+    sample = cut(draw(1, max_toxic).unionByName(draw(0, max_clean)))  # at most max_toxic + max_clean rows
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"])
         return pd.DataFrame({"network": [pickle.dumps(train(rows["text"].tolist(), rows["label"].tolist()))]})
 
-    rows = texts.join(F.broadcast(sample), "id").select(F.lit(1).alias("all"), "id", "text", "label")
+    rows = texts.join(F.broadcast(sample), ["id", "place"]).groupBy("id", "place").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    rows = rows.select(F.lit(1).alias("all"), "id", "text", "label")
     found = rows.groupBy("all").applyInPandas(learn, "network binary").collect()
     return pickle.loads(found[0]["network"]) if found else Network({}, {})
 

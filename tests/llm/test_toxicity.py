@@ -77,6 +77,45 @@ def test_query(spark, small):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def learned(monkeypatch):
+    """What `fit` trains on, without training."""
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: sorted(zip(texts, labels)))
+    return fit
+
+
+def test_rows_of_one_id_are_bounded(spark, monkeypatch):
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") < 10_000, F.lit("equal text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    other = spark.createDataFrame([(1, "clean one"), (2, "clean two"), (2, "clean two")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    rows = learned(monkeypatch)(same.unionByName(other), "doc_id", "text", labels, "toxic", max_toxic=50, max_clean=30)
+    assert sum(y for _, y in rows) == 50 and len(set(rows)) == len(rows) == 52
+
+
+def test_long_texts_are_learned_whole_if_short_ones_are_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 30), (2, "short"), (3, "y" * 25), (4, "z" * 1000), (5, "clean")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)], "doc_id long, toxic int")
+    rows = learned(monkeypatch)(docs, "doc_id", "text", labels, "toxic", max_toxic=4, max_clean=4, max_chars=20)
+    texts = {t for t, _ in rows}
+    assert "short" in texts and "clean" in texts and "z" * 1000 not in texts
+    assert sum(len(t) for t, y in rows if y) <= 80
+
+
+def test_held_out_quality(spark):
+    """On the largest test table, by the query itself: all documents, labels of the two other thirds learned."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op5_toxicity_gru"](spark, sf_dir).filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r["toxic"] == 1]
+    found = [r for r in rows if r["predicted"] == 1]
+    recall = sum(r["predicted"] for r in toxic) / len(toxic)
+    precision = sum(r["toxic"] for r in found) / len(found)
+    scores = sorted((r["score"], r["toxic"]) for r in rows)
+    ranks = sum(k for k, (_, y) in enumerate(scores, 1) if y)
+    area = (ranks - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * (len(rows) - len(toxic)))
+    print(f"held-out documents {len(rows)}, toxic {len(toxic)}: area {area:.3f}, precision {precision:.3f}, recall {recall:.3f}")
+    assert area >= 0.93 and precision >= 0.88 and recall >= 0.85
+
+
 def test_edges(spark, documents):
     docs = documents([(1, None), (2, ""), (3, "bad words"), (3, "bad words"), (None, "fine words"), (4, "fine words")])
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (9, 1), (2, None)], "doc_id long, toxic int")

@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 stage's docs. All but the last return the columns of docs, whatever further columns there are.
 
 Null and empty texts: the language stage rejects them (they have no letter). Repeated rows of one id are equal in every
-stage; the near-duplicate stage keeps one of them. An empty table stays empty through all stages.
+stage; the near-duplicate stage keeps one of them, the smallest of rows that differ in other columns. An empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -32,26 +33,41 @@ def _beside(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("text").alias("text"))
 
 
+def _like(docs: DataFrame, changed: dict) -> list:
+    """The columns of docs, some of them changed, in their types."""
+    return [changed.get(c, F.col(f"`{c}`")).cast(kind).alias(c) for c, kind in docs.dtypes]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and texts that every learned language codes worse than no model would."""
+    """Rejects texts without a letter, and texts that every learned language codes worse than no model would.
+
+    A document without a language gets the predicted one.
+    """
     tree = fit(docs, "doc_id", "text", "lang")
     marked = _beside(docs).withColumn("found", identify(docs, F.col("text"), tree))
-    return marked.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.bits_per_byte") <= UNIFORM_BITS)).select("row.*")
+    kept = marked.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.bits_per_byte") <= UNIFORM_BITS))
+    known = F.coalesce(F.col("row.lang"), F.col("found.lang_pred"))
+    return kept.select(*[(known if c == "lang" else F.col(f"row.`{c}`")).cast(kind).alias(c) for c, kind in docs.dtypes])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; n_chars follows the text."""
-    deduped = dedup_lines(docs, "doc_id", "text", report_col="__report")
-    return deduped.select(*[(F.char_length("text").cast(kind) if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c, kind in docs.dtypes])
+    report = "__report"
+    while report in docs.columns:
+        report += "_"
+    deduped = dedup_lines(docs, "doc_id", "text", report_col=report)
+    return deduped.select(*_like(docs, {"n_chars": F.char_length("text")}))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, and of its repeated rows one."""
     rows = _beside(docs)
     groups = simhash_groups(rows, "key", "text")
-    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("kept")).distinct()
-    same = F.col("key").eqNullSafe(F.col("kept"))
-    return rows.join(kept, same).groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy(F.col("key").alias("kept")).agg(F.count("*").alias("copies"))
+    found = rows.join(kept, F.col("key").eqNullSafe(F.col("kept")))
+    if kept.filter("copies > 1").isEmpty():
+        return found.select("row.*")
+    return found.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import BATCH_REPLY_FORMAT, LABELS, OVR_INSTRUCTION
+from claimsift.functions.bloom import keys_kept, rows_of_keys
 from claimsift.functions.patterns import token_count
 from claimsift.functions.plan_shape import written
 from claimsift.operators.ordering import row_numbers
@@ -141,10 +142,10 @@ def few_shot_requests(
 ) -> DataFrame:
     """(id, candidate_list, prompt) for rows (id, candidates array) that need a second look.
 
-    The join that brings their texts in shuffles the text of ``docs``, unless the undecided
-    are few enough for Spark to broadcast them.
+    Only the texts of undecided documents, and of the few that a filter takes for such, leave the scan.
     """
-    return undecided.join(docs.select("id", F.col(text).alias("_text")), "id").select(
+    wanted = undecided.select("id", "candidates")
+    return rows_of_keys(docs.select("id", F.col(text).alias("_text")), wanted, "id").select(
         "id",
         F.array_join("candidates", ", ").alias("candidate_list"),
         F.concat(few_shot_head(F.col("candidates"), examples), F.lit('"'), F.col("_text"), F.lit('"')).alias("prompt"),
@@ -195,11 +196,10 @@ def answer_requests(
     The responder is asked once per new (text, class); ``cache`` has
     (text_hash, label, response), unique per key, and answers the rest. The
     responder gets text_hash, label_ord, label, system_text, user_text and adds
-    ``response``; a NULL text is asked about as NULL. Keys are worked out on hashes. The
-    join that fetches the texts to ask about shuffles the text of all documents, unless
-    few enough are unanswered for Spark to broadcast their ids. Replies go back as one
-    row per text; both sides of that join are shuffled for it, so Spark splits a text
-    with very many copies.
+    ``response``; a NULL text is asked about as NULL. Keys are worked out on hashes. Only
+    the texts to ask about, and the few that a filter takes for such, leave the scan.
+    Replies go back as one row per text; both sides of that join are shuffled for it, so
+    Spark splits a text with very many copies.
     """
     hashed = docs.select("id", _text_hash(text).alias("text_hash"))
     wanted = (
@@ -215,8 +215,7 @@ def answer_requests(
         .agg(F.collect_list(F.struct("label_ord", "label", "system_text")).alias("q"))
     )
     asked = (
-        docs.select("id", F.col(text).alias("user_text"))
-        .join(missing, "id")
+        rows_of_keys(docs.select("id", F.col(text).alias("user_text")), missing, "id")
         .select("text_hash", "user_text", F.explode_outer("q").alias("q"))
         .select("text_hash", "user_text", "q.*")
     )
@@ -253,11 +252,11 @@ def classification_cost(
 
     ``answers`` has (id, label_ord, label, response) of the one-vs-rest round,
     ``second_round`` has (id, response) of the few-shot round. A one-vs-rest request
-    counts its class description only, unless ``include_document``. Token counts are
-    taken before any join, so text is never shuffled.
+    counts its class description only, unless ``include_document``. Only then every text
+    is tokenised; otherwise only those of undecided documents are, and numbers of tokens
+    are what is joined, so text is never shuffled.
     """
     described = F.create_map(*[F.lit(x) for pair in prompts.items() for x in pair])
-    sized = docs.select("id", token_count(F.col(text)).alias("text_tokens"))
     counted = score_replies(answers).select(
         "id", "label_ord", "label", "score",
         token_count(described[F.col("label")]).alias("asked"),
@@ -266,7 +265,14 @@ def classification_cost(
     decisions = decide(
         counted, asked=F.sum("asked"), said=F.sum("said"), rounds=F.count("*")
     )
-    joined = settle(decisions, second_round).join(sized, "id")
+    settled = written(settle(decisions, second_round))
+    if include_document:
+        joined = settled.join(docs.select("id", token_count(F.col(text)).alias("text_tokens")), "id")
+    else:
+        texts = docs.select("id", F.col(text).alias("_text"))
+        wanted = settled.filter("branch <> 'unique'").select("id")
+        sized = keys_kept(texts, wanted, "id").select("id", token_count(F.col("_text")).alias("text_tokens"))
+        joined = settled.join(sized, "id", "left")
     asked = F.col("asked")
     if include_document:
         asked = asked + F.col("rounds") * F.col("text_tokens")

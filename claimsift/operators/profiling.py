@@ -33,6 +33,7 @@ from claimsift.fixed_values import (
 )
 from claimsift.functions.patterns import (
     SENTENCE_END,
+    SPACE,
     WORD,
     all_matches,
     count_matches,
@@ -123,23 +124,43 @@ def _first_rows(rows: DataFrame, order: Sequence[str], k: int, name: str) -> Dat
     return rows.withColumn(name, place.cast("bigint")).filter(F.col(name) <= k)
 
 
-def first_lines(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(label, line_no, line): first k lines of the label's joined text, blank ones left out.
+def first_lines(docs: DataFrame, k: int = 3, part_bytes: int = 64 << 20) -> DataFrame:
+    """(label, line_no, part_no, line): first k lines of the label's joined text, blank ones left out.
 
-    The last line of a document and the first of the next are one line. The line feeds
-    of the first k documents that have one end the k lines, so only documents up to the
-    k-th such document are looked at, and of them only what their first k line feeds end.
+    The last line of a document and the first of the next are one line, so a line has no
+    size limit. Documents carry the running number of line feeds before them; only those
+    with fewer than k are looked at, and of them only what their first k line feeds end. A
+    line is cut every ``part_bytes`` bytes: a document's piece belongs to the part in which
+    its first byte falls, and joining the parts in order with one space gives the line.
     """
     text = F.col("text")
-    broken = docs.filter(text.contains("\n")).select("label", "id")
-    last = _first_rows(broken, ["id"], k, "n").groupBy("label").agg(F.max("id").alias("id"), F.count("*").alias("n"))
-    heads = docs.select("label", "id", F.substring_index(text, "\n", k + 1).alias("head"))
-    bounds = _by_label(last.filter(F.col("n") == k), "id")
-    wanted = heads.filter(F.coalesce(F.col("id") <= F.try_element_at(bounds, F.col("label")), F.lit(True)))
-    joined = wanted.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "head"))).alias("h"))
-    lines = F.posexplode(F.slice(F.split(F.array_join("h.head", " "), "\n"), 1, k)).alias("pos", "raw")
-    numbered = joined.select("label", lines).select("label", (F.col("pos") + 1).cast("bigint").alias("line_no"), strip(F.col("raw")).alias("line"))
-    return numbered.filter("line <> ''")
+    feeds = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+    counted = running_totals(docs.select("label", "id", feeds.alias("_feeds")), "id", {"_to": F.col("_feeds")}, by=["label"])
+    early = counted.select("id", (F.col("_to") - F.col("_feeds")).alias("before")).filter(F.col("before") < k)
+    heads = docs.select("label", "id", F.substring_index(text, "\n", k).alias("head")).join(early, "id")
+    pieces = (
+        heads.select("label", "id", "before", F.posexplode(F.split("head", "\n")).alias("pos", "piece"))
+        .select("label", "id", (F.col("before") + F.col("pos") + 1).alias("line_no"), "piece")
+        .filter(F.col("line_no") <= k)
+    )
+    # white space around a line is dropped: all before its first piece with more, and behind its last one
+    here = ["label", "line_no"]
+    filled = pieces.filter(strip(F.col("piece")) != "").groupBy(*here).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    edge = lambda bound: F.col("id") == F.col(bound)
+    left = F.when(edge("low"), F.regexp_replace("piece", f"^[{SPACE}]+", "")).otherwise(F.col("piece"))
+    kept = pieces.join(filled, here).filter(F.col("id").between(F.col("low"), F.col("high")))
+    kept = kept.withColumn("piece", left).withColumn("piece", F.when(edge("high"), F.regexp_replace("piece", f"[{SPACE}]+\\z", "")).otherwise(F.col("piece")))
+    kept = kept.select(*here, "id", "piece")
+    sizes = kept.select(*here, "id", (F.octet_length("piece") + 1).cast("bigint").alias("_size"))
+    ends = running_totals(sizes, "id", {"_end": F.col("_size")}, by=here)
+    parts = ends.select(*here, "id", F.floor((F.col("_end") - F.col("_size")) / F.lit(part_bytes)).cast("bigint").alias("part_no"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "piece")))
+    return (
+        kept.join(parts, [*here, "id"])
+        .groupBy(*here, "part_no")
+        .agg(ordered.alias("d"))
+        .select("label", "line_no", "part_no", F.array_join("d.piece", " ").alias("line"))
+    )
 
 
 def _by_label(rows: DataFrame, value: str) -> Column:

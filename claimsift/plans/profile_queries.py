@@ -80,13 +80,24 @@ def _header_footer_sql(view: str) -> str:
 
 @query(_first_lines_sql("corpus"))
 def structure_first_lines(v):
-    return profiling.first_lines(v.corpus)
+    return _whole_lines(profiling.first_lines(v.corpus))
+
+
+def _whole_lines(lines):
+    """Lines of the test corpora are below the size of a part."""
+    return lines.select("label", "line_no", "line")
 
 
 @query(_first_lines_sql("line_corpus"))
 def structure_first_lines_across_documents(v):
     """Most documents of this view are one line, so lines span documents."""
-    return profiling.first_lines(v.line_corpus)
+    return _whole_lines(profiling.first_lines(v.line_corpus))
+
+
+@query(_first_lines_sql("flat_corpus"))
+def structure_first_lines_without_feeds(v):
+    """Two labels of this view have no line feed at all, two have a single one, in a late document."""
+    return _whole_lines(profiling.first_lines(v.flat_corpus))
 
 
 @query(_header_footer_sql("line_corpus"))

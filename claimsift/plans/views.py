@@ -118,6 +118,9 @@ FROM documents d {method_fan}"""
     views["line_corpus"] = """
 SELECT id, ground_truth AS label, CASE WHEN id % 3 = 0 THEN raw_text ELSE replace(raw_text, chr(10), ' ') END AS text FROM claims"""
 
+    views["flat_corpus"] = """
+SELECT id, ground_truth AS label, CASE WHEN id % 6 IN (0, 1) OR (id % 6 IN (2, 3) AND id < 150) THEN replace(raw_text, chr(10), ' ') ELSE raw_text END AS text FROM claims"""
+
     views["docs_existing"] = """
 SELECT id, file_name, file_location, raw_text, lower(raw_text) AS cleaned_text, 'Unknown' AS classified_category,
        CAST(0 AS DOUBLE) AS confidence, CAST(NULL AS STRING) AS high_confidence_classes, CAST(NULL AS STRING) AS process_metadata,

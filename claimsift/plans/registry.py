@@ -28,6 +28,17 @@ def query(sql: str | None = None, name: str | None = None, **ctes: str):
     return register
 
 
+def same_as(other: str):
+    """Register another way to the result of the query ``other``."""
+
+    def register(f: Callable[[Views], DataFrame]):
+        query(name=f.__name__)(f)
+        ORACLES[f.__name__] = ORACLES[other]
+        return f
+
+    return register
+
+
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     """Doubles to six places, as in the oracle SQL."""
     return df.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})

@@ -12,8 +12,10 @@ from claimsift.operators.rules import classify_by_rules
 from claimsift.plans import reply_queries, rule_queries, vector_queries
 from claimsift.plans.registry import query, rounded
 from claimsift.sources.interchange import shared_folder
+from claimsift.sources.partitioned_store import PartitionedStore
 from claimsift.sources.store import DocumentStore
-from claimsift.streaming.ingest import ingest
+from claimsift.streaming.batches import STAGES, BatchSinks, ingest_batches
+from claimsift.streaming.ingest import classify_batch, ingest
 from claimsift.streaming.ingest import process_documents as process_batch
 
 RULE = rule_queries.CTES
@@ -350,22 +352,80 @@ def process_documents(v):
     """One batch through extraction, cleaning, classification and the store, with given seconds and costs."""
     n = F.col("n_chars")
     sizes = v.documents.select(F.col("doc_id").alias("id"), (n % 97 / 4).alias("ocr_seconds"), (n % 89 / 1000).alias("cost"))
-    files = v.claims.select("id", "file_location", F.col("raw_text").alias("content"), F.col("id").alias("seq")).join(sizes, "id")
-    store = DocumentStore(v.spark, f"{shared_folder(v.spark)}/store")
-    process_batch(files, F.col("content"), store, 0)
+    claims = v.raw_claims.select("id", "file_location", F.col("raw_text").alias("content"), F.col("id").alias("seq"))
+    store = PartitionedStore(v.spark, f"{shared_folder(v.spark)}/store")
+    process_batch(claims.join(sizes, "id"), F.col("content"), store, 0)
     return _stored_rows(store)
 
 
+def _arriving(v):
+    """The claims of a documents file that arrives as a stream."""
+    files = v.spark.readStream.schema(v.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
+    return v.claims_from(files).select("file_name", "file_location", "raw_text", F.col("id").alias("seq"))
+
+
 @query(_STORED.format(ocr="0::DOUBLE", cost="0::DOUBLE"), **RULE)
 def stream_ingest(v):
     """The documents file arrives as a stream; the store then holds every document once."""
     folder = shared_folder(v.spark)
-    schema = v.documents.schema
-    files = v.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
-    incoming = v.claims_from(files).select(
-        "file_name", "file_location", "raw_text", F.col("id").alias("seq")
-    )
+    store = PartitionedStore(v.spark, f"{folder}/store")
+    process = lambda batch: classify_batch(v.spread(batch, "seq"))
+    ingest(_arriving(v), store, f"{folder}/progress", process).awaitTermination()
+    return _stored_rows(store)
+
+
+@query(_STORED.format(ocr="0::DOUBLE", cost="0::DOUBLE"), **RULE)
+def stream_ingest_merged_on_read(v):
+    """The same into the store that only appends; its batches are merged when it is read."""
+    folder = shared_folder(v.spark)
     store = DocumentStore(v.spark, f"{folder}/store")
-    ingest(incoming, store, f"{folder}/progress").awaitTermination()
+    process = lambda batch: classify_batch(v.spread(batch, "seq"))
+    ingest(_arriving(v), store, f"{folder}/progress", process).awaitTermination()
     store.compact()
     return _stored_rows(store)
+
+
+def _with_rejects(v):
+    """A stream through all stages, in which some documents have no text, a blank one, or one of marks only."""
+    folder, key = shared_folder(v.spark), F.col("seq")
+    text = F.when(key % 13 == 0, None).when(key % 17 == 0, "  ").when(key % 19 == 0, "*** ///").otherwise(F.col("raw_text"))
+    store, sinks = PartitionedStore(v.spark, f"{folder}/store"), BatchSinks(v.spark, f"{folder}/sinks")
+    first, check, column = STAGES[0]
+    stages = [(first, lambda batch: check(v.spread(batch, "seq")), column), *STAGES[1:]]
+    ingest_batches(_arriving(v).withColumn("raw_text", text), store, sinks, f"{folder}/progress", stages).awaitTermination()
+    return store, sinks
+
+
+REJECTS = {
+    **RULE,
+    "arrived": """
+SELECT d.doc_id AS seq, r.file_name, r.predicted_class, length(l.raw_text) AS raw_length, length(c.cleaned_text) AS clean_length,
+       CASE WHEN d.doc_id % 13 = 0 THEN 'no text' WHEN d.doc_id % 17 = 0 THEN 'blank text' WHEN d.doc_id % 19 = 0 THEN 'nothing left after cleaning'
+            WHEN r.predicted_class = 'Unknown' THEN 'no class' END AS reason
+FROM documents d JOIN rule_predictions r ON r.id = d.doc_id JOIN claims l ON l.id = d.doc_id JOIN cleaned c ON c.id = d.doc_id""",
+}
+
+
+@query("""SELECT file_name, seq, CASE reason WHEN 'no class' THEN 'Classification' WHEN 'nothing left after cleaning' THEN 'Text Cleaning' ELSE 'Text' END AS stage, reason
+FROM arrived WHERE reason IS NOT NULL""", **REJECTS)
+def stream_dead_letters(v):
+    _, sinks = _with_rejects(v)
+    return sinks.dead_letters().select("file_name", "seq", "stage", "reason")
+
+
+@query("""
+SELECT 'Text' AS stage, 0 AS place, count(*) AS documents, count(*) FILTER (reason IN ('no text', 'blank text')) AS rejected,
+       coalesce(sum(CASE WHEN seq % 19 = 0 THEN 7 ELSE raw_length END) FILTER (coalesce(reason, '') NOT IN ('no text', 'blank text')), 0)::BIGINT AS characters, true AS timed FROM arrived
+UNION ALL
+SELECT 'Text Cleaning', 1, count(*) FILTER (coalesce(reason, '') NOT IN ('no text', 'blank text')), count(*) FILTER (reason = 'nothing left after cleaning'),
+       coalesce(sum(clean_length) FILTER (coalesce(reason, 'no class') = 'no class'), 0)::BIGINT, true FROM arrived
+UNION ALL
+SELECT 'Classification', 2, count(*) FILTER (coalesce(reason, 'no class') = 'no class'), count(*) FILTER (reason = 'no class'),
+       coalesce(sum(clean_length) FILTER (reason IS NULL), 0)::BIGINT, true FROM arrived""", **REJECTS)
+def stage_log(v):
+    """What each stage of the stream did; of the seconds only that they are not negative is compared."""
+    store, sinks = _with_rejects(v)
+    sums = sinks.stage_log().groupBy("stage", "place").agg(
+        *[F.sum(c).alias(c) for c in ("documents", "rejected", "characters")], F.every(F.col("seconds") >= 0).alias("timed")
+    )
+    return sums

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from claimsift.fixed_values import DEFAULT_RULES
 from claimsift.operators import rules as rule_ops
 from claimsift.operators.ordering import positional_slice
-from claimsift.plans.registry import query, quoted, rounded
+from claimsift.plans.registry import query, quoted, rounded, same_as
 from claimsift.plans.views import METHODS
 from claimsift.sources import files, interchange, store
+from claimsift.sources.partitioned_store import PartitionedStore
 
 
 @query("SELECT id, regexp_extract(file_location, '[^/]*$') AS file_name, file_location FROM claims")
@@ -141,6 +142,19 @@ def upsert_documents(v):
     return store.upsert_documents(v.docs_existing, v.docs_batch)
 
 
+def _upserted(v, merge):
+    """The existing table at rest in parts, after the batch."""
+    kept = PartitionedStore(v.spark, interchange.shared_folder(v.spark))
+    kept.load(v.docs_existing)
+    kept.append(v.docs_batch, 0, merge)
+    return kept.current()
+
+
+@same_as("upsert_documents")
+def upsert_partitioned(v):
+    return _upserted(v, store.upsert_documents)
+
+
 @query("""
 SELECT coalesce(t.id, n.new_id) AS id, coalesce(t.file_name, s.file_name) AS file_name,
        coalesce(t.file_location, s.file_location) AS file_location,
@@ -162,6 +176,11 @@ def partial_upsert_documents(v):
     return store.partial_upsert_documents(v.docs_existing, v.docs_batch)
 
 
+@same_as("partial_upsert_documents")
+def partial_upsert_partitioned(v):
+    return _upserted(v, store.partial_upsert_documents)
+
+
 _RULE_ROWS = ", ".join(
     f"({quoted(c)}, {quoted(f)}, {i}, {quoted(x)})"
     for c, families in DEFAULT_RULES.items()

@@ -27,26 +27,27 @@ BATCH_COLUMNS = ["file_name", "file_location", *OVERWRITTEN, "seq"]
 _COLUMNS = [field.split()[0] for field in DOCUMENT_SCHEMA.split(", ")]
 
 
-def _new_ids(target: DataFrame, batch: DataFrame) -> DataFrame:
+def new_ids(target: DataFrame, batch: DataFrame, last_id: Column | None = None) -> DataFrame:
     """(file_name, new_id) for names not in the target, in order of first arrival.
 
-    Works on names and sequence numbers only.
+    Works on names and sequence numbers only. Ids follow ``last_id``, by default the target's highest.
     """
     arrived = batch.groupBy("file_name").agg(F.min("seq").alias("_first"))
     fresh = arrived.join(target.select("file_name"), "file_name", "left_anti")
-    last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    if last_id is None:
+        last_id = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     return row_numbers(fresh, "_first", "_n").select(
         "file_name", (F.col("_n") + last_id).alias("new_id")
     )
 
 
-def _merge(target: DataFrame, batch: DataFrame, source: DataFrame, values: dict[str, Column]):
+def _merge(target: DataFrame, ids: DataFrame, source: DataFrame, values: dict[str, Column]):
     """Full outer join of the table and one row per batch file name.
 
     New ids are added to the batch side before the join, so the merged rows with their
     texts are not joined again.
     """
-    source = source.join(_new_ids(target, batch), "file_name", "left")
+    source = source.join(ids, "file_name", "left")
     known = F.col("t.file_name").isNotNull()
     return (
         target.alias("t")
@@ -66,8 +67,8 @@ def _merge(target: DataFrame, batch: DataFrame, source: DataFrame, values: dict[
     )
 
 
-def upsert_documents(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """The table after the batch.
+def upsert_documents(target: DataFrame, batch: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The table after the batch; ``ids`` gives (file_name, new_id) if they were taken before.
 
     Known names keep id, file_location and ground_truth and take everything else
     from the last batch row (highest ``seq``); new names are inserted with the
@@ -82,10 +83,10 @@ def upsert_documents(target: DataFrame, batch: DataFrame) -> DataFrame:
     values = {
         c: F.when(given, F.col(f"s.last.{c}")).otherwise(F.col(f"t.{c}")) for c in OVERWRITTEN
     }
-    return _merge(target, batch, source, values)
+    return _merge(target, ids or new_ids(target, batch), source, values)
 
 
-def partial_upsert_documents(target: DataFrame, batch: DataFrame) -> DataFrame:
+def partial_upsert_documents(target: DataFrame, batch: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """As :func:`upsert_documents`, but empty strings, 0.0 and NULL overwrite nothing."""
     def filled(c: str) -> Column:
         empty = F.lit(0.0) if c == "confidence" else F.lit("")
@@ -103,7 +104,7 @@ def partial_upsert_documents(target: DataFrame, batch: DataFrame) -> DataFrame:
         )
         for c in PARTLY_OVERWRITTEN
     }
-    return _merge(target, batch, source, values)
+    return _merge(target, ids or new_ids(target, batch), source, values)
 
 
 class DocumentStore:

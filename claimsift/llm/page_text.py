@@ -1,13 +1,13 @@
 """Main text of web pages, with removal of a site's templates.
 
-A page is parsed into a tree. Every element subtree has a digest of its tags, classes and text; Spark counts on how many
-different pages of a host each digest occurs, and subtrees that recur on many of them are deleted. Of what is left, the
-content root is taken (the article, else main, else the body) without elements that are no article text by their tag,
-class, id or role, and its blocks are joined in page order. A class or id says so only if all its words do, or stand
-for a box or place, and never where the page would lose its only article, main or first heading.
+A page is parsed into a tree. Every element subtree of its content root (the article, else main, else the body) has a
+digest of its tags, classes and text; Spark counts on how many different pages of a host each digest occurs, and subtrees
+that recur are deleted. What is left, without elements that are no article text by their tag, class, id or role, is joined
+in page order. A class or id says so only if all its words do, or stand for a box or place, never on a heading, paragraph or
+cell, and never where the page would lose its only article, main or first heading.
 
 Inside an article or main only containers can be a template: a paragraph, heading or list item of an article is text
-even if many articles share it. Copies of a whole page count as one page.
+even if many articles share it. Pages that say the same count as one, however their menus differ.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimsift.functions import bloom
 from claimsift.llm.common import cut, map_chunks, texts_of
 
 # Element names of HTML, and words in class and id that mark an element as no article text.
@@ -41,7 +42,7 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation"
     " menu breadcrumb breadcrumbs pagination pager sidebar widget related recommended recommendations cookie cookies consent"
     " gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing"
-    " social comment comments commentlist commentform commentbox commentsection disqus replies respond footer header"
+    " social comment comments commentlist commentform commentbox commentsection disqus replies responses respond footer header"
     " masthead copyright adbox adslot adunit adbanner cookiebar cookiebanner topnav sidenav subnav sitenav mainnav mainmenu"
     " submenu toolbar skiplink tagcloud blogroll paywall guestbook".split()
 )
@@ -50,7 +51,11 @@ ARTICLE_HINTS = frozenset("ad advert advertisement sponsored promo comment comme
 NEUTRAL = frozenset(
     "a the site main page post posts article articles entry box block area section wrap wrapper container inner outer row col column group list"
     " item items link links button buttons bar unit slot panel top bottom left right primary secondary global local title form icons"
-    " count policy desktop mobile header".split()
+    " count policy desktop mobile header thread".split()
+)
+#: Elements that are text whatever their class or id says.
+TEXT_TAGS = frozenset(
+    "html body main h1 h2 h3 h4 h5 h6 hgroup p blockquote pre code figure figcaption td th tr tbody thead dt dd b i em strong mark time".split()
 )
 HEADS = frozenset("article main h1".split())
 ARTICLE_WORDS = frozenset("article post entry story content page has with no without".split())
@@ -75,8 +80,8 @@ CLOSES = {
     "th": (CELLS, frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 } | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])))
-#: Parts that the pages of a host are dealt to.
-HOST_SALTS = 64
+#: Share of a page's text that tells whether two pages say the same.
+MOST_TEXT = 0.6
 SCOPE_ENDS = frozenset("table td th caption".split())
 END_SCOPE = {"table": frozenset()} | dict.fromkeys("caption tbody thead tfoot tr td th".split(), frozenset(["table"]))
 
@@ -110,7 +115,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
     hints = frozenset()
     if tag == "article":
         hints = ARTICLE_HINTS
-    elif tag not in ("html", "body", "main"):
+    elif tag not in TEXT_TAGS:
         hints = HINTS - {"header", "sidebar"} if words & ARTICLE_WORDS else HINTS
     hinted = not no_text and any(_says(token, hints) for token in classes.split())
     return " ".join(classes.split()), no_text or hinted, hinted
@@ -287,30 +292,52 @@ def content_roots(root: Element) -> list[Element]:
 
 
 def possible_templates(page: str) -> tuple[int, set[int]]:
-    """Digest of the page, and of the subtrees that would be deleted if they recur on the host."""
+    """Digest of what the page says, and of the subtrees of its content that would be deleted if they recur on the host.
+
+    Copies of an article are one page whatever menus stand around it, so the first digest is that of the longest blocks
+    that make up most of the text.
+    """
     root = parse(page)
     digest(root)
     roots = content_roots(root)
-    in_article = {id(r) for r in roots if r.tag in ("article", "main")}
     found: set[int] = set()
-    depth = 0  # inside how many article roots
-    for part, entering in walk(root):
-        if isinstance(part, str):
-            continue
-        if id(part) in in_article:
-            depth += 1 if entering else -1
-        elif entering and part.has_text and not part.above_root and part is not root and part.tag not in ("html", "body", "head"):
-            if not depth or part.tag in CONTAINERS:
+    for content in roots:
+        in_article = content.tag in ("article", "main")
+        steps, skip = walk(content), None
+        while True:
+            try:
+                part, entering = steps.send(skip)
+            except StopIteration:
+                break
+            skip = None
+            if isinstance(part, str) or not entering or part is content:
+                continue
+            skip = part.no_text
+            if part.has_text and not part.no_text and (not in_article or part.tag in CONTAINERS) and part.tag not in ("html", "body", "head"):
                 found.add(part.digest)
-    return root.digest, found
+    if not found:
+        return 0, found
+    blocks = sorted(set(text_blocks(roots)), key=lambda b: (-len(b), b))
+    said, wanted = [], MOST_TEXT * sum(map(len, blocks))
+    for block in blocks:
+        if wanted <= 0:
+            break
+        said.append(block)
+        wanted -= len(block)
+    return xxhash.xxh64_intdigest("\n".join(said).encode()), found
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     root = parse(page)
     if templates:
         digest(root)
+    return "\n".join(text_blocks(content_roots(root), templates))
+
+
+def text_blocks(roots: list[Element], templates: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """The blocks of the content roots in page order, without templates and elements that are no text."""
     blocks: list[str] = []
-    for content in content_roots(root):
+    for content in roots:
         in_article = content.tag in ("article", "main")
         block: list[str] = []
         steps, skip = walk(content), None
@@ -332,63 +359,63 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
                 template = part.digest in templates and (not in_article or part.tag in CONTAINERS)
                 skip = part.no_text or template or (part.tag == "header" and not in_article)
         blocks.append("".join(block))
-    return "\n".join(b for b in (" ".join(block.split()) for block in blocks) if b)
+    return [b for b in (" ".join(block.split()) for block in blocks) if b]
 
 
 def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)
 
 
-def site_templates(pages: DataFrame, url_col: str, html_col: str, min_pages: int, min_share: float) -> DataFrame:
-    """(host, templates): digests of subtrees on at least ``min_pages`` and ``min_share`` of the host's different pages.
+def _signed(digests: list[int]) -> pa.Array:
+    return pa.array([d - (1 << 64) if d >> 63 else d for d in digests], pa.int64())
 
-    The share bounds the list of a host: it is at most the mean number of subtrees of a page divided by the share.
+
+def page_templates(pages: DataFrame, min_pages: int) -> DataFrame:
+    """(page, page2, templates): digests of the subtrees of a page that stand on ``min_pages`` different pages of its host.
+
+    ``pages`` is (page, page2, host, html), the first two of them hashes of the page. Digests are counted and go back to
+    their pages as rows of a few numbers; lists are only made for a single page.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, bodies, digests = [], [], []
-        for host, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+        rows, bodies, digests = [], [], []
+        for row, page in enumerate(texts_of(batch.column(3))):
             body, found = possible_templates(page)
-            hosts += [host] * (len(found) + 1)
-            bodies += [body] * (len(found) + 1)
-            digests += [None, *found]  # the null row counts the page itself
-        signed = [None if d is None else d - (1 << 64) if d >> 63 else d for d in digests]
-        bodies = [b - (1 << 64) if b >> 63 else b for b in bodies]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(signed, pa.int64())], names=["host", "body", "digest"]
-        )
-
-    rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    marks = map_chunks(rows, work, "host string, body bigint, digest bigint", "html").distinct()
-    counts = cut(marks.groupBy("host", "digest").agg(F.count("*").alias("n_pages")))
-    totals = counts.filter("digest IS NULL").select("host", F.col("n_pages").alias("total"))
-    recurring = (
-        counts.filter("digest IS NOT NULL")
-        .filter(F.col("n_pages") >= min_pages)
-        .join(totals, "host")
-        .filter(F.col("n_pages") >= F.col("total") * min_share)
-    )
-    return cut(recurring.groupBy("host").agg(F.collect_set("digest").alias("templates")))
+            rows += [row] * len(found)
+            bodies += [body] * len(found)
+            digests += found
+        place = pa.array(rows, pa.int64())
+        columns = [*(batch.column(k).take(place) for k in range(3)), _signed(bodies), _signed(digests)]
+        return pa.RecordBatch.from_arrays(columns, names=["page", "page2", "host", "body", "digest"])
 
+    marks = cut(map_chunks(pages, work, "page bigint, page2 bigint, host string, body bigint, digest bigint", "html").distinct())
+    counts = marks.select("host", "digest", "body").distinct().groupBy("host", "digest").agg(F.count("*").alias("n_pages"))
+    recurring = cut(counts.filter(F.col("n_pages") >= min_pages).select("host", "digest"))
+    return cut(marks.join(recurring, ["host", "digest"]).groupBy("page", "page2").agg(F.collect_set("digest").alias("templates")))
 
-def extract_main_text(
-    pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int = 5, min_share: float = 0.1
-) -> DataFrame:
+
+def extract_main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int = 5) -> DataFrame:
     """(id, url, text, n_chars) of every page.
 
-    Null or empty html gives empty text of 0 characters. A null url, or one without a host, belongs to the host "".
-    Repeated rows stay repeated and count as one page for the templates. Truncated markup is read as far as it goes. An
-    empty table gives an empty table. Only id, url and html are read.
+    A subtree of the content is deleted if it stands on ``min_pages`` different pages of the host, however many pages the
+    host has. Null or empty html gives empty text of 0 characters. A null url, or one without a host, belongs to the host
+    "". Repeated rows stay repeated and count as one page for the templates, as do copies of an article. Truncated markup
+    is read as far as it goes. An empty table gives an empty table. Only id, url and html are read; only pages with
+    something to delete, and a few others, are shuffled.
     """
-    # every host's list goes to all salts, its pages to one each, so a host with very many pages spreads over tasks
-    templates = site_templates(pages, url_col, html_col, min_pages, min_share).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
-    )
     url, html_text = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
-    salt = F.pmod(F.xxhash64(html_text, url), F.lit(HOST_SALTS)).cast("int")
-    with_templates = pages.select(
-        F.col(f"`{id_col}`").alias("id"), url.alias("url"), html_text.alias("html"), host_of(url).alias("host"), salt.alias("salt")
-    ).join(templates, ["host", "salt"], "left").select("id", "url", "html", "templates")
+    rows = pages.select(
+        F.col(f"`{id_col}`").alias("id"), url.alias("url"), html_text.alias("html"),
+        F.xxhash64(url, html_text).alias("page"), F.xxhash64(html_text, F.lit(1), url).alias("page2"),
+    )
+    templates = page_templates(rows.select("page", "page2", host_of(F.col("url")).alias("host"), "html"), min_pages)
+    none = F.lit(None).cast("array<bigint>").alias("templates")
+    if templates.isEmpty():
+        with_templates = rows.select("id", "url", "html", none)
+    else:
+        may_have = bloom.may_be_key(templates, "page")
+        joined = rows.filter(may_have).join(templates, ["page", "page2"], "left").select("id", "url", "html", "templates")
+        with_templates = joined.unionByName(rows.filter(~may_have).select("id", "url", "html", none))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [

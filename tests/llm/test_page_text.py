@@ -82,6 +82,42 @@ def test_templates_of_a_host_are_removed(spark):
     assert got[210] == "Join our club\nOwn text 7 of copies\nShared words"  # copies of a page count as one
 
 
+ARTICLE = "<div class='entry'><p>A council has voted to mend the old bridge before the winter comes.</p><p>Work begins in May.</p></div>"
+
+
+@pytest.mark.parametrize("page", ["<body><nav>menu {0}</nav><article>" + ARTICLE + "</article></body>", "<body><ul><li>Home {0}<li>News {0}</ul>" + ARTICLE + "</body>"])
+def test_copies_with_other_menus_keep_the_article(spark, page):
+    frame = spark.createDataFrame([(k, f"https://a.example/{k}", page.format(k)) for k in range(8)], "page_id long, url string, html string")
+    texts = [r["text"] for r in extract_main_text(frame, "page_id", "url", "html").collect()]
+    assert len(texts) == 8 and all("voted to mend the old bridge" in t and t.endswith("Work begins in May.") for t in texts)
+
+
+@pytest.mark.parametrize("n_pages", [5, 49, 60, 600])
+def test_a_box_on_five_pages_goes_however_large_the_host(spark, n_pages):
+    page = "<body>{box}<p>Page {k} tells of its own matter, number {k}, at some length.</p></body>"
+    box = "<div class='join'><span>Join our club</span></div>"
+    rows = [(k, f"https://a.example/{k}", page.format(k=k, box=box if k < 5 else "")) for k in range(n_pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in extract_main_text(frame, "page_id", "url", "html").collect()}
+    assert texts == {k: f"Page {k} tells of its own matter, number {k}, at some length." for k in range(n_pages)}
+
+
+@pytest.mark.parametrize("name", "section-header header box-header column-header main-banner comments-policy related-items menu widget notice social".split())
+def test_headings_and_paragraphs_are_text_whatever_their_class(name):
+    assert main_text(f"<article><h2 class='{name}'>Head</h2><p class='{name}'>text</p><p>more</p></article>") == "Head\ntext\nmore"
+
+
+@pytest.mark.parametrize("box", ["<section class='responses'>{}</section>", "<div id='disqus_thread'>{}</div>", "<div class='comments'>{}</div>"])
+def test_reader_comments_go(box):
+    assert main_text("<article><p>text</p>" + box.format("<p>first!</p>") + "</article>") == "text"
+
+
+def test_very_long_pages(spark):
+    frame = spark.createDataFrame([(1, "https://a.b/", "<article>" + "<p>word " * 300_000 + "</article>"), (2, "https://a.b/", "x" * 2_000_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["n_chars"] for r in extract_main_text(frame, "page_id", "url", "html").collect()}
+    assert got == {1: 5 * 300_000 - 1, 2: 2_000_000}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://a.b/", "<p>x"), (3, "http://a.b/", "<p>x"), (None, "HTTP://U@A.B:8/p", "<p>é</p>")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")

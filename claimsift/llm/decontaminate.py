@@ -4,13 +4,13 @@ A text becomes the hashes of its words. A seed is the hash of the words that a f
 words it skips may differ. The two masks together hit every stretch of 16 words of which at most 3 differ, wherever
 they stand (tests/llm tries all ways). An item of fewer than 16 words is cut into one block more than words of it may
 differ, so one block is whole in every copy; its seeds are its blocks, and documents have seeds of all runs of such
-lengths. Characters of scripts written without spaces are words of their own. Seeds of documents are joined with seeds of the benchmark; every hit gives a
-document, an item and an offset between them, and around the hit the aligned words are compared: an overlap counts if
-some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
+lengths. Characters of scripts written without spaces are words of their own. Seeds of documents are joined with seeds of
+the benchmark; every hit gives a document, an item and an offset between them, and around the hit the aligned words are
+compared: an overlap counts if some stretch of 16 words (the whole item if it is shorter) agrees in 80 % of the words.
 
 Of the document seeds only those leave the scan whose words at the places common to the masks are flagged as words of
-an item, and that pass a Bloom filter of the benchmark seeds. Flags and filter have fixed sizes: a larger benchmark makes
-them pass more, never miss any.
+an item, and that pass a Bloom filter of the benchmark seeds. The flags have a fixed size and the filter a largest one: a
+larger benchmark makes them pass more, never miss any. Both come into the rows from subqueries, not as literals of the plan.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimsift.functions import bloom
 from claimsift.llm.common import cut
 
 #: Words of a stretch that each mask selects.
@@ -33,9 +34,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 COMMON = sorted(set.intersection(*map(set, MASKS)))
 #: Low bits of a word's hash that the flags of item words tell apart.
 FLAG_BITS = 16
-#: Bits of the filter: 2 ** FILTER_BITS, in words of 64; three bits are set for a seed.
-FILTER_BITS = 20
-PROBES = (0, 21, 42)
+#: Bits of the filter for a seed, and its most bits as a power of two; three bits are set for a seed.
+BITS_PER_SEED, FILTER_BITS = 16, 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -98,27 +98,21 @@ def _run_seeds(hashes: Column, lengths: list[int], starts: Column, passes) -> Co
 
 
 def word_flags(items: DataFrame) -> Column:
-    """A constant array of booleans by the low bits of a word's hash: whether a word of an item has them."""
-    low = F.col("word").bitwiseAND(F.lit(2**FLAG_BITS - 1))
-    rows = items.select(F.explode("item_words").alias("word")).select(low.cast("int").alias("k")).distinct().collect()
-    known = {r["k"] for r in rows}
-    return F.split(F.lit(",".join("1" if k in known else "0" for k in range(2**FLAG_BITS))), ",").cast("array<boolean>")
-
-
-def _filter_word(seed: Column, probe: int) -> Column:
-    return F.shiftrightunsigned(seed, probe + 6).bitwiseAND(F.lit(2 ** (FILTER_BITS - 6) - 1)).cast("int")
-
+    """A scalar, an array of booleans by the low bits of a word's hash: whether a word of an item has them.
 
-def _filter_bit(seed: Column, probe: int) -> Column:
-    return F.shiftrightunsigned(seed, probe).bitwiseAND(F.lit(63)).cast("int")
+    It is the result of a subquery, as is the filter, so that neither stands in a plan.
+    """
+    low = F.col("word").bitwiseAND(F.lit(2**FLAG_BITS - 1))
+    known = items.select(F.explode("item_words").alias("word")).select(low.alias("id")).distinct().withColumn("known", F.lit(True))
+    every = items.sparkSession.range(2**FLAG_BITS).join(known, "id", "left")
+    rows = F.sort_array(F.collect_list(F.struct("id", F.coalesce("known", F.lit(False)).alias("known"))))
+    return every.agg(F.transform(rows, lambda row: row["known"])).scalar()
 
 
-def bloom_filter(seeds: DataFrame) -> Column:
-    """The filter as a constant array of longs. Its size does not depend on the number of seeds."""
-    probes = F.array(*[F.struct(_filter_word(F.col("seed"), p).alias("word"), _filter_bit(F.col("seed"), p).alias("bit")) for p in PROBES])
-    words = seeds.select(F.explode(probes).alias("p")).groupBy("p.word").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits")).collect()
-    bits = dict.fromkeys(range(2 ** (FILTER_BITS - 6)), 0) | {r["word"]: r["bits"] for r in words}
-    return F.split(F.lit(",".join(str(bits[k]) for k in sorted(bits))), ",").cast("array<bigint>")
+def seed_filter(seeds: DataFrame) -> tuple[Column, int]:
+    """(the filter of ``seed`` as a scalar array of longs, its bits as a power of two)."""
+    bits = max(min((BITS_PER_SEED * seeds.count()).bit_length(), FILTER_BITS), 6)
+    return bloom.bit_array(seeds.select(F.explode(F.array(*bloom.probe_places(F.col("seed"), bits))).alias("place")), bits), bits
 
 
 def contaminated(
@@ -145,21 +139,18 @@ def contaminated(
         hashed_items.select("item_row", F.explode(F.when(F.size("item_words") < stretch, short_seeds).otherwise(long_seeds)).alias("s"))
         .select("item_row", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     )
-    wanted = bloom_filter(item_seeds.select("seed").distinct())
-
-    flags = word_flags(hashed_items)
+    wanted, bits = seed_filter(item_seeds.select("seed").distinct())
     sizes = {r["n"] for r in hashed_items.filter(F.size("item_words") < stretch).select(F.size("item_words").alias("n")).distinct().collect()}
     lengths = sorted({n for size in sizes for _, n in blocks(size, agreeing)})  # none, if no item is that short
 
     def known(start: Column) -> Column:
-        return F.get(flags, F.get("words", start).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int"))
+        return F.get("flags", F.get("words", start).bitwiseAND(F.lit(2**FLAG_BITS - 1)).cast("int"))
 
     def flagged(start: Column) -> Column:
         return reduce(and_, [known(start + place) for place in COMMON])
 
     def passes(seed: Column) -> Column:
-        tests = [F.getbit(F.get(wanted, _filter_word(seed, p)), _filter_bit(seed, p)) == 1 for p in PROBES]
-        return reduce(and_, tests)
+        return reduce(and_, [bloom.is_set(F.col("wanted"), place) for place in bloom.probe_places(seed, bits)])
 
     # the row number is not deterministic to the optimizer, which therefore leaves the filter on hits above it and
     # does not compute the hits twice
@@ -170,8 +161,8 @@ def contaminated(
         run_starts = F.filter(every, lambda start: reduce(and_, [known(start + k) for k in range(lengths[0])]))
         document_seeds = F.concat(document_seeds, _run_seeds(F.col("words"), lengths, F.col("run_starts"), passes))
     hit_docs = cut(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"))
-        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"), run_starts.alias("run_starts"))
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("words"), word_flags(hashed_items).alias("flags"))
+        .select("doc_id", "words", F.filter(_starts(F.col("words")), flagged).alias("starts"), run_starts.alias("run_starts"), wanted.alias("wanted"))
         .select("doc_id", "words", document_seeds.alias("hits"), F.monotonically_increasing_id().alias("doc_row"))
         .filter(F.size("hits") > 0)
     )

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.llm import decontaminate
+from claimsift.llm.common import cut
 from claimsift.llm.decontaminate import AGREEING, MASKS, STRETCH, blocks, contaminated
 from claimsift.llm.queries import QUERIES
 
@@ -107,6 +108,18 @@ def test_only_built_in_expressions(spark, small):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_flags_and_filter_stand_in_no_plan(spark, small, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df)
+
+    monkeypatch.setattr(decontaminate, "cut", written)
+    QUERIES["op7_spaced_seeds"](spark, small)
+    assert plans and max(map(len, plans)) < 100_000
+
+
 def test_edges(spark, documents):
     short, single = "a b c d e f g h", "same " * 30
     docs = documents([(1, None), (2, ""), (3, ITEM), (3, ITEM), (None, ITEM), (4, short), (5, single), (6, "a b c d e f g h i"), (7, ITEM * 2)])

@@ -29,7 +29,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "claimsift-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

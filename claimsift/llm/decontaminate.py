@@ -30,6 +30,8 @@ MASKS = ((0, 2, 3, 6, 7, 8), (0, 1, 2, 7, 9, 10))
 STRETCH, AGREEING = 16, 0.8
 #: Scripts that put no space between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Ranges that hold all characters of these scripts, and are quick to look for.
+MAY_BE_UNSPACED = r"[\x{E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"
 #: Places that all masks select: a seed can only match where an item has words with such hashes there.
 COMMON = sorted(set.intersection(*map(set, MASKS)))
 #: Low bits of a word's hash that the flags of item words tell apart.
@@ -40,7 +42,7 @@ BITS_PER_SEED, FILTER_BITS = 16, 20
 
 def word_hashes(text: Column) -> Column:
     lower = F.lower(F.coalesce(text, F.lit("")))
-    spaced = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    spaced = F.when(lower.rlike(MAY_BE_UNSPACED) & lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
     words = F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 

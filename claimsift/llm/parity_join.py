@@ -315,7 +315,14 @@ def pruned(lists: DataFrame) -> DataFrame:
                     kept.append(left)
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(kept, pa.list_(LIST))], names=["owner", "lists"])
 
-    return cut(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
+    return _cut_alone(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
+
+
+def _cut_alone(df: DataFrame) -> DataFrame:
+    """The rows written, and the shuffles before them removed at once: they are of the size of the corpus."""
+    out = cut(df)
+    release(df.sparkSession)
+    return out
 
 
 def _array(value: pa.Scalar) -> np.ndarray:
@@ -416,17 +423,14 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Band
     return dealt.mapInArrow(work, "u bigint, v bigint")
 
 
-def similar_sets(marked: DataFrame, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
-    """(node, root) of the keys of sets that are linked to a smaller key."""
-    lists = cut(marked.filter("lists IS NOT NULL").groupBy("owner").agg(F.first("lists").alias("lists")))
-    for _ in range(PRUNINGS):
-        lists = pruned(lists)
+def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
+    """(node, root) of the keys of sets that are linked to a smaller key; ``lists`` has (owner, lists)."""
     rows = rows_of(lists)
-    pairs = cut(counted_pairs(rows))
+    pairs = _cut_alone(counted_pairs(rows))
     large_groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOTS + 1).select("sig"))
-    large = cut(rows.join(large_groups, "sig").select("sig", "owner", "tag"))
+    large = _cut_alone(rows.join(large_groups, "sig").select("sig", "owner", "tag"))
     owners = cut(pairs.select(F.explode(F.array("u", "v")).alias("owner")).unionByName(large.select("owner")).distinct())
-    sets = cut(wanted_sets(texts, size, owners))
+    sets = _cut_alone(wanted_sets(texts, size, owners))
     roots = cut(components(cut(verified(pairs, sets, percent))))
     if large.isEmpty():
         return roots
@@ -457,10 +461,17 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     """
     bands = Bands(percent)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    shared = cut(shared_words(texts, size, bands))
-    release(docs.sparkSession)  # the words of all sketches are by far the largest shuffle
-    marked = cut(marked_docs(docs, id_col, text_col, size, bands, word_filter(shared)))
-    roots = similar_sets(marked, texts, size, percent, bands)
+    shared = _cut_alone(shared_words(texts, size, bands))
+    with_lists = cut(marked_docs(docs, id_col, text_col, size, bands, word_filter(shared)))
+    del shared
+    lists = cut(with_lists.filter("lists IS NOT NULL").groupBy("owner").agg(F.first("lists").alias("lists")))
+    marked = cut(with_lists.select("id", "n", "key"))
+    del with_lists
+    release(docs.sparkSession)
+    for _ in range(PRUNINGS):
+        lists = pruned(lists)
+    release(docs.sparkSession)
+    roots = similar_sets(lists, texts, size, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
     rooted = cut(least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")

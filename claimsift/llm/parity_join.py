@@ -20,13 +20,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, cut, release, texts_of
@@ -41,6 +42,8 @@ LIST = pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(p
 PRUNINGS = 2
 #: Members of a group of a shared word with which all others are compared first.
 PIVOTS = 8
+#: Rows and bytes that pass to and from a task's Python at once (a single larger row passes whole).
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Hashes that a block of the final comparison may hold, and its least number of sets.
 BLOCK_HASHES, BLOCK_SETS = 1 << 21, 8
 
@@ -65,7 +68,7 @@ class Bands:
 
 
 #: Bytes whose words are hashed at once; a longer word is hashed in one go.
-HASHED_BYTES = 1 << 21
+HASHED_BYTES = 1 << 19
 LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -215,7 +218,7 @@ def passing(sigs: np.ndarray, filtered: np.ndarray) -> np.ndarray:
 def _text_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        for start, end in chunks(sizes):
+        for start, end in chunks(sizes, HASHED_BYTES):
             yield batch.slice(start, end - start)
 
 
@@ -302,22 +305,27 @@ def pruned(lists: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, kept = [], []
-            for owner, found in zip(*[column.to_pylist() for column in batch.columns]):
-                left = []
-                for one in found:
-                    sigs = np.array(one["sigs"], np.int64)
-                    sigs = sigs[passing(sigs.view(np.uint64), spread.value)]
-                    if len(sigs) >= one["need"]:
-                        left.append(one | {"sigs": sigs})
-                if left:
-                    owners.append(owner)
-                    kept.append(left)
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(kept, pa.list_(LIST))], names=["owner", "lists"])
+            owners, of_owner = batch.columns
+            tag, need, sigs = of_owner.flatten().flatten()
+            sizes, values = pc.list_value_length(sigs).to_numpy(), sigs.flatten().to_numpy()
+            inside = passing(values.view(np.uint64), spread.value)
+            counts = np.diff(_from_zero(inside)[_from_zero(sizes)])
+            enough = counts >= need.to_numpy()
+            left = pa.ListArray.from_arrays(pa.array(_from_zero(counts[enough]), pa.int32()), pa.array(values[inside & np.repeat(enough, sizes)]))
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(of_owner).to_numpy())
+            n_left = np.bincount(rows[enough], minlength=len(batch))
+            kept = pa.array(enough)
+            of_lists = pa.StructArray.from_arrays([tag.filter(kept), need.filter(kept), left], fields=[LIST.field(k) for k in range(3)])
+            whole = pa.ListArray.from_arrays(pa.array(_from_zero(n_left[n_left > 0]), pa.int32()), of_lists)
+            yield pa.RecordBatch.from_arrays([owners.filter(pa.array(n_left > 0)), whole], names=["owner", "lists"])
 
     return _cut_alone(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
 
 
+def _from_zero(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
 def _cut_alone(df: DataFrame) -> DataFrame:
     """The rows written, and the shuffles before them removed at once: they are of the size of the corpus."""
     out = cut(df)
@@ -459,6 +467,23 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, p
     are). An empty table gives an empty table. Only id and text are read, three times: to count the words of all sketches, to find
     the sets that share enough of them, and to compare these sets. Only hashes are shuffled.
     """
+    with _small_batches(docs.sparkSession):
+        return _jaccard_groups(docs, id_col, text_col, size, percent)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in ARROW_BATCHES}
+    try:
+        for name, value in ARROW_BATCHES.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     bands = Bands(percent)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     shared = _cut_alone(shared_words(texts, size, bands))

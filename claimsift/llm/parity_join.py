@@ -366,8 +366,11 @@ def counted_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different roots and sides (of any sides if there is one only) whose sketches are near enough."""
+def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides: np.ndarray, percent: int, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots and sides (of any sides if there is one only) whose sketches are near enough.
+
+    With ``forest`` only pairs that connect roots which no earlier pair has connected.
+    """
     one_side = len(np.unique(sides)) == 1
     first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in range(len(words) - 1):
@@ -375,15 +378,19 @@ def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides
         other = other[(roots[other] != roots[k]) & (one_side | (sides[other] != sides[k]))]
         bits = np.bitwise_count(words[other] ^ words[k]).sum(axis=1, dtype=np.int64)
         near = other[(100 + percent) * bits <= (100 - percent) * (sizes[other] + sizes[k])]
+        if forest and len(near):
+            found, at = np.unique(roots[near], return_index=True)
+            near = near[at]
+            roots = np.where(np.isin(roots, found), roots[k], roots)
         first.append(np.full(len(near), k))
         second.append(near)
     return np.concatenate(first), np.concatenate(second)
 
 
-def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
+def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Bands, forest: bool) -> DataFrame:
     """(u, v): pairs of members (list, owner, root, tag) of one list that have different roots and near sketches.
 
-    Long lists are cut into blocks, and every two blocks are compared in a task of their own.
+    With ``forest`` only pairs that connect roots in a task, so their number stays below that of the members. Long lists are cut into blocks, and every two blocks are compared in a task of their own.
     """
     per_list = members.join(sets.select("owner", "n"), "owner").groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
     held = F.greatest(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_HASHES) / F.col("most")))
@@ -409,7 +416,7 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Band
     def near(rows: list[tuple]) -> pa.RecordBatch | None:
         _, roots = np.unique(np.array([row[3] for row in rows], dtype="V16"), return_inverse=True)
         words = np.array([np.frombuffer(row[5], np.uint64) for row in rows])
-        first, second = near_in_block(words, np.array([row[4] for row in rows]), roots, np.array([row[1] for row in rows]), percent)
+        first, second = near_in_block(words, np.array([row[4] for row in rows]), roots, np.array([row[1] for row in rows]), percent, forest)
         if not len(first):
             return None
         return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in which], pa.int64()) for which in (first, second)], names=["u", "v"])
@@ -442,20 +449,25 @@ def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, ba
     roots = cut(components(cut(verified(pairs, sets, percent))))
     if large.isEmpty():
         return roots
-    # large groups that are not connected by now are compared, equal lists of members once
-    of_owner = sets.select("owner", "key").join(roots, F.col("key") == F.col("node"), "left").select("owner", F.coalesce("root", "key").alias("root"))
-    rooted = cut(large.join(of_owner, "owner"))
-    open_groups = rooted.groupBy("sig").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("owner")).alias("all"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("all2"),
-        F.min("root").alias("low"), F.max("root").alias("high"),
-    ).filter("low <> high")
-    lists = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
-    members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
-    more = near_in_lists(members, sets, percent, bands).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = cut(verified(cut(more.join(pairs, ["u", "v"], "left_anti")), sets, percent))
-    if links.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+    # large groups that are not connected by now are compared, equal lists of members once: first along forests of near
+    # sketches, and only if a pair of a forest is not similar after all, in all pairs of what is still apart
+    for forest in (True, False):
+        of_owner = sets.select("owner", "key").join(roots, F.col("key") == F.col("node"), "left").select("owner", F.coalesce("root", "key").alias("root"))
+        rooted = cut(large.join(of_owner, "owner"))
+        open_groups = rooted.groupBy("sig").agg(
+            F.count("*").alias("m"), F.bit_xor(F.xxhash64("owner")).alias("all"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("all2"),
+            F.min("root").alias("low"), F.max("root").alias("high"),
+        ).filter("low <> high")
+        lists = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
+        members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
+        near = near_in_lists(members, sets, percent, bands, forest)
+        more = _cut_alone(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        links = _cut_alone(verified(more.join(pairs, ["u", "v"], "left_anti"), sets, percent))
+        if not links.isEmpty():
+            roots = _cut_alone(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
+        if links.count() == more.count():
+            break
+    return roots
 
 
 def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int = 4, percent: int = 85) -> DataFrame:

@@ -177,3 +177,20 @@ def test_query_equals_brute_force(spark, small):
     want = brute(rows)
     assert found(QUERIES["op11_parity_join"](spark, small)) == want
     assert len({w[2] for w in want}) < len(rows)
+
+
+def test_a_forest_connects_what_all_near_pairs_connect():
+    rng = np.random.default_rng(5)
+    groups = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([g[k : k + 280], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for k in range(20) for g in groups]
+    words = np.array([sketch(h, 60) for h in sets])
+    given = (words, np.array([len(h) for h in sets]), np.arange(len(sets)), np.zeros(len(sets), np.int64), 85)
+
+    def connected(pairs):
+        of = list(range(len(sets)))
+        for a, b in zip(*pairs):
+            of = [of[a] if x == of[b] else x for x in of]
+        return [of.index(x) for x in of]
+
+    every, forest = near_in_block(*given), near_in_block(*given, forest=True)
+    assert connected(every) == connected(forest) and len(forest[0]) == len(sets) - len(set(connected(every))) < len(every[0])

@@ -402,12 +402,12 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Band
         for batch in batches:
             shapes = [sum(bands.shape(tag >> 1)) for tag in batch.column(3).to_pylist()]
             words = [sketch(_array(h), n).tobytes() for h, n in zip(batch.column(5), shapes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(words, pa.binary())], names=["list", "owner", "root", "n", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[6:], batch.column(4), pa.array(words, pa.binary())], names=["list", "owner", "root", "side", "blocks", "n", "words"])
 
-    listed = members.join(sets.select("owner", "n", "hashes"), "owner").select("list", "owner", "root", "tag", "n", "hashes")
+    sided = members.join(cuts, "list").withColumn("side", side)
+    listed = sided.join(sets.select("owner", "n", "hashes"), "owner").select("list", "owner", "root", "tag", "n", "hashes", "side", "blocks")
     dealt = (
-        listed.mapInArrow(sketched, "list bigint, owner bigint, root binary, n bigint, words binary")
-        .join(cuts, "list").withColumn("side", side)
+        listed.mapInArrow(sketched, "list bigint, owner bigint, root binary, side int, blocks int, n bigint, words binary")
         .select("list", "owner", "root", "side", "n", "words", F.explode(pairs).alias("pair"))
         .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "owner", "root", "n", "words")
         .repartition("list").sortWithinPartitions("list", "owner")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.functions.patterns import SPACE, strip
+from claimsift.functions.patterns import SPACE_CHARS, strip
 from claimsift.operators.ordering import running_totals
 
 Extractor = Callable[[bytes], str]
@@ -128,9 +130,60 @@ def first_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.min_by("page_text", "page_no").alias("text"))
 
 
+#: Bytes of texts whose words are counted at once.
+COUNTED_BYTES = 1 << 20
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[ord(c) for c in SPACE_CHARS if ord(c) < 128]] = True
+# white space of several bytes: first byte -> the bytes after it
+_WIDE_SPACES: dict[int, list[bytes]] = {}
+for _char in SPACE_CHARS:
+    if ord(_char) >= 128:
+        _WIDE_SPACES.setdefault(_char.encode()[0], []).append(_char.encode()[1:])
+_IS_LEAD = np.zeros(256, bool)
+_IS_LEAD[list(_WIDE_SPACES)] = True
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes of whole UTF-8 texts belong to white space."""
+    space = _IS_SPACE[data]
+    leads = np.flatnonzero(_IS_LEAD[data])
+    for lead, wide in _WIDE_SPACES.items() if len(leads) else ():
+        at = leads[data[leads] == lead]
+        for rest in wide:
+            here = at[at + len(rest) < len(data)]
+            for k, byte in enumerate(rest, 1):
+                here = here[data[here + k] == byte]
+            for k in range(len(rest) + 1):
+                space[here + k] = True
+    return space
+
+
+def _word_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of the texts that stand in ``data`` from one of ``ends`` to the next; a text's end ends a word."""
+    space = _spaces(data)
+    after_space = np.concatenate([[True], space])
+    after_space[ends] = True
+    first = np.flatnonzero(~space & after_space[:-1])
+    return np.diff(np.searchsorted(first, ends))
+
+
+def _count_words(texts: pa.Array) -> pa.Array:
+    if not len(texts):
+        return pa.array([], pa.int32())
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    counts, start = [], 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + COUNTED_BYTES, "right")) - 1)
+        counts.append(_word_counts(data[ends[start] : ends[end]], ends[start : end + 1] - ends[start]))
+        start = end
+    return pa.array(np.concatenate(counts), pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
 def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    """Number of whitespace-separated words, counted in Arrow batches: a regex makes an array of all words to count them."""
+    return F.arrow_udf(_count_words, "int")(text)
 
 
 def extraction_times(extractions: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import logging
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimsift.functions.patterns import SPACE_CHARS
 from claimsift.operators import prototypes, reporting
 from claimsift.sources import files, interchange
 from claimsift.sources.store import DocumentStore
@@ -135,3 +137,14 @@ def test_stream_in_two_runs(spark, tmp_path):
     run()
     got = {r.file_name: (r.id, r.classified_category, r.cleaned_text) for r in s.current().collect()}
     assert got == {"a": (1, "Sleep", "sleep study apnea"), "b": (2, "Prescription", "Rx:5 refills: 3")}
+
+
+def test_words_are_counted_without_making_them(spark):
+    """Counts equal those of str.split for every kind of white space, across parts of a batch, for null and empty texts."""
+    some = ["", " ", "a", " a", "a ", "ab  cd\n", "é ü", "　日本　語", " x y​z", " a᠎b", "a\x1cb\x85c\x00d", "â€€ "]
+    texts = [*some, None, *[c.join(["wÂ", "\U0001f600", ""]) for c in SPACE_CHARS], "long word " * 300_000, *some]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string").coalesce(1)
+    counted = rows.select("id", files.word_count(F.col("text")).alias("words"))
+    got = dict(counted.collect())
+    assert got == {k: None if t is None else len(re.findall(f"[^{SPACE_CHARS}]+", t)) for k, t in enumerate(texts)}
+    assert "regexp" not in counted._jdf.queryExecution().executedPlan().toString()

@@ -110,3 +110,53 @@ def test_stored_texts_are_not_shuffled(spark):
     assert "SortMergeJoin" in text and "FullOuter" in text
     assert not any("raw_text" in columns or "cleaned_text" in columns for columns in exchanged)
     assert merged.filter(F.col("file_name") == "x").count() == 1
+
+
+@pytest.mark.parametrize("merge", [store.upsert_documents, store.partial_upsert_documents])
+def test_batch_texts_move_once(spark, merge):
+    """A task gets one bucket of one part, and texts of a batch are shuffled to the buckets and nowhere else."""
+    s = make(spark, parts=4, buckets=3, task_bytes=1)
+    s.append(rows(spark, [f"n{k}" for k in range(30)], "v0"), 0)
+    merged = s.merged(rows(spark, [f"n{k}" for k in range(20, 40)], "v1"), 1, merge)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")  # as replace_parts does
+    try:
+        plan = merged.select("*")._jdf.queryExecution().executedPlan()
+        tasks = plan.execute().getNumPartitions()
+        texts = [columns for columns in exchanged_columns(plan) if not set(columns) <= {"file_name", "new_id", "id"}]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks == 4 * 3 and len(texts) == 4, texts
+
+
+def exchanged_columns(plan):
+    children = plan.children()
+    below = [x for k in range(children.size()) for x in exchanged_columns(children.apply(k))]
+    output = plan.output()
+    here = [[output.apply(k).name() for k in range(output.size())]] if "Exchange" in plan.nodeName() else []
+    return here + below
+
+
+def test_loaded_buckets_are_one_file_each(spark):
+    s = make(spark, parts=3, buckets=2)
+    s.append(rows(spark, [f"n{k}" for k in range(50)], "v0"), 0)
+    loaded = make(spark, parts=3, buckets=2)
+    loaded.load(s.current())
+    assert table(loaded.current()) == table(s.current())
+    assert {part: len(names) for part, names in files(loaded).items()} == {f"name_part={k}": 2 for k in range(3)}
+    assert all(".zstd" in n for names in files(loaded).values() for n in names)
+
+
+@pytest.mark.parametrize("merge", [store.upsert_documents, store.partial_upsert_documents])
+def test_branches_change_no_rows(spark, merge):
+    kept = []
+    for task_bytes in (1, 32 << 20):
+        s = make(spark, parts=3, buckets=2, task_bytes=task_bytes)
+        s.append(rows(spark, [f"n{k}" for k in range(12)], "v0"), 0)
+        s.append(batch(spark, ("n3", "/x", "", "c1", None, 0.0, 1), ("n3", "/x", "r2", "", "Y", 0.0, 2), ("new", "/n", "", "c", "", 0.0, 3), ("new", "/n2", "r", "", "", 0.0, 4)), 1, merge)
+        kept.append(table(s.current()))
+    assert kept[0] == kept[1] and len(kept[0]) == 13

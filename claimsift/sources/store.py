@@ -87,14 +87,17 @@ def upsert_documents(target: DataFrame, batch: DataFrame, ids: DataFrame | None
 
 
 def partial_upsert_documents(target: DataFrame, batch: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """As :func:`upsert_documents`, but empty strings, 0.0 and NULL overwrite nothing."""
+    """As :func:`upsert_documents`, but empty strings, 0.0 and NULL overwrite nothing.
+
+    The first row's values matter only where no row has any, so its texts stay behind.
+    """
     def filled(c: str) -> Column:
         empty = F.lit(0.0) if c == "confidence" else F.lit("")
         return F.col(c) != empty
 
     source = batch.groupBy("file_name").agg(
         F.min_by("file_location", "seq").alias("file_location"),
-        F.min_by(F.struct(*PARTLY_OVERWRITTEN), "seq").alias("first"),
+        F.min_by(F.struct(*[F.when(~filled(c), F.col(c)).alias(c) for c in PARTLY_OVERWRITTEN]), "seq").alias("first"),
         *[F.max_by(c, F.when(filled(c), F.col("seq"))).alias(c) for c in PARTLY_OVERWRITTEN],
     )
     known = F.col("t.file_name").isNotNull()

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,13 @@ def test_shared_folder_uses_the_session_setting():
     with pytest.raises(ValueError):
         interchange.shared_folder(_Session(None, "yarn"))
     assert "claimsift-" in interchange.shared_folder(_Session(None, "local[2]"))
+
+
+def test_first_rows_leave_their_texts_behind(spark):
+    """Texts of a first row are not shuffled along when a later row, or the row itself, has one; unfilled ones still count."""
+    some = batch(spark, ("a", "/a", "r", "", None, 0.0, 1), ("a", "/b", "", "", "Y", 0.5, 2), ("b", "/c", "", None, "", None, 3))
+    merged = store.partial_upsert_documents(spark.createDataFrame([], store.DOCUMENT_SCHEMA), some)
+    assert not re.search(r"struct\(raw_text, raw_text#", merged._jdf.queryExecution().optimizedPlan().toString())
+    got = table(merged)
+    assert (got["a"].raw_text, got["a"].cleaned_text, got["a"].classified_category, got["a"].confidence) == ("r", "", "Y", 0.5)
+    assert (got["b"].raw_text, got["b"].cleaned_text, got["b"].classified_category, got["b"].confidence) == ("", None, "", None)

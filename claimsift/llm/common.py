@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files of a DataFrame that ``cut`` has returned. Nothing that reads it may be evaluated afterwards."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_folder(df.sparkSession, file.get())
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files that no DataFrame refers to any more, instead of some time later."""
     gc.collect()

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step keeps the components and brings each node nearer to the smallest node it can reach. Steps are joins and
-partial aggregates, so a node with very many neighbours is never gathered. Each step is checkpointed.
+partial aggregates, so a node with very many neighbours is never gathered. Each step is checkpointed, in a number of files
+that follows the number of edges, so that few edges are not dealt to as many tasks as the session has partitions.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from claimsift.llm.common import cut
 
+#: Edges that a step writes to a file.
+EDGES_IN_FILE = 1 << 17
+
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,8 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     # greatest() and least() skip nulls, so an edge with a null end has become a loop and is gone
     before, state = None, _state(now)
+    files = -(-state[0] // EDGES_IN_FILE) or 1  # no step adds edges
+    now = now.coalesce(files)
     while state != before:
-        now = cut(_large_star(now).distinct())
-        now = cut(_small_star(now).distinct())
+        now = cut(_large_star(now).distinct().coalesce(files))
+        now = cut(_small_star(now).distinct().coalesce(files))
         before, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -22,6 +22,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimsift.llm.common import chunks, cut, release, texts_of
+from claimsift.llm.common import chunks, cut, drop_cut, release, texts_of
 from claimsift.llm.components import components
 
 #: Words of a sketch with at most so many bits are light.
@@ -38,8 +39,9 @@ LIGHT_BITS = 1
 #: The filter of shared sketch words: bits per word, and the least and most bits.
 BITS_PER_WORD, FILTER_BITS = 8, (20, 27)
 LIST = pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-#: Times that documents are dropped which share too little with those that are left.
-PRUNINGS = 2
+#: Times that documents are dropped which share too little with those that are left, at most; and the share of signatures
+#: that one time must drop for another one to be worth its shuffle.
+PRUNINGS, WORTH_PRUNING = 2, 0.1
 #: Members of a group of a shared word with which all others are compared first.
 PIVOTS = 8
 #: Rows and bytes that pass to and from a task's Python at once (a single larger row passes whole).
@@ -181,9 +183,69 @@ def signatures(of_bands: dict[int, np.ndarray], bands: Bands) -> list[tuple[int,
     return found
 
 
-def all_signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    lists = [sigs for _, _, sigs in signatures(sketches(hashes, bands), bands)]
-    return np.concatenate(lists) if lists else np.empty(0, np.uint64)
+class Lists(NamedTuple):
+    """Lists of signatures, those of a set together and in the order of its index; ``sigs`` are those of all lists."""
+
+    of: np.ndarray
+    tag: np.ndarray
+    need: np.ndarray
+    sizes: np.ndarray
+    sigs: np.ndarray
+
+
+def signature_lists(sets: list[np.ndarray], bands: Bands) -> Lists:
+    """The ``signatures`` of many sets, whose sketches are made at once."""
+    lengths = np.array([len(h) for h in sets], np.int64)
+    hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
+    bit, high = np.uint64(1) << (hashes & np.uint64(63)), hashes >> np.uint64(32)
+    own = np.searchsorted(np.array(bands.low), lengths, side="right") - 1
+    parts: list[tuple] = []
+    for band in (own, own + 1):
+        shapes = {k: bands.shape(k) if k >= 0 else (0, 0) for k in np.unique(band).tolist()}
+        differing, spare = np.array([shapes[k] for k in band.tolist()], np.int64).reshape(-1, 2).T
+        n_words = np.where((differing > 0) & (lengths > 0), differing + spare, 0)
+        low = _from_zero(n_words)
+        inside = np.repeat(n_words > 0, lengths)
+        place = (high[inside] * np.repeat(n_words, lengths)[inside].astype(np.uint64)) >> np.uint64(32)
+        place = place.astype(np.int64) + np.repeat(low[:-1], lengths)[inside]
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        words = np.zeros(low[-1], np.uint64)
+        if len(starts):
+            words[place[starts]] = np.bitwise_xor.reduceat(bit[inside], starts)
+        of = np.repeat(np.arange(len(sets)), n_words)
+        numbers = np.arange(low[-1]) - low[of] + (band[of] << 40)
+        named = _mixed(words ^ _mixed(numbers.astype(np.uint64)))
+        bits = np.bitwise_count(words)
+        heavy = bits > LIGHT_BITS
+        n_heavy = np.bincount(of[heavy], minlength=len(sets))
+        n_light = n_words - n_heavy
+        some = np.flatnonzero(n_words)
+        parts.append((some, 2 * band[some], np.maximum(1, spare - n_light)[some], n_heavy[some], named[heavy]))
+        for k in some[n_light[some] >= spare[some]].tolist():
+            light = low[k] + np.flatnonzero(~heavy[low[k] : low[k + 1]])
+            light = light[np.argsort(-bits[light].astype(np.int8), kind="stable")]
+            first = named[light[: n_light[k] - spare[k] + 2]]
+            one, two = np.triu_indices(len(first), 1)
+            parts.append(([k], [2 * band[k] + 1], [1], [len(one)], _mixed(first[one] + _mixed(first[two]))))
+    of, tag, need, sizes = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+    order = np.lexsort((tag, of))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    sigs = np.concatenate([p[4] for p in parts])[np.argsort(np.repeat(rank, sizes), kind="stable")]
+    return Lists(of[order], tag[order], need[order], sizes[order], sigs)
+
+
+def passing_lists(lists: Lists, rows: int, filtered: np.ndarray) -> pa.ListArray:
+    """For each of ``rows`` its lists of the signatures that the filter lets through, where they are as many as needed."""
+    inside = passing(lists.sigs, filtered)
+    counts = np.diff(_from_zero(inside)[_from_zero(lists.sizes)])
+    enough = counts >= lists.need
+    values = pa.array(lists.sigs[inside & np.repeat(enough, lists.sizes)].view(np.int64))
+    left = pa.ListArray.from_arrays(pa.array(_from_zero(counts[enough]), pa.int32()), values)
+    columns = [pa.array(lists.tag[enough]), pa.array(lists.need[enough]), left]
+    of_lists = pa.StructArray.from_arrays(columns, fields=[LIST.field(k) for k in range(3)])
+    per_row = np.bincount(lists.of[enough], minlength=rows)
+    return pa.ListArray.from_arrays(pa.array(_from_zero(per_row), pa.int32()), of_lists)
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -228,9 +290,9 @@ def shared_words(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _text_chunks(batches, 0):
             sets = shingle_sets(texts_of(some.column(0)), size)
-            sigs = [all_signatures(h, bands) for h in sets]
+            lists = signature_lists(sets, bands)
             keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64)
-            columns = [np.concatenate(sigs), np.repeat(keys, [len(s) for s in sigs])]
+            columns = [lists.sigs, np.repeat(keys[lists.of], lists.sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["sig", "owner"])
 
     rows = texts.mapInArrow(work, "sig bigint, owner bigint")
@@ -245,26 +307,19 @@ def set_owner(key: bytes) -> int:
 def marked_docs(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands, filtered: np.ndarray) -> DataFrame:
     """(id, n, key, owner, lists) of every document; owner is the first half of key.
 
-    ``lists`` are (tag, need, sigs) of the signatures that the filter lets through, where they are enough, else null. The
-    tag is the band, doubled, plus one for pairs of light words.
+    ``lists`` are (tag, need, sigs) of the signatures that the filter lets through, where they are enough. The tag is the
+    band, doubled, plus one for pairs of light words.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast(filtered)
 
-    def kept(hashes: np.ndarray) -> list[dict]:
-        lists = signatures(sketches(hashes, bands), bands)
-        if not lists:
-            return []
-        inside = np.split(passing(np.concatenate([s for _, _, s in lists]), spread.value), np.cumsum([len(s) for _, _, s in lists])[:-1])
-        return [{"tag": tag, "need": need, "sigs": sigs[here].view(np.int64)} for (tag, need, sigs), here in zip(lists, inside) if here.sum() >= need]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _text_chunks(batches, 1):
             sets = shingle_sets(texts_of(some.column(1)), size)
             keys = [set_key(h) for h in sets]
             columns = [
                 some.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.binary()),
-                pa.array([set_owner(k) for k in keys], pa.int64()), pa.array([kept(h) or None for h in sets], pa.list_(LIST)),
+                pa.array([set_owner(k) for k in keys], pa.int64()), passing_lists(signature_lists(sets, bands), len(sets), spread.value),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "owner", "lists"])
 
@@ -300,24 +355,19 @@ def rows_of(lists: DataFrame) -> DataFrame:
 def pruned(lists: DataFrame) -> DataFrame:
     """(owner, lists) without the signatures that no other owner has, as far as a filter tells, and without lists that are
     short of what they need then. What is dropped is no part of a link."""
-    shared = rows_of(lists).groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
-    spread = lists.sparkSession.sparkContext.broadcast(word_filter(cut(shared.select("sig"))))
+    shared = cut(rows_of(lists).groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("sig"))
+    spread = lists.sparkSession.sparkContext.broadcast(word_filter(shared))
+    drop_cut(shared)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, of_owner = batch.columns
             tag, need, sigs = of_owner.flatten().flatten()
-            sizes, values = pc.list_value_length(sigs).to_numpy(), sigs.flatten().to_numpy()
-            inside = passing(values.view(np.uint64), spread.value)
-            counts = np.diff(_from_zero(inside)[_from_zero(sizes)])
-            enough = counts >= need.to_numpy()
-            left = pa.ListArray.from_arrays(pa.array(_from_zero(counts[enough]), pa.int32()), pa.array(values[inside & np.repeat(enough, sizes)]))
-            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(of_owner).to_numpy())
-            n_left = np.bincount(rows[enough], minlength=len(batch))
-            kept = pa.array(enough)
-            of_lists = pa.StructArray.from_arrays([tag.filter(kept), need.filter(kept), left], fields=[LIST.field(k) for k in range(3)])
-            whole = pa.ListArray.from_arrays(pa.array(_from_zero(n_left[n_left > 0]), pa.int32()), of_lists)
-            yield pa.RecordBatch.from_arrays([owners.filter(pa.array(n_left > 0)), whole], names=["owner", "lists"])
+            of = np.repeat(np.arange(len(batch)), pc.list_value_length(of_owner).to_numpy())
+            given = Lists(of, tag.to_numpy(), need.to_numpy(), pc.list_value_length(sigs).to_numpy(), sigs.flatten().to_numpy().view(np.uint64))
+            left = passing_lists(given, len(batch), spread.value)
+            some = pc.greater(pc.list_value_length(left), 0)
+            yield pa.RecordBatch.from_arrays([owners.filter(some), left.filter(some)], names=["owner", "lists"])
 
     return _cut_alone(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
 
@@ -446,7 +496,8 @@ def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, ba
     large = _cut_alone(rows.join(large_groups, "sig").select("sig", "owner", "tag"))
     owners = cut(pairs.select(F.explode(F.array("u", "v")).alias("owner")).unionByName(large.select("owner")).distinct())
     sets = _cut_alone(wanted_sets(texts, size, owners))
-    roots = cut(components(cut(verified(pairs, sets, percent))))
+    drop_cut(lists)
+    roots = components(_cut_alone(verified(pairs, sets, percent)))
     if large.isEmpty():
         return roots
     # large groups that are not connected by now are compared, equal lists of members once: first along forests of near
@@ -458,13 +509,13 @@ def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, ba
             F.count("*").alias("m"), F.bit_xor(F.xxhash64("owner")).alias("all"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("all2"),
             F.min("root").alias("low"), F.max("root").alias("high"),
         ).filter("low <> high")
-        lists = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
-        members = cut(rooted.join(lists.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
+        unlike = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
+        members = _cut_alone(rooted.join(unlike.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
         near = near_in_lists(members, sets, percent, bands, forest)
         more = _cut_alone(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         links = _cut_alone(verified(more.join(pairs, ["u", "v"], "left_anti"), sets, percent))
         if not links.isEmpty():
-            roots = _cut_alone(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
         if links.count() == more.count():
             break
     return roots
@@ -495,18 +546,32 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def _n_signatures(lists: DataFrame) -> int:
+    of_owner = F.aggregate("lists", F.lit(0), lambda n, x: n + F.size(x["sigs"]))
+    return lists.agg(F.sum(of_owner)).first()[0] or 0
+
+
 def _jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     bands = Bands(percent)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     shared = _cut_alone(shared_words(texts, size, bands))
-    with_lists = cut(marked_docs(docs, id_col, text_col, size, bands, word_filter(shared)))
-    del shared
-    lists = cut(with_lists.filter("lists IS NOT NULL").groupBy("owner").agg(F.first("lists").alias("lists")))
+    filtered = word_filter(shared)
+    drop_cut(shared)
+    with_lists = cut(marked_docs(docs, id_col, text_col, size, bands, filtered))
+    del shared, filtered
+    lists = cut(with_lists.filter(F.size("lists") > 0).groupBy("owner").agg(F.first("lists").alias("lists")))
     marked = cut(with_lists.select("id", "n", "key"))
+    drop_cut(with_lists)
     del with_lists
     release(docs.sparkSession)
+    held = _n_signatures(lists)
     for _ in range(PRUNINGS):
-        lists = pruned(lists)
+        given, before = lists, held
+        lists = pruned(given)
+        drop_cut(given)
+        held = _n_signatures(lists)
+        if held > (1 - WORTH_PRUNING) * before:
+            break
     release(docs.sparkSession)
     roots = similar_sets(lists, texts, size, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))

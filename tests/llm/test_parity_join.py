@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.llm import parity_join
+from claimsift.llm.common import drop_cut
+from claimsift.llm.components import components
 from claimsift.llm.parity_join import Bands, jaccard_groups, near_in_block, passing, shingle_sets, signatures, sketch, sketches, word_filter, word_hashes
 from claimsift.llm.queries import QUERIES
 
@@ -194,3 +197,29 @@ def test_a_forest_connects_what_all_near_pairs_connect():
 
     every, forest = near_in_block(*given), near_in_block(*given, forest=True)
     assert connected(every) == connected(forest) and len(forest[0]) == len(sets) - len(set(connected(every))) < len(every[0])
+
+
+@pytest.mark.parametrize("percent", [75, 85, 97])
+def test_signatures_of_many_sets_are_those_of_each(percent):
+    rng = np.random.default_rng(percent)
+    bands = Bands(percent)
+    sets = [np.unique(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in [0, 1, 2, 700, 0, *rng.integers(0, 60, 150), *rng.integers(0, 900, 30)]]
+    for some in (sets, sets[:1], []):
+        found = parity_join.signature_lists(some, bands)
+        ends = np.cumsum(found.sizes)
+        got = [(i, t, n, found.sigs[end - size : end].tolist()) for i, t, n, size, end in zip(found.of, found.tag, found.need, found.sizes, ends)]
+        assert got == [(i, t, n, sigs.tolist()) for i, h in enumerate(some) for t, n, sigs in signatures(sketches(h, bands), bands)]
+
+
+def test_few_edges_stay_in_few_files(spark):
+    edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(37)
+    found = components(edges)
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(1, 301)]
+
+
+def test_files_of_what_is_no_longer_read_are_removed(spark, small, monkeypatch):
+    dropped = []
+    monkeypatch.setattr(parity_join, "drop_cut", lambda df: (dropped.append(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()), drop_cut(df)))
+    assert QUERIES["op11_parity_join"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert len(dropped) >= 4 and not any(os.path.exists(path.removeprefix("file:")) for path in dropped)

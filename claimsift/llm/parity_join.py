@@ -501,9 +501,14 @@ def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, ba
     if large.isEmpty():
         return roots
     # large groups that are not connected by now are compared, equal lists of members once: first along forests of near
-    # sketches, and only if a pair of a forest is not similar after all, in all pairs of what is still apart
+    # sketches, and only where the ends of a pair of a forest are not connected after all, in all pairs of what is still apart
+    more = None
     for forest in (True, False):
         of_owner = sets.select("owner", "key").join(roots, F.col("key") == F.col("node"), "left").select("owner", F.coalesce("root", "key").alias("root"))
+        if not forest:
+            of_end = [of_owner.select(F.col("owner").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
+            apart = cut(more.join(of_end[0], "u").join(of_end[1], "v").filter("root_u <> root_v").select(F.col("u").alias("owner")).distinct())
+            large = cut(large.join(large.join(apart, "owner", "left_semi").select("sig").distinct(), "sig"))
         rooted = cut(large.join(of_owner, "owner"))
         open_groups = rooted.groupBy("sig").agg(
             F.count("*").alias("m"), F.bit_xor(F.xxhash64("owner")).alias("all"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("all2"),

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsift.functions.plan_shape import written
+from claimsift.functions.plan_shape import settled, written
 
 
 def _slice_count(df: DataFrame, slices: int | None) -> int:
@@ -44,7 +44,9 @@ def running_totals(
     found = rows.agg(F.percentile_approx(order, cuts, F.lit(max(10_000, 10 * slices)))).first()[0]
     bounds = F.array(*[F.lit(x) for x in dict.fromkeys(found or [])]).cast(f"array<{dict(rows.dtypes)[order]}>")
     position = F.col(order)
-    sliced = rows.withColumn("_slice", F.size(F.filter(bounds, lambda b: b < position)))
+    # settled, or the optimizer infers a filter on the slices of the other side of the join from the projected expression. It
+    # drops such a filter for naming a column that side lacks, but takes a session's second column for the lambda's variable
+    sliced = settled(rows, rows.columns, F.size(F.filter(bounds, lambda b: b < position)).alias("_slice"))
 
     per_slice = sliced.groupBy(*by, "_slice").agg(
         *[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names]

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +53,21 @@ def test_any_number_of_groups_and_null_groups(spark):
     got = o.running_totals(df, "id", {"n": F.lit(1)}, by=["g"], slices=4)
     assert got.count() == 5000
     assert got.filter("g IS NULL").agg({"n": "max"}).first()[0] == 1667 == got.filter("g IS NULL").count()
+
+
+FIRST_IN_SESSION = """
+from pyspark.sql import functions as F
+from claimsift.operators.ordering import running_totals
+from claimsift.session import local_session
+spark = local_session(2, "1g")
+df = spark.createDataFrame([(g, i, i) for g in range(2) for i in range(30)], "g int, id bigint, v bigint")
+for r in running_totals(df, "id", {"t": F.col("v")}, by=["g"], slices=5).collect():
+    assert r.t == r.id * (r.id + 1) // 2, r
+print("ended")
+"""
+
+
+def test_the_order_may_be_the_second_column_of_a_session(tmp_path):
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "TMPDIR": str(tmp_path)}
+    ran = subprocess.run([sys.executable, "-c", FIRST_IN_SESSION], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip() == "ended", ran.stderr[-2000:]

@@ -11,9 +11,11 @@ otherwise a heavier word is equal too: two of the first L - s + 2 of a document'
 then equal as well, and their pairs are joined instead. A document of L light words needs s - L heavier ones that it shares;
 most documents that merely quote a passage share fewer, and leave before any set is compared.
 
-Sets that are equal are one node. In each group of nodes that share a word, all are paired with the first few of them, and
-pairs that share enough words are verified on the sets themselves. Small groups are decided then, and a large one of near
-copies is connected; a large group that is not is compared in blocks of bounded size, first by the distance of the sketches.
+Sets that are equal are one node. Words that many share are dropped from a list, in one order for all, as long as enough of
+what it needs stay: similar sets share enough of the others. In each group of nodes that share a word, all are paired with
+the first few of them. Pairs that share enough words, and whose small sketches of whole sets are near, are verified on the
+sets themselves. Small groups are decided then, and a large one of near copies is connected; a large group that is not is
+compared in blocks of bounded size, first by the small sketches.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.llm.common import chunks, cut, drop_cut, release, texts_of
@@ -44,6 +46,8 @@ LIST = pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("sigs", pa.list_(p
 PRUNINGS, WORTH_PRUNING = 2, 0.1
 #: Members of a group of a shared word with which all others are compared first.
 PIVOTS = 8
+#: Signatures of the number that it needs which a list keeps when it drops those of large groups.
+LEAST_SHARED = 3
 #: Rows and bytes that pass to and from a task's Python at once (a single larger row passes whole).
 ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Hashes that a block of the final comparison may hold, and its least number of sets.
@@ -68,6 +72,10 @@ class Bands:
         differing = (100 - self.percent) * 2 * largest // (100 + self.percent)
         return differing, 2 + differing // 6
 
+    def compared_words(self, band: int) -> int:
+        """Words of the sketches of whole sets that are compared in the band: two bits for each hash of the largest set."""
+        return max(4, -(-(self.low[band + 1] - 1) // 32))
+
 
 #: Bytes whose words are hashed at once; a longer word is hashed in one go.
 HASHED_BYTES = 1 << 19
@@ -352,24 +360,58 @@ def rows_of(lists: DataFrame) -> DataFrame:
     return lists.select("owner", F.explode("lists").alias("s")).select("owner", "s.tag", "s.need", F.explode("s.sigs").alias("sig"))
 
 
-def pruned(lists: DataFrame) -> DataFrame:
+def pruned(lists: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(owner, lists) without the signatures that no other owner has, as far as a filter tells, and without lists that are
-    short of what they need then. What is dropped is no part of a link."""
-    shared = cut(rows_of(lists).groupBy("sig").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("sig"))
-    spread = lists.sparkSession.sparkContext.broadcast(word_filter(shared))
+    short of what they need then; and a filter of the signatures of large groups. What is dropped is no part of a link."""
+    owners = F.count("*").alias("owners"), F.min("owner").alias("low"), F.max("owner").alias("high")
+    shared = cut(rows_of(lists).groupBy("sig").agg(*owners).filter("low <> high").select("sig", (F.col("owners") > PIVOTS + 1).alias("large")))
+    spread, frequent = lists.sparkSession.sparkContext.broadcast(word_filter(shared)), word_filter(shared.filter("large"))
     drop_cut(shared)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, of_owner = batch.columns
-            tag, need, sigs = of_owner.flatten().flatten()
-            of = np.repeat(np.arange(len(batch)), pc.list_value_length(of_owner).to_numpy())
-            given = Lists(of, tag.to_numpy(), need.to_numpy(), pc.list_value_length(sigs).to_numpy(), sigs.flatten().to_numpy().view(np.uint64))
-            left = passing_lists(given, len(batch), spread.value)
+            left = passing_lists(_lists_of(batch.column(1)), len(batch), spread.value)
             some = pc.greater(pc.list_value_length(left), 0)
-            yield pa.RecordBatch.from_arrays([owners.filter(some), left.filter(some)], names=["owner", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), left.filter(some)], names=["owner", "lists"])
+
+    return _cut_alone(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>")), frequent
+
+
+def _lists_of(of_owner: pa.ListArray) -> Lists:
+    tag, need, sigs = of_owner.flatten().flatten()
+    of = np.repeat(np.arange(len(of_owner)), pc.list_value_length(of_owner).to_numpy())
+    return Lists(of, tag.to_numpy(), need.to_numpy(), pc.list_value_length(sigs).to_numpy(), sigs.flatten().to_numpy().view(np.uint64))
+
+
+def kept_signatures(lists: Lists, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the signatures are kept, how many each list has dropped).
+
+    All lists put the signatures of the filter last, in one order, and drop the last ones, as long as these are in the filter
+    and LEAST_SHARED of what the list needs stay. Of what two lists share then, only what the one that drops more of the
+    order has dropped is gone: of signatures of which both need n, they share n less the larger number dropped.
+    """
+    large = passing(lists.sigs, frequent)
+    of = np.repeat(np.arange(len(lists.sizes)), lists.sizes)
+    dropped = np.minimum(np.bincount(of[large], minlength=len(lists.sizes)), np.maximum(lists.need - LEAST_SHARED, 0))
+    order = np.lexsort((lists.sigs, large, of))
+    kept = np.empty(len(order), bool)
+    kept[order] = np.arange(len(order)) < _from_zero(lists.sizes)[of + 1] - dropped[of]
+    return kept, dropped
+
+
+def kept_rows(lists: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(owner, tag, need, dropped, sig) of (owner, lists): ``kept_signatures``, with the number that their list has dropped."""
+    spread = lists.sparkSession.sparkContext.broadcast(frequent)
 
-    return _cut_alone(lists.mapInArrow(work, "owner bigint, lists array<struct<tag:bigint,need:bigint,sigs:array<bigint>>>"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = _lists_of(batch.column(1))
+            kept, dropped = kept_signatures(given, spread.value)
+            of = np.repeat(np.arange(len(given.sizes)), given.sizes)[kept]
+            columns = [batch.column(0).to_numpy()[given.of[of]], given.tag[of], given.need[of], dropped[of], given.sigs[kept].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["owner", "tag", "need", "dropped", "sig"])
+
+    return lists.mapInArrow(work, "owner bigint, tag bigint, need bigint, dropped bigint, sig bigint")
 
 
 def _from_zero(counts: np.ndarray) -> np.ndarray:
@@ -387,8 +429,53 @@ def _array(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
 
+def compared_sketches(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(owner, band, n, words): the sketches of ``compared_words`` of each set, in its own band and the next one.
+
+    They are a small part of the hashes. Fewer words make sets look nearer, never farther apart.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, lengths = (batch.column(k).to_pylist() for k in (0, 1))
+            rows = [(k, band) for k, n in enumerate(lengths) for band in (bands.of(n), bands.of(n) + 1)]
+            words = [sketch(_array(batch.column(2)[k]), bands.compared_words(band)).tobytes() for k, band in rows]
+            columns = [[owners[k] for k, _ in rows], [band for _, band in rows], [lengths[k] for k, _ in rows]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(words, pa.binary())], names=["owner", "band", "n", "words"])
+
+    return sets.select("owner", "n", "hashes").mapInArrow(work, "owner bigint, band bigint, n bigint, words binary")
+
+
+def near_pairs(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs (u, v, band) of owners whose sketches are near enough."""
+    one, two = (sketched.select(F.col("owner").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("words").alias(f"of_{x}")) for x in "uv")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.add(batch.column(2), batch.column(3)).to_numpy()
+            bits = [int(np.bitwise_count(_array(a) ^ _array(b)).sum(dtype=np.int64)) for a, b in zip(batch.column(4), batch.column(5))]
+            near = (100 + percent) * np.array(bits, np.int64) <= (100 - percent) * sizes
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    whole = pairs.join(one, ["u", "band"]).join(two, ["v", "band"]).select("u", "v", "n_u", "n_v", "of_u", "of_v")
+    return whole.mapInArrow(work, "u bigint, v bigint").distinct()
+
+
+def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of owners of ``pairs``, and of a few others."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    spread = sets.sparkSession.sparkContext.broadcast(word_filter(ends))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passing(batch.column(0).to_numpy().view(np.uint64), spread.value), pa.bool_()))
+
+    return sets.select("owner", "key", "hashes").mapInArrow(work, "owner bigint, key binary, hashes binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): keys of the pairs (u, v) of owners whose sets are similar."""
+    """(u, v): keys of the pairs (u, v) of owners whose sets are similar. ``pairs`` are read twice."""
+    sets = _sets_of(sets, pairs)
     one, two = (sets.select(F.col("owner").alias(x), F.col("key").alias(f"key_{x}"), F.col("hashes").alias(f"of_{x}")) for x in "uv")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,20 +487,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(work, "u binary, v binary")
 
 
-def counted_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v) of owners that share as many signatures of a list as both need, as far as groups show it.
+def pairs_and_members(rows: DataFrame) -> DataFrame:
+    """(u, v, tag) of ``kept_rows``: pairs of owners that share as many signatures of a list as both need, as far as groups
+    show it, and, with tags below zero, (owner, sig, -1 - tag) of the members of large groups.
 
     Every member of a group is paired with the first few only, so a group costs in proportion to its size; in groups of
-    up to one more than these few all pairs are seen.
+    up to one more than these few all pairs are seen. Larger ones are large.
     """
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("owner"))
-    first = rows.select("sig", F.col("owner").alias("v"), F.col("need").alias("need_v"), place.alias("place")).filter(F.col("place") <= PIVOTS)
-    return (
-        rows.join(first, "sig").filter("owner > v")
-        .groupBy(F.col("owner").alias("u"), "v", "tag")
-        .agg(F.count("*").alias("m"), F.max(F.greatest("need", "need_v")).alias("most"))
-        .filter("m >= most").select("u", "v").distinct()
-    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 5), np.int64)  # the first rows of the last group, up to PIVOTS + 1
+        seen = 0  # rows of that group
+        for batch in batches:
+            given = np.column_stack([c.to_numpy() for c in batch.columns])
+            if not len(given):
+                continue
+            if len(held) and held[0, 0] != given[0, 0]:
+                held, seen = held[:0], 0
+            rows = np.concatenate([held, given])  # held ones have their pairs already
+            sig, owner, tag, need, dropped = rows.T
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+            place = np.arange(len(rows)) - first[of]
+            place[len(held) :] += np.where(of[len(held) :] == 0, seen - len(held), 0)
+            fresh = np.arange(len(rows)) >= len(held)
+            parts = []
+            for k in range(PIVOTS):
+                u = np.flatnonzero(fresh & (place > k))
+                v = first[of[u]] + k
+                u, v = u[owner[u] != owner[v]], v[owner[u] != owner[v]]
+                parts.append((owner[u], owner[v], tag[u], np.maximum(need[u], need[v]) - np.maximum(dropped[u], dropped[v])))
+            # a group is large from its row PIVOTS + 1 on, which brings the rows before it along
+            turned = first[of[np.flatnonzero(fresh & (place == PIVOTS + 1))]]
+            member = np.concatenate([np.flatnonzero(fresh & (place > PIVOTS)), (turned[:, None] + np.arange(PIVOTS + 1)).ravel()])
+            parts.append((owner[member], sig[member], -1 - tag[member], np.zeros(len(member), np.int64)))
+            seen = int(place[-1]) + 1
+            held = rows[first[-1] : first[-1] + PIVOTS + 1]
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "tag", "most"])
+
+    dealt = rows.select("sig", "owner", "tag", "need", "dropped").repartition("sig").sortWithinPartitions("sig", "owner")
+    found = dealt.mapInArrow(work, "u bigint, v bigint, tag bigint, most bigint")
+    return found.groupBy("u", "v", "tag").agg(F.count("*").alias("m"), F.max("most").alias("most")).filter("m >= most").select("u", "v", "tag")
 
 
 def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides: np.ndarray, percent: int, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -437,27 +552,20 @@ def near_in_block(words: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sides
     return np.concatenate(first), np.concatenate(second)
 
 
-def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Bands, forest: bool) -> DataFrame:
+def near_in_lists(members: DataFrame, sketched: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(u, v): pairs of members (list, owner, root, tag) of one list that have different roots and near sketches.
 
     With ``forest`` only pairs that connect roots in a task, so their number stays below that of the members. Long lists are cut into blocks, and every two blocks are compared in a task of their own.
     """
-    per_list = members.join(sets.select("owner", "n"), "owner").groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+    members = members.select("list", "owner", "root", F.shiftright("tag", 1).alias("band"))
+    per_list = members.join(sketched.select("owner", "band", "n"), ["owner", "band"]).groupBy("list").agg(F.count("*").alias("m"), F.max("n").alias("most"))
     held = F.greatest(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_HASHES) / F.col("most")))
     cuts = cut(per_list.select("list", F.greatest(F.ceil(F.col("m") / held), F.lit(1)).cast("int").alias("blocks")))
     side = F.pmod(F.xxhash64("owner", F.lit("block")), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("side", other).alias("a"), F.greatest("side", other).alias("b")))
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes = [sum(bands.shape(tag >> 1)) for tag in batch.column(3).to_pylist()]
-            words = [sketch(_array(h), n).tobytes() for h, n in zip(batch.column(5), shapes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[6:], batch.column(4), pa.array(words, pa.binary())], names=["list", "owner", "root", "side", "blocks", "n", "words"])
-
     sided = members.join(cuts, "list").withColumn("side", side)
-    listed = sided.join(sets.select("owner", "n", "hashes"), "owner").select("list", "owner", "root", "tag", "n", "hashes", "side", "blocks")
     dealt = (
-        listed.mapInArrow(sketched, "list bigint, owner bigint, root binary, side int, blocks int, n bigint, words binary")
+        sided.join(sketched, ["owner", "band"])
         .select("list", "owner", "root", "side", "n", "words", F.explode(pairs).alias("pair"))
         .select(F.xxhash64("list", "pair.a", "pair.b").alias("list"), "side", "owner", "root", "n", "words")
         .repartition("list").sortWithinPartitions("list", "owner")
@@ -488,15 +596,18 @@ def near_in_lists(members: DataFrame, sets: DataFrame, percent: int, bands: Band
     return dealt.mapInArrow(work, "u bigint, v bigint")
 
 
-def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
-    """(node, root) of the keys of sets that are linked to a smaller key; ``lists`` has (owner, lists)."""
-    rows = rows_of(lists)
-    pairs = _cut_alone(counted_pairs(rows))
-    large_groups = cut(rows.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOTS + 1).select("sig"))
-    large = _cut_alone(rows.join(large_groups, "sig").select("sig", "owner", "tag"))
+def similar_sets(lists: DataFrame, frequent: np.ndarray, texts: DataFrame, size: int, percent: int, bands: Bands) -> DataFrame:
+    """(node, root) of the keys of sets that are linked to a smaller key; ``lists`` has (owner, lists), ``frequent`` is a
+    filter of the signatures of large groups. Any filter gives the same result."""
+    found = _cut_alone(pairs_and_members(kept_rows(lists, frequent)))
+    pairs = cut(found.filter("tag >= 0").select("u", "v", F.shiftright("tag", 1).alias("band")).distinct())
+    large = cut(found.filter("tag < 0").select(F.col("v").alias("sig"), F.col("u").alias("owner"), (-1 - F.col("tag")).alias("tag")))
+    drop_cut(found)
     owners = cut(pairs.select(F.explode(F.array("u", "v")).alias("owner")).unionByName(large.select("owner")).distinct())
     sets = _cut_alone(wanted_sets(texts, size, owners))
     drop_cut(lists)
+    sketched = cut(compared_sketches(sets, bands))
+    pairs = _cut_alone(near_pairs(pairs, sketched, percent))
     roots = components(_cut_alone(verified(pairs, sets, percent)))
     if large.isEmpty():
         return roots
@@ -516,9 +627,9 @@ def similar_sets(lists: DataFrame, texts: DataFrame, size: int, percent: int, ba
         ).filter("low <> high")
         unlike = open_groups.groupBy("m", "all", "all2").agg(F.min("sig").alias("sig"))
         members = _cut_alone(rooted.join(unlike.select("sig"), "sig").select(F.col("sig").alias("list"), "owner", "root", "tag"))
-        near = near_in_lists(members, sets, percent, bands, forest)
+        near = near_in_lists(members, sketched, percent, forest)
         more = _cut_alone(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        links = _cut_alone(verified(more.join(pairs, ["u", "v"], "left_anti"), sets, percent))
+        links = _cut_alone(verified(cut(more.join(pairs, ["u", "v"], "left_anti")), sets, percent))
         if not links.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
         if links.count() == more.count():
@@ -572,13 +683,13 @@ def _jaccard_groups(docs: DataFrame, id_col: str, text_col: str, size: int, perc
     held = _n_signatures(lists)
     for _ in range(PRUNINGS):
         given, before = lists, held
-        lists = pruned(given)
+        lists, frequent = pruned(given)
         drop_cut(given)
         held = _n_signatures(lists)
         if held > (1 - WORTH_PRUNING) * before:
             break
     release(docs.sparkSession)
-    roots = similar_sets(lists, texts, size, percent, bands)
+    roots = similar_sets(lists, frequent, texts, size, percent, bands)
     least = marked.filter("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
     rooted = cut(least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")

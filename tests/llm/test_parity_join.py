@@ -1,6 +1,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -223,3 +224,72 @@ def test_files_of_what_is_no_longer_read_are_removed(spark, small, monkeypatch):
     monkeypatch.setattr(parity_join, "drop_cut", lambda df: (dropped.append(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()), drop_cut(df)))
     assert QUERIES["op11_parity_join"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
     assert len(dropped) >= 4 and not any(os.path.exists(path.removeprefix("file:")) for path in dropped)
+
+
+def test_of_what_lists_share_enough_is_kept():
+    """Signatures of large groups are dropped, and two lists still share what both need less the larger number dropped."""
+    rng = np.random.default_rng(3)
+    frequent = np.zeros(1 << 6, np.uint64)
+    frequent[:20] = np.uint64(2**64 - 1)  # lets about a tenth through
+    some, fewer = 0, 0
+    for _ in range(300):
+        pool = rng.integers(0, 2**64, 60, dtype=np.uint64)
+        pool[:40] &= ~np.uint64(2**12 - 1) | np.uint64(1023)
+        pool[:40] &= np.uint64(2**63 - 1 >> 1)
+        pool = np.unique(pool)
+        sets = [rng.choice(pool, int(rng.integers(10, len(pool))), replace=False) for _ in range(2)]
+        common = len(np.intersect1d(*sets))
+        need = rng.integers(1, common + 1, 2) if common else np.ones(2, np.int64)
+        sizes = np.array([len(s) for s in sets])
+        lists = parity_join.Lists(np.arange(2), np.zeros(2, np.int64), need, sizes, np.concatenate(sets))
+        kept, dropped = parity_join.kept_signatures(lists, frequent)
+        assert (~kept).sum() == dropped.sum() and (dropped <= np.maximum(need - parity_join.LEAST_SHARED, 0)).all()
+        assert passing(lists.sigs[~kept], frequent).all()
+        left = [lists.sigs[: sizes[0]][kept[: sizes[0]]], lists.sigs[sizes[0] :][kept[sizes[0] :]]]
+        if common:
+            assert len(np.intersect1d(*left)) >= need.max() - dropped.max() >= 1
+        some, fewer = some + bool(dropped.sum()), fewer + (len(np.intersect1d(*left)) < common)
+    assert some > 100 and fewer > 50
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 7, 1000])
+def test_groups_cross_batches(spark, monkeypatch, at_once):
+    monkeypatch.setattr(parity_join, "PIVOTS", 3)
+    rng = random.Random(at_once)
+    rows = [(owner, 2, 1, 0, sig) for sig, n in enumerate([1, 2, 4, 5, 4, 3, 9, 20, 1]) for owner in rng.sample(range(40), n)]
+    members, shared = Counter(r[4] for r in rows), Counter()
+    for sig in members:
+        of_sig = sorted(r[0] for r in rows if r[4] == sig)
+        shared.update((u, v) for k, v in enumerate(of_sig[:3]) for u in of_sig[k + 1 :])
+    want = {(u, v, 2) for u, v in shared} | {(r[0], r[4], -3) for r in rows if members[r[4]] > 4}
+    frame = spark.createDataFrame(rows, "owner bigint, tag bigint, need bigint, dropped bigint, sig bigint")
+    with parity_join._small_batches(spark):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_once))
+        assert sorted(map(tuple, parity_join.pairs_and_members(frame).collect())) == sorted(want)
+        twice = parity_join.pairs_and_members(frame.withColumn("need", F.lit(3)).withColumn("dropped", F.lit(1)))
+        assert {(r.u, r.v) for r in twice.filter("tag > 0").collect()} == {pair for pair, n in shared.items() if n >= 2}
+
+
+def test_no_similar_pair_is_far_by_compared_sketches(spark):
+    """Far ones are left out before their hashes are shuffled."""
+    rng = np.random.default_rng(8)
+    bands, rows, sets = Bands(85), [], {}
+    for k in range(40):
+        base = np.unique(rng.integers(0, 2**64, int(rng.integers(20, 600)), dtype=np.uint64))
+        for part in (0.99, 0.95, 0.85, 0.6):
+            sets[len(sets)] = np.sort(rng.choice(base, max(1, int(part * len(base))), replace=False))
+    rows = [(k, len(h), h.tobytes()) for k, h in sets.items()]
+    frame = spark.createDataFrame(rows, "owner bigint, n bigint, hashes binary")
+    pairs = [(u, v, bands.of(max(len(sets[u]), len(sets[v])))) for u in sets for v in range(u // 4 * 4, u) if abs(bands.of(len(sets[u])) - bands.of(len(sets[v]))) <= 1]
+    pairs += [(u, v, bands.of(len(sets[u]))) for u in sets for v in range(u // 4 * 4) if bands.of(len(sets[u])) == bands.of(len(sets[v]))]
+    sketched = parity_join.compared_sketches(frame, bands)
+    near = {tuple(r) for r in parity_join.near_pairs(spark.createDataFrame(pairs, "u bigint, v bigint, band bigint"), sketched, 85).collect()}
+    similar = {(u, v) for u, v, _ in pairs if parity_join.similar(sets[u], sets[v], 85)}
+    assert similar <= near and len(similar) > 40 and len(near) < len(similar) + 0.1 * len(pairs) < len(pairs)
+
+
+def test_few_bytes_of_a_set_are_compared_in_lists():
+    """At scale the hashes and whole sketches of lists' members were most of what was shuffled."""
+    bands = Bands(85)
+    for n in (100, 1000, 10_000):
+        assert 8 * bands.compared_words(bands.of(n)) < 0.07 * 8 * n
